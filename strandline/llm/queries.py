@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontamination, packing, pii, sharding, tokenoutput, tokens
+from strandline.llm import decontamination, language, linededup, packing, pii, quality, sharding, tiff, tokenoutput, tokens
 
 SHARDS = 16
 
@@ -19,6 +19,10 @@ def op1_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op2_line_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents"), count_col="n_removed")
+
+
 def op3_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -27,6 +31,15 @@ def op4_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), sharding.even_tree(SHARDS), sharding.even_tree(SHARDS + 1))
 
 
+def op5_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.text_round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"), end_id=0, with_ids=False)
 
@@ -35,12 +48,20 @@ def op9_seekable_zstd_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenoutput.tokens_round_trip(_table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op10_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_deobfuscation": op1_pii_deobfuscation,
+    "op2_line_site_spread": op2_line_site_spread,
     "op3_wu_manber_decontamination": op3_wu_manber_decontamination,
     "op4_hash_tree_sharding": op4_hash_tree_sharding,
+    "op5_co_training": op5_co_training,
+    "op7_tiff_pages": op7_tiff_pages,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_seekable_zstd_tokens": op9_seekable_zstd_tokens,
+    "op10_hyperdimensional_language": op10_hyperdimensional_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_line_site_spread": linededup.ORACLE}
