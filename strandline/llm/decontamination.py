@@ -12,6 +12,7 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,8 +182,6 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, most: float = 0.0, text
 
 
 def _share_udf(block: list[tuple[str, str]], window: int):
-    import pandas as pd
-
     tables: list[Matcher] = []
 
     @F.pandas_udf("double")

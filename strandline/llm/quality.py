@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -344,8 +345,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
     model = model or fit(docs, labels)
     if model is None:
         return docs
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def accepted(text: pd.Series, lang: pd.Series, source: pd.Series, chars: pd.Series) -> pd.Series:
         batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True), pa.array(lang, pa.string(), from_pandas=True), pa.array(source, pa.string(), from_pandas=True), pa.array(chars, pa.float64())], names=["text", "lang", "source", "__chars"])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontamination, language, linededup, packing, pii, quality, sharding, tiff, tokenoutput, tokens
+from strandline.llm import decontamination, language, linededup, ngramjoin, packing, pii, quality, sharding, tiff, tokenoutput, tokens
 
 SHARDS = 16
 
@@ -36,6 +36,10 @@ def op5_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_round_trip(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_wu_manber_decontamination": op3_wu_manber_decontamination,
     "op4_hash_tree_sharding": op4_hash_tree_sharding,
     "op5_co_training": op5_co_training,
+    "op6_prefix_tree_join": op6_prefix_tree_join,
     "op7_tiff_pages": op7_tiff_pages,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_seekable_zstd_tokens": op9_seekable_zstd_tokens,
