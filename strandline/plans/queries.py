@@ -63,9 +63,9 @@ def step_return_to_go(spark: SparkSession, sf: str) -> DataFrame:
     return advantage.returns_to_go(v.steps(spark, sf)).select(*_STEP_KEYS, "returns")
 
 
-@query(f"WITH {v.STEPS} SELECT a.trajectory_uid, a.step_index, {r('sum(b.reward * pow(0.9, b.step_index - a.step_index))', 'returns')} FROM steps a JOIN steps b ON a.trajectory_uid = b.trajectory_uid AND b.step_index >= a.step_index GROUP BY 1, 2")
+@query(f"WITH {v.STEPS} SELECT a.trajectory_uid, a.step_index, {r('sum(b.reward * pow(0.9371, b.step_index - a.step_index))', 'returns')} FROM steps a JOIN steps b ON a.trajectory_uid = b.trajectory_uid AND b.step_index >= a.step_index GROUP BY 1, 2")
 def step_discounted_return(spark: SparkSession, sf: str) -> DataFrame:
-    return advantage.returns_to_go(v.steps(spark, sf), 0.9).select(*_STEP_KEYS, "returns")
+    return advantage.returns_to_go(v.steps(spark, sf), 0.9371).select(*_STEP_KEYS, "returns")
 
 
 @query(f"""WITH {v.STEPS}, {_TO_GO}, a AS (SELECT trajectory_uid, step_index, ret, count(*) OVER w AS n, avg(ret) OVER w AS m, stddev_samp(ret) OVER w AS sd FROM g WINDOW w AS (PARTITION BY uid, step_index))
@@ -80,12 +80,12 @@ def reinforce_whitened(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _GAE = """d AS (SELECT *, reward + coalesce(lead(value) OVER (PARTITION BY trajectory_uid ORDER BY step_index), 0) - value AS delta FROM steps),
-a AS (SELECT d1.trajectory_uid, d1.step_index, any_value(d1.value) AS value, sum(d2.delta * pow(0.9, d2.step_index - d1.step_index)) AS adv FROM d d1 JOIN d d2 ON d1.trajectory_uid = d2.trajectory_uid AND d2.step_index >= d1.step_index GROUP BY 1, 2)"""
+a AS (SELECT d1.trajectory_uid, d1.step_index, any_value(d1.value) AS value, sum(d2.delta * pow(0.9371, d2.step_index - d1.step_index)) AS adv FROM d d1 JOIN d d2 ON d1.trajectory_uid = d2.trajectory_uid AND d2.step_index >= d1.step_index GROUP BY 1, 2)"""
 
 
 @query(f"WITH {v.STEPS}, {_GAE} SELECT trajectory_uid, step_index, {r('(adv - avg(adv) OVER ()) / (stddev_samp(adv) OVER () + 1e-8)', 'advantage')}, {r('adv + value', 'returns')} FROM a")
 def step_gae(spark: SparkSession, sf: str) -> DataFrame:
-    return advantage.compute_advantage(v.steps(spark, sf), "gae", gamma=1.0, lam=0.9).select(*_STEP_KEYS, "advantage", "returns")
+    return advantage.compute_advantage(v.steps(spark, sf), "gae", gamma=1.0, lam=0.9371).select(*_STEP_KEYS, "advantage", "returns")
 
 
 @query(f"""WITH {v.TOKENS}, act AS (SELECT *, row_number() OVER (PARTITION BY trajectory_uid ORDER BY step_index, pos) AS i FROM tokens WHERE mask = 1),
@@ -608,16 +608,16 @@ def _artifacts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return a.select("artifact_id", "sha256"), runs
 
 
-_RUNS = "runs AS (SELECT l_orderkey || '-' || l_linenumber AS run_id, l_partkey AS pk, l_partkey % 3 > 0 AS exact, l_suppkey % 2 = 0 AS s1, l_quantity > 20 AS all_passed FROM lineitem WHERE l_orderkey % 7 = 0)"
+_RUNS = "rr AS (SELECT l_orderkey || '-' || l_linenumber AS run_id, l_partkey AS pk, l_partkey % 3 > 0 AS exact, l_suppkey % 2 = 0 AS s1, l_quantity > 20 AS all_passed FROM lineitem WHERE l_orderkey % 7 = 0)"
 
 
-@query(f"WITH {_RUNS} SELECT 'code:' || p_partkey AS artifact_id, count(run_id) AS runs, count_if(exact AND s1)::BIGINT AS exact_runs, coalesce(bool_or(all_passed) FILTER (WHERE exact AND s1), false) AS verified FROM part LEFT JOIN runs ON pk = p_partkey GROUP BY 1")
+@query(f"WITH {_RUNS} SELECT 'code:' || p_partkey AS artifact_id, count(run_id) AS runs, count(*) FILTER (WHERE exact AND s1) AS exact_runs, coalesce(bool_or(all_passed) FILTER (WHERE exact AND s1), false) AS verified FROM part LEFT JOIN rr ON pk = p_partkey GROUP BY 1")
 def execution_lineage(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.lineage(*_artifacts(spark, sf), "dev", "s1")
 
 
 @query(f"""WITH {_RUNS}, sub AS (SELECT o_orderkey AS s, 1 + o_orderkey % 2100 AS pk, CASE WHEN o_orderkey % 9 = 0 THEN [] ELSE [o_orderkey || '-1', o_orderkey || '-2'] END AS ids FROM orders WHERE o_orderkey % 5 = 0),
-f AS (SELECT s, pk, unnest(CASE WHEN len(ids) = 0 THEN [NULL] ELSE ids END) AS run_id FROM sub), j AS (SELECT f.*, p.p_partkey AS known, r.pk AS rpk, r.exact, r.all_passed FROM f LEFT JOIN part p ON f.pk = p.p_partkey LEFT JOIN runs r ON f.run_id = r.run_id),
+f AS (SELECT s, pk, unnest(CASE WHEN len(ids) = 0 THEN [NULL] ELSE ids END) AS run_id FROM sub), j AS (SELECT f.*, p.p_partkey AS known, r.pk AS rpk, r.exact, r.all_passed FROM f LEFT JOIN part p ON f.pk = p.p_partkey LEFT JOIN rr r ON f.run_id = r.run_id),
 g AS (SELECT s, pk, max(known) AS known, count(run_id) AS named, count(rpk) AS found, bool_and(rpk = pk) AS own, bool_and(exact) AS exact, bool_and(all_passed) AS passed FROM j GROUP BY 1, 2)
 SELECT s AS submission_id, 'code:' || pk AS artifact_id, CASE WHEN known IS NULL THEN 'unknown_artifact' WHEN named = 0 THEN 'no_evidence' WHEN found < named THEN 'unknown_run' WHEN NOT own THEN 'run_of_another_artifact' WHEN NOT exact THEN 'code_changed' WHEN NOT passed THEN 'not_all_passed' ELSE 'ok' END AS result FROM g""")
 def submission_certificates(spark: SparkSession, sf: str) -> DataFrame:
