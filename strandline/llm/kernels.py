@@ -6,6 +6,7 @@ string is made for a document unless an operator needs one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -122,3 +123,12 @@ def per_document(first: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def member_table(pred: Callable[[int], bool]) -> np.ndarray:
     return np.fromiter((pred(b) for b in range(256)), bool, 256)
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: a worker that waits for its next task should be small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass

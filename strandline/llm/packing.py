@@ -124,11 +124,12 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACI
                         if full:
                             close(full)
                         start += n
-                if len(rows) > 5_000:
+                if len(rows) > 1_000:
                     yield batch()
         for members in bins.rest():
             close(members)
         yield batch()
+        kernels.give_back()
 
     out = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _SCHEMA)
     return out if with_ids else out.drop("ids")

@@ -335,6 +335,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             for s in kernels.slices(b, "text"):
                 p = model.scores(_batch_views(s))
                 yield pa.RecordBatch.from_arrays([s.column("doc_id"), *(pa.array(c, pa.float64()) for c in p.T), pa.array(p[:, 0] >= ACCEPT, pa.bool_())], names=["doc_id", "score", "content_score", "metadata_score", "keep"])
+        kernels.give_back()
 
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *_columns(docs))
     return src.mapInArrow(run, "doc_id bigint, score double, content_score double, metadata_score double, keep boolean")

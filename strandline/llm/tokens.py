@@ -17,7 +17,7 @@ import pyarrow as pa
 from strandline.llm import kernels
 
 #: Distinct pieces that a worker keeps before it starts over.
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 600_000
 #: Longer pieces are not looked up by hash; they are encoded each time.
 LONGEST_CACHED = 64
 
@@ -62,9 +62,9 @@ class Encoder:
 
     def _reset(self) -> None:
         self._keys = np.zeros(0, np.uint64)  # sorted
-        self._rows = np.zeros(0, np.int64)  # of _start, _count
-        self._start = np.zeros(0, np.int64)
-        self._count = np.zeros(0, np.int64)
+        self._rows = np.zeros(0, np.int32)  # of _start, _count
+        self._start = np.zeros(0, np.int32)
+        self._count = np.zeros(0, np.int32)
         self._ids = np.zeros(0, np.uint32)
 
     def _encode_texts(self, texts: list[str]) -> list[list[int]]:
@@ -86,11 +86,11 @@ class Encoder:
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         flat, count = self._encode_pieces(texts)
         base, row = len(self._ids), len(self._start)
-        self._start = np.concatenate((self._start, base + np.cumsum(count) - count))
-        self._count = np.concatenate((self._count, count))
+        self._start = np.concatenate((self._start, (base + np.cumsum(count) - count).astype(np.int32)))
+        self._count = np.concatenate((self._count, count.astype(np.int32)))
         self._ids = np.concatenate((self._ids, flat))
         keys_all = np.concatenate((self._keys, keys))
-        rows_all = np.concatenate((self._rows, np.arange(row, row + len(keys))))
+        rows_all = np.concatenate((self._rows, np.arange(row, row + len(keys), dtype=np.int32)))
         order = np.argsort(keys_all, kind="stable")
         self._keys, self._rows = keys_all[order], rows_all[order]
 
@@ -115,7 +115,7 @@ class Encoder:
             self._learn(uniq[new], [raw[s:e].decode() if e - s <= LONGEST_CACHED else "" for s, e in zip(first[w].tolist(), end[w].tolist(), strict=True)])
             at = np.searchsorted(self._keys, uniq)
         row = self._rows[at][inverse]
-        start, count = self._start[row], self._count[row]
+        start, count = self._start[row].astype(np.int64), self._count[row].astype(np.int64)
         pool = self._ids
         if len(long):
             ids = self._encode_texts([raw[s:e].decode() for s, e in zip(first[long].tolist(), end[long].tolist(), strict=True)])
