@@ -61,7 +61,7 @@ class Bins:
 
     def rest(self) -> Iterator[list[tuple]]:
         """What is left in open bins, first-fit by decreasing length; at most one bin's worth per class."""
-        left = sorted((x for b in self._open.values() for x in b), key=lambda x: (-x[0], x[1][:2]))
+        left = sorted((x for b in self._open.values() for x in b), key=lambda x: -x[0])
         self._open = {}
         bins: list[tuple[int, list[tuple]]] = []
         for x in left:
@@ -120,7 +120,7 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACI
                     total, start = len(own) // 4, 0
                     for n in cuts(total, capacity):
                         raw = own[start * 4 : (start + n) * 4]
-                        full = bins.add(n, (doc if doc is not None else None, start, zlib.crc32(raw), total, raw if with_ids else None))
+                        full = bins.add(n, (doc, start, zlib.crc32(raw), total, raw if with_ids else None))
                         if full:
                             close(full)
                         start += n
