@@ -31,6 +31,8 @@ PER_ROUND, SURE = 200, 0.95
 #: Words of the fitted vocabulary, by how well they tell the classes apart.
 MOST_WORDS = 20_000
 LEAST_DOCS = 3
+#: Standard deviations from chance that a word's counts need to be listed.
+LEAST_WORTH = 2.5
 #: Documents with a lower score are rejected.
 ACCEPT = 0.5
 
@@ -163,10 +165,11 @@ class ContentView:
         bad = np.bincount(inverse, ((1 - y) * weight)[rows], len(words))
         n_good, n_bad = (y * weight).sum(), ((1 - y) * weight).sum()
         ratio = np.log((good + 1) / (n_good + 2)) - np.log((bad + 1) / (n_bad + 2))
-        # how far the two classes' counts are from what chance gives, so that rare words need not be listed
-        expected = docs * n_good / max(1.0, n_good + n_bad)
-        worth = np.abs(good - expected) / np.sqrt(expected + 1)
-        pick = np.flatnonzero(docs >= LEAST_DOCS)
+        # how many standard deviations the classes' counts are from what chance gives
+        share = n_bad / max(1e-9, n_good + n_bad)
+        seen = good + bad
+        worth = np.abs(bad - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
+        pick = np.flatnonzero((docs >= LEAST_DOCS) & (worth >= LEAST_WORTH))
         pick = np.sort(pick[np.argsort(-worth[pick], kind="stable")[:MOST_WORDS]])
         self.vocab, self.ratio = words[pick], np.clip(ratio[pick], -4, 4)
         self.edges = np.quantile(v.content, np.linspace(0.05, 0.95, 10), axis=0) if n else np.zeros((10, _N_CONTENT))
@@ -263,6 +266,9 @@ def co_train(v: Views, label: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS
     cal = held if len(held) >= 20 and len(set(label[held].tolist())) == 2 else train
     a, b = content.score(_take(v, cal)), metadata.score(_take(v, cal))
     y, one = label[cal].astype(np.float64), np.ones(len(cal))
+    # what calibrated the views may teach them in the end: the weights that were found on rows they had not seen stay
+    train = np.flatnonzero(label >= 0)
+    content, metadata = fit(content, given["content"]), fit(metadata, given["metadata"])
     return Model(content, metadata, _fit_dense(np.column_stack([a, b]), y, one, 0.1), np.stack([_fit_dense(s[:, None], y, one, 0.1) for s in (a, b)]))
 
 
