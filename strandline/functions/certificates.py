@@ -22,7 +22,14 @@ def _names(x: object, start: str, most: int = 1 << 30, distinct: bool = False) -
 
 
 _REF = re.compile(r"[A-Za-z][A-Za-z0-9_:-]{0,63}")
-OPERATIONS = ("span_select", "bridge", "candidate", "normalize", "compare")  # fixed value: operations of a reasoning step
+# Operations of a reasoning step, and the field of each one's output.
+OUTPUT_FIELDS = {
+    "select_exact_span": "text",
+    "extract_bridge_entity": "bridge_entity",
+    "extract_answer_candidate": "answer_candidate",
+    "normalize_answer": "normalized_answer",
+    "compare_equal": "equal",
+}
 
 #: Fields of each kind of certificate, the check of each and the error it gives.
 KINDS: dict[str, dict[str, tuple[Check, str]]] = {
@@ -39,7 +46,7 @@ KINDS: dict[str, dict[str, tuple[Check, str]]] = {
     },
     "reason_step": {
         "ref": (lambda x: isinstance(x, str) and bool(_REF.fullmatch(x)), "ref_invalid"),
-        "op": (lambda x: x in OPERATIONS, "op_invalid"),
+        "op": (lambda x: isinstance(x, str) and x in OUTPUT_FIELDS, "op_invalid"),
         "premises": (lambda x: isinstance(x, list) and len(x) <= 8 and all(isinstance(p, dict) and set(p) == {"artifact_id", "span"} and _said(p["artifact_id"]) and _said(p["span"]) for p in x), "premises_invalid"),
         "inputs": (lambda x: isinstance(x, list) and len(x) <= 8 and all(isinstance(i, str) and _REF.fullmatch(i) for i in x) and len(set(x)) == len(x), "inputs_invalid"),
         "output": (lambda x: isinstance(x, dict), "output_not_object"),

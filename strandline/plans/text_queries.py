@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandline import schemas
 from strandline.functions import answers, arithmetic, certificates, equations, hashing, toolcalls
 from strandline.functions import text as tx
-from strandline.operators import credit, prep, reports
+from strandline.operators import credit, prep, reports, verification
 from strandline.plans import registry
 from strandline.plans import views as v
 from strandline.plans.queries import query, r
@@ -221,3 +221,65 @@ def fixed_schedule(spark: SparkSession, sf: str) -> DataFrame:
     d = v.table(spark, sf, "documents")
     s = credit.fixed_schedule(F.lit(50), F.col("doc_id") % 3 == 0, 20, 0.5)
     return d.select("doc_id", s.alias("s")).select("doc_id", "s.*")
+
+
+# --- verifiers
+
+
+def _audits(spark: SparkSession, sf: str) -> DataFrame:
+    return v.steps(spark, sf).filter("step_index < 8")
+
+
+_AUDITS = v.STEPS + ", a AS (SELECT * FROM steps WHERE step_index < 8)"
+
+
+@query(f"""WITH {_AUDITS}, c AS (SELECT trajectory_uid, step_index, k % 4 > 0 AS tested, k % 3 = 0 AS verified FROM a), z AS (SELECT trajectory_uid, max(step_index) AS last, min(k) % 2 = 0 AS attempted, max(k) % 2 = 0 AS valid FROM a GROUP BY 1),
+s AS (SELECT trajectory_uid, step_index, verified AS ok FROM c WHERE tested UNION ALL SELECT trajectory_uid, last, valid FROM z WHERE attempted)
+SELECT trajectory_uid, step_index, {r('sum(share)', 'score')} FROM (SELECT *, ok::INT::DOUBLE / count(*) OVER (PARTITION BY trajectory_uid) AS share FROM s) GROUP BY 1, 2""")
+def code_artifact_credit(spark: SparkSession, sf: str) -> DataFrame:
+    a = _audits(spark, sf)
+    code = a.select("trajectory_uid", F.col("row_id").cast("string").alias("artifact_id"), "step_index", (F.col("k") % 4 > 0).alias("tested"), (F.col("k") % 3 == 0).alias("verified"))
+    certs = a.groupBy("trajectory_uid").agg(F.max("step_index").alias("step_index"), (F.min("k") % 2 == 0).alias("attempted"), (F.max("k") % 2 == 0).alias("valid"))
+    return verification.code_credits(code, certs)
+
+
+@query(f"""WITH {_AUDITS}, n AS (SELECT trajectory_uid, k % 3 = 0 AS valid, k % 5 = 0 AS cited FROM a), m AS (SELECT *, bool_or(cited) OVER (PARTITION BY trajectory_uid) AS has FROM n) SELECT trajectory_uid, {r('avg(valid::INT)', 'score')} FROM m WHERE cited OR NOT has GROUP BY 1""")
+def visual_credit(spark: SparkSession, sf: str) -> DataFrame:
+    a = _audits(spark, sf).select("trajectory_uid", F.col("row_id").cast("string").alias("artifact_id"), (F.col("k") % 3 == 0).alias("valid"), (F.col("k") % 5 == 0).alias("cited"))
+    return verification.crop_credits(a.drop("cited"), a.filter("cited").select("trajectory_uid", "artifact_id"))
+
+
+@query(f"WITH {_AUDITS}, n AS (SELECT trajectory_uid, step_index, k % 3 > 0 AS valid, row_number() OVER (PARTITION BY trajectory_uid ORDER BY step_index) AS i, least(count(*) OVER (PARTITION BY trajectory_uid), 5) AS n FROM a) SELECT trajectory_uid, step_index, valid, {r('CASE WHEN i <= 5 THEN valid::INT::DOUBLE / n ELSE 0 END', 'score')} FROM n")
+def horizon_credit(spark: SparkSession, sf: str) -> DataFrame:
+    return verification.horizon_credits(_audits(spark, sf).select("trajectory_uid", "step_index", (F.col("k") % 3 > 0).alias("valid")), 5)
+
+
+@query(f"WITH {_AUDITS} SELECT trajectory_uid, {r('avg((k % 2 = 0)::INT)', 'grounded')}, {r('avg((k % 3 > 0)::INT)', 'coupled')}, {r('avg((k % 5 > 0)::INT)', 'valid')}, count(*) AS steps, count(*) FILTER (WHERE k % 5 > 0) AS valid_steps, bool_or(step_index > 5) AS any_past_horizon FROM a GROUP BY 1")
+def certificate_summary(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("k")
+    return verification.certificate_summary(_audits(spark, sf).select("trajectory_uid", (k % 2 == 0).alias("grounded"), (k % 3 > 0).alias("coupled"), (k % 5 > 0).alias("valid"), (F.col("step_index") > 5).alias("past_horizon")))
+
+
+@query()
+def novelty_credit(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("k")
+    s = _audits(spark, sf).select("trajectory_uid", "step_index", F.when(k % 7 == 0, "finish").otherwise("search").alias("action"), _s("query ", k % 11).alias("query"), _s("fact ", k % 13).alias("conclusion"), F.array(_s("p", k % 17)).alias("sources"), (k % 5 > 0).alias("valid"), F.lit(True).alias("coupled"), F.lit(1.0).alias("factor"))
+    return verification.novelty_credits(s, 8)
+
+
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'span_selection_invalid' WHEN 2 THEN 'bridge_already_in_question' WHEN 3 THEN NULL WHEN 4 THEN 'comparison_invalid' ELSE 'op_unverifiable' END AS error FROM documents""")
+def inference_check(spark: SparkSession, sf: str) -> DataFrame:
+    m = F.col("doc_id") % 6
+    op = F.when(m < 2, "select_exact_span").when(m == 2, "extract_bridge_entity").when(m == 3, "normalize_answer").when(m == 4, "compare_equal").otherwise("guess")
+    head = F.substring("text", 1, 9)
+    conclusion = F.when(m == 1, _s("☃", head)).when(m == 2, F.col("lang")).when(m == 3, "eiffel tower").when(m == 4, "yes").otherwise(head)
+    spans = F.when((m == 3) | (m == 4), F.array().cast("array<string>")).when(m == 2, F.array(_s("in ", F.col("lang"), " now"))).otherwise(F.array("text"))
+    inputs = F.when(m == 3, F.array(F.lit("The Eiffel Tower!"))).when(m == 4, F.array("lang", "source")).otherwise(F.array().cast("array<string>"))
+    return v.table(spark, sf, "documents").select("doc_id", verification.inference_error(op, conclusion, spans, inputs, _s("what is ", F.col("lang"), "?")).alias("error"))
+
+
+@query("SELECT doc_id, doc_id % 3 < 2 AS same FROM documents")
+def functional_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("doc_id")
+    want = F.when(i % 3 == 0, _s('{"a": [', i, ", 2]}")).when(i % 3 == 1, _s('[{"a":[', i, ",2]}]")).otherwise(_s('{"a": [', i, "]}"))
+    return v.table(spark, sf, "documents").select("doc_id", tx.functional_equal(_s('{"a":[', i, ",2]}"), want).alias("same"))

@@ -63,7 +63,7 @@ def test_certificates():
     assert certificates.certificate('{"source_id": "p:1", "support_span"} some text "target} foo', "search") == ({"source_id": "p:1", "support_span": "some text", "target": "foo"}, ["certificate_repaired"])
     assert certificates.certificate({"claim": "x"}, "visual") == (None, ["certificate_fields_invalid"])
     assert certificates.certificate("nonsense", "finish") == (None, ["certificate_not_object"])
-    step = {"ref": "r1", "op": "bridge", "premises": [], "inputs": ["a", "a"], "output": {}}
+    step = {"ref": "r1", "op": "extract_bridge_entity", "premises": [], "inputs": ["a", "a"], "output": {}}
     assert certificates.certificate(step, "reason_step") == (None, ["inputs_invalid"])
 
 
