@@ -48,8 +48,8 @@ def site_spread(df: DataFrame, text_col: str = "text", site_col: str = "source",
     spread = sketched.select("__h", "__first", F.hll_sketch_estimate("__s").alias("__e")).filter(F.col("__e") >= min_sites - slack)
     sure = spread.filter(F.col("__e") > min_sites + slack).select("__h", "__first")
     near = spread.filter(F.col("__e") <= min_sites + slack).select("__h", "__first")
-    # of near lines the distinct (line, site) pairs, then their number: no task holds a line's occurrences
-    pairs = lines.select("__h", "__site").filter(F.col("__site").isNotNull()).join(near.select("__h"), "__h", "left_semi").distinct()
+    # the distinct (line, site) pairs come first: a line that is everywhere is then a row per site, and no task holds its occurrences
+    pairs = lines.select("__h", "__site").filter(F.col("__site").isNotNull()).distinct().join(near.select("__h"), "__h", "left_semi")
     exact = pairs.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_sites).select("__h")
     return sure.unionByName(near.join(exact, "__h", "left_semi"))
 
