@@ -91,9 +91,12 @@ _INVISIBLE = "​‌‍⁠﻿­"
 _WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _GLYPHS = re.compile("[" + re.escape("".join(_FOLD) + _INVISIBLE) + "]")
-_AT = r"[ \t]*[\[({<]+[ \t]*(?:at|AT|At|@)[ \t]*[\])}>]+[ \t]*"
-_DOT = r"[ \t]*[\[({<]+[ \t]*(?:dot|DOT|Dot|\.)[ \t]*[\])}>]+[ \t]*"
-_SPOKEN = r"(?P<spoken>[A-Za-z0-9_%+-]+(?:[ \t](?:dot|DOT)[ \t][A-Za-z0-9_%+-]+|\.[A-Za-z0-9_%+-]+)*[ \t](?:at|AT)[ \t][A-Za-z0-9-]+(?:(?:[ \t](?:dot|DOT)[ \t]|\.)[A-Za-z0-9-]+)*[ \t](?:dot|DOT)[ \t][A-Za-z]{2,24}\b)"
+_OPEN, _CLOSE = r"(?<![ \t\[({<])[ \t]*+[\[({<]++[ \t]*+", r"[ \t]*+[\])}>]++[ \t]*+"
+_AT = rf"{_OPEN}(?:at|AT|At|@){_CLOSE}"
+_DOT = rf"{_OPEN}(?:dot|DOT|Dot|\.){_CLOSE}"
+#: Words that a spoken address may have on either side of its sign.
+_PARTS = 8
+_SPOKEN = rf"(?P<spoken>[A-Za-z0-9_%+-]+(?:[ \t](?:dot|DOT)[ \t][A-Za-z0-9_%+-]+|\.[A-Za-z0-9_%+-]+){{0,{_PARTS}}}[ \t](?:at|AT)[ \t](?!(?:the|a|an|this|that|my|our)\b)[A-Za-z0-9-]+(?:(?:[ \t](?:dot|DOT)[ \t]|\.)[A-Za-z0-9-]+){{0,{_PARTS}}}[ \t](?:dot|DOT)[ \t][A-Za-z]{{2,24}}\b)"
 _BRACKETED = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})")
 _SPOKEN_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-]){_SPOKEN}")
 _SIGN = re.compile(r"[ \t](?P<at>at|AT)[ \t]|[ \t](?P<dot>dot|DOT)[ \t]")
@@ -101,7 +104,8 @@ _DIGIT_WORD = "(?:" + "|".join(_WORDS) + ")"
 _SPELLED = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:plus[ -]+)?(?:{_DIGIT_WORD}|[0-9]+)(?:(?:[ ]point[ ]|[ ]dot[ ]|[ ,.-]+)(?:{_DIGIT_WORD}|[0-9]+))+(?![A-Za-z])")
 _SPELLED_PART = re.compile(rf"(?i)(?P<plus>plus[ -]+)|(?P<word>{_DIGIT_WORD})|(?P<point>[ ](?:point|dot)[ ])|(?P<gap>[ ,.-]+)")
 _HAS_DIGIT_WORD = re.compile(r"(?i)\b" + _DIGIT_WORD + r"\b")
-#: Runs of spelled digits with fewer digit words than this are prose and stay as they are.
+_POINT_WORD = re.compile(r"(?i)[ ](?:point|dot)(?=[ ])")
+#: Runs of spelled digits with fewer digit words than this, and fewer than three spelled points, are prose and stay as they are.
 LEAST_SPELLED = 4
 
 Edit = tuple[int, int, str]
@@ -152,7 +156,7 @@ def spell_digits(text: str) -> list[Edit]:
     """Edits that turn runs of spelled digits into figures without gaps."""
     edits: list[Edit] = []
     for m in _SPELLED.finditer(text):
-        if len(_HAS_DIGIT_WORD.findall(m.group())) < LEAST_SPELLED:
+        if len(_HAS_DIGIT_WORD.findall(m.group())) < LEAST_SPELLED and len(_POINT_WORD.findall(m.group())) < 3:
             continue
         for k in _SPELLED_PART.finditer(text, m.start(), m.end()):
             if k["plus"]:
@@ -181,7 +185,7 @@ def all_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     if ("dot" in now or "DOT" in now or "Dot" in now or _BRACKETED.search(now)) and (edits := undo_signs(now)):
         steps.append(Rewrite(now, edits))
         now = steps[-1].text
-    if _HAS_DIGIT_WORD.search(now) and (edits := spell_digits(now)):
+    if (_HAS_DIGIT_WORD.search(now) or _POINT_WORD.search(now)) and (edits := spell_digits(now)):
         steps.append(Rewrite(now, edits))
         now = steps[-1].text
     if not steps:
