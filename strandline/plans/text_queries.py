@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandline import schemas
 from strandline.functions import answers, arithmetic, certificates, equations, hashing, toolcalls
 from strandline.functions import text as tx
+from strandline.functions.once import once_per_value
 from strandline.operators import credit, prep, reports, verification
 from strandline.plans import registry
 from strandline.plans import views as v
@@ -51,8 +52,8 @@ def answer_equality(spark: SparkSession, sf: str) -> DataFrame:
 def final_answer_extract(spark: SparkSession, sf: str) -> DataFrame:
     q, d, e = F.col("q"), F.col("d"), F.col("e")
     text = F.when(e == 0, _s("first \\boxed{", d, "} so \\boxed{", q, "}.")).when(e == 1, _s("\\boxed{1} <answer> ", d, " </answer>")).when(e == 2, _s("<think>a</think> The final answer is: x_", q, ".")).when(e == 3, _s("so we get\n", q, ".0 ")).otherwise(_s("\\boxed{", q, "} no, \\boxed{", d))
-    x = _lines(spark, sf).select("l_orderkey", "l_linenumber", answers.final_answer_column(text).alias("x"))
-    return x.select("l_orderkey", "l_linenumber", "x.answer", "x.method", answers.integer_answer_column(F.col("x.answer")).alias("whole"))
+    x = once_per_value(_lines(spark, sf), text, answers.final_answer_column, "x").select("l_orderkey", "l_linenumber", "x.answer", "x.method")
+    return once_per_value(x, F.col("answer"), answers.integer_answer_column, "whole")
 
 
 @query(f"WITH {_LINES} SELECT l_orderkey, l_linenumber, CASE WHEN e < 4 THEN q || '{{' || d || '}}' END AS answer FROM x".replace("{{", "{").replace("}}", "}"))
@@ -105,27 +106,28 @@ def _completions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_LINES} SELECT l_orderkey, l_linenumber, CASE e WHEN 0 THEN 'search' WHEN 1 THEN 'finish' WHEN 2 THEN 'search,sum' ELSE '' END AS names, CASE e WHEN 0 THEN '{{"query": "' || q || '"}}' WHEN 1 THEN '{{"answer": "' || d || '", "reason_step": {{"ref": "r1"}}, "status": "answer"}}' WHEN 2 THEN '{{"of": [' || q || ', ' || d || ']}}' ELSE '' END AS last_arguments FROM x""")
 def tool_call_parse(spark: SparkSession, sf: str) -> DataFrame:
-    c = _completions(spark, sf).select("l_orderkey", "l_linenumber", toolcalls.tool_calls_column("text").alias("c"))
+    c = once_per_value(_completions(spark, sf), F.col("text"), toolcalls.tool_calls_column, "c")
     return c.select("l_orderkey", "l_linenumber", F.array_join(F.transform("c", lambda x: x["name"]), ",").alias("names"), F.coalesce(F.try_element_at("c", F.lit(-1))["arguments"], F.lit("")).alias("last_arguments"))
 
 
 @query(f"""WITH {_LINES} SELECT l_orderkey, l_linenumber, e = 1 AS valid, CASE WHEN e = 1 THEN d::VARCHAR END AS answer, CASE e WHEN 0 THEN 'finish_call_unparseable' WHEN 1 THEN '' ELSE 'not_exactly_one_tool_call' END AS errors FROM x""")
 def finish_envelope(spark: SparkSession, sf: str) -> DataFrame:
-    c = _completions(spark, sf).select("l_orderkey", "l_linenumber", toolcalls.finish_call_column("text").alias("c"))
+    c = once_per_value(_completions(spark, sf), F.col("text"), toolcalls.finish_call_column, "c")
     return c.select("l_orderkey", "l_linenumber", "c.valid", "c.answer", F.array_join("c.errors", ",").alias("errors"))
 
 
 @query(f"WITH {_LINES} SELECT l_orderkey, l_linenumber, CASE WHEN e IN (0, 2) THEN 1 ELSE 0 END AS hermes, CASE WHEN e < 3 THEN 1 ELSE 0 END AS qwen35, 0 AS channel FROM x")
 def tool_formats(spark: SparkSession, sf: str) -> DataFrame:
-    n = lambda name: F.size(toolcalls.format_column(name)("text"))
-    return _completions(spark, sf).select("l_orderkey", "l_linenumber", n("hermes").alias("hermes"), n("qwen35").alias("qwen35"), n("gpt-oss").alias("channel"))
+    count = lambda name: lambda t: F.size(toolcalls.format_column(name)(t))
+    every = lambda t: F.struct(count("hermes")(t).alias("hermes"), count("qwen35")(t).alias("qwen35"), count("gpt-oss")(t).alias("channel"))
+    return once_per_value(_completions(spark, sf), F.col("text"), every, "n").select("l_orderkey", "l_linenumber", "n.*")
 
 
 @query(f"""WITH {_LINES} SELECT l_orderkey, l_linenumber, e < 3 AS usable, CASE e WHEN 0 THEN '' WHEN 1 THEN 'target_invalid' WHEN 2 THEN 'certificate_repaired' ELSE 'certificate_not_object' END AS errors FROM x""")
 def certificate_repair(spark: SparkSession, sf: str) -> DataFrame:
     q, e = F.col("q"), F.col("e")
     text = F.when(e == 0, _s('{"source_id": "p:', q, '", "support_span": "a b", "target": "t"}')).when(e == 1, _s('{"source_id": "p:', q, '", "support_span": "a", "target": " "}')).when(e == 2, _s('{"source_id": "p:', q, '", "support_span"} some words "target} the rest')).otherwise("not at all")
-    c = _lines(spark, sf).select("l_orderkey", "l_linenumber", certificates.certificate_column("search")(text).alias("c"))
+    c = once_per_value(_lines(spark, sf), text, certificates.certificate_column("search"), "c")
     return c.select("l_orderkey", "l_linenumber", "c.usable", F.array_join("c.errors", ",").alias("errors"))
 
 
