@@ -457,10 +457,10 @@ def dataset_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("data_source", p["role"].alias("role"), p["content"].alias("content"), "reward_model.style", "reward_model.ground_truth", F.col("extra_info.index").alias("idx"), "extra_info.split", "extra_info.question_id")
 
 
-@query("SELECT CASE WHEN doc_id < 200 THEN 'validation' ELSE 'train' END AS split, count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi FROM documents WHERE doc_id < 800 GROUP BY 1")
+@query("SELECT CASE WHEN doc_id < 50 THEN 'validation' ELSE 'train' END AS split, count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi FROM documents WHERE doc_id < 150 GROUP BY 1")
 def source_prefix_split(spark: SparkSession, sf: str) -> DataFrame:
-    d = prep.prefix(v.table(spark, sf, "documents"), "doc_id", 800, "documents")
-    return prep.split_by_index(d, "doc_id", 200).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    d = prep.prefix(v.table(spark, sf, "documents"), "doc_id", 150, "documents")
+    return prep.split_by_index(d, "doc_id", 50).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
 
 
 _FEW = """q AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '  ' WHEN doc_id % 13 = 0 THEN 'As shown below, find x ' || (doc_id % 40) ELSE 'find x ' || (doc_id % 300) END AS question, CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 19 = 0 THEN 'N/A' ELSE CAST(doc_id % 600 // 300 AS VARCHAR) END AS truth FROM documents)"""

@@ -43,7 +43,7 @@ def test_malformed_lines_raise(spark, tmp_path):
 def test_list_index_and_snapshot(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"x": "b"}, {"x": "a"}]')
     df = readers.indexed_list(spark, f"file://{tmp_path}/a.json", "x: string")
-    assert [(r.index, r.x) for r in df.orderBy("index").collect()] == [(0, "b"), (1, "a")]
+    assert [tuple(r) for r in df.orderBy("index").select("index", "x").collect()] == [(0, "b"), (1, "a")]
     assert readers.snapshot(df, "x", 2, "list") is df
     with pytest.raises(checks.CheckFailed):
         readers.snapshot(df, "x", 3, "list")
