@@ -201,14 +201,15 @@ def evidence_store(spark: SparkSession, sf: str) -> DataFrame:
 def streaming_append(spark: SparkSession, sf: str) -> DataFrame:
     """Records that arrive in two folders of files, the second of which repeats half of the first, are each written once."""
     base = scratch(spark, "stream")
-    e = v.table(spark, sf, "events").filter("event_id < 400").select(F.col("event_id").cast("int").alias("sample_index"), _s("k", F.col("event_id")).alias("sample_key"), F.col("event_type").alias("question"), F.array(F.col("event_type")).alias("search_queries"), F.lit(None).cast("string").alias("answer"), F.lit("g").alias("ground_truth"), F.col("value").alias("score"))
-    writers.append_jsonl(e.filter("sample_index < 300"), f"{base}/in")
+    e = v.table(spark, sf, "events").select(F.col("event_id").cast("int").alias("sample_index"), _s("k", F.col("event_id")).alias("sample_key"), F.col("event_type").alias("question"), F.array(F.col("event_type")).alias("search_queries"), F.lit(None).cast("string").alias("answer"), F.lit("g").alias("ground_truth"), F.col("value").alias("score"))
+    total = e.count()
+    writers.append_jsonl(e.filter(F.col("sample_index") < total * 3 // 4), f"{base}/in")
     sink = records.RecordSink(spark, f"{base}/out", schemas.SEARCH_RECORD)
     records.stream_records(spark, f"{base}/in", schemas.SEARCH_RECORD, sink, f"{base}/checkpoint").awaitTermination()
-    writers.append_jsonl(e.filter("sample_index >= 150"), f"{base}/in")
+    writers.append_jsonl(e.filter(F.col("sample_index") >= total * 3 // 8), f"{base}/in")
     again = records.RecordSink(spark, f"{base}/out", schemas.SEARCH_RECORD, resume=True)
     records.stream_records(spark, f"{base}/in", schemas.SEARCH_RECORD, again, f"{base}/checkpoint").awaitTermination()
-    return records.finished(again, 400).select("sample_index", "sample_key", "question", "ground_truth", "score")
+    return records.finished(again, total).select("sample_index", "sample_key", "question", "ground_truth", "score")
 
 
 @query("SELECT event_type AS request_key, count(*) > 0 AS asked FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY 1")
