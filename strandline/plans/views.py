@@ -110,8 +110,7 @@ GRADED = ANSWERS + f""", normed AS (
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token rows: three per step, the first of which is not acted on, with recorded log-probabilities and values."""
-    s = steps(spark, sf_dir).filter("step_index < 6")
-    t = s.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    t = steps(spark, sf_dir).withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(2))))
     n = F.col("row_id") * 3 + F.col("pos")
     return t.select(
         "uid", "trajectory_uid", "step_index", "pos", (F.col("pos") > 0).cast("int").alias("mask"), F.when(F.col("pos") == 2, F.col("reward") / 100).otherwise(0.0).alias("reward"), (F.pmod(n, F.lit(9)) / F.lit(10.0)).alias("value"), (F.pmod(n, F.lit(8)) / F.lit(10.0)).alias("new_value"),

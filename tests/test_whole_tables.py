@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from strandline.plans import views
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -18,3 +19,16 @@ def test_all_events_pass_through_the_sink(spark):
     events = {r.event_id for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect()}
     got = [r.sample_index for r in run(spark, "streaming_append").select("sample_index").collect()]
     assert len(events) > 400 and sorted(got) == sorted(events)
+
+
+def test_all_steps_become_tokens(spark):
+    assert views.tokens(spark, SF).count() == 3 * views.steps(spark, SF).count()
+    ends = views.tokens(spark, SF).groupBy("trajectory_uid").agg({"step_index": "max"}).collect()
+    assert max(r[1] for r in ends) >= 6
+    gae = run(spark, "token_gae_advantage")
+    assert gae.select("trajectory_uid", "step_index").distinct().count() == views.steps(spark, SF).count()
+
+
+def test_losses_are_means_over_all_tokens(spark):
+    t = [r for r in views.tokens(spark, SF).select("mask", "log_prob").collect() if r.mask]
+    assert run(spark, "supervised_loss").first().loss == pytest.approx(-sum(r.log_prob for r in t) / len(t), abs=1e-5)
