@@ -230,7 +230,7 @@ def fixed_schedule(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _audits(spark: SparkSession, sf: str) -> DataFrame:
-    return v.steps(spark, sf).filter("step_index < 8")
+    return v.steps(spark, sf)
 
 
 _AUDITS = v.STEPS + ", a AS (SELECT * FROM steps WHERE step_index < 8)"

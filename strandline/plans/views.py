@@ -58,7 +58,7 @@ ATTEMPTS = f"""attempts AS (
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check slots from step rows: a group per parity of three steps, scored by the props number."""
-    s = steps(spark, sf_dir).filter("step_index < 12")
+    s = steps(spark, sf_dir)
     return s.select("trajectory_uid", F.concat(F.lit("g"), F.floor(F.col("step_index") / 3).cast("string")).alias("group_id"), F.lit("interaction_step").alias("group_kind"), F.pmod("step_index", F.lit(3)).alias("slot"), "step_index", (F.pmod("k", F.lit(5)) / F.lit(4.0)).alias("score"), (F.pmod("k", F.lit(3)) > 0).alias("applicable"), (F.pmod("k", F.lit(2)) + F.lit(1.0)).alias("base_weight"))
 
 
