@@ -345,7 +345,7 @@ def evidence_recall_precision(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {v.STEPS}, n AS (SELECT *, row_number() OVER (PARTITION BY trajectory_uid ORDER BY step_index) AS i FROM steps WHERE k % 2 = 0) SELECT trajectory_uid, step_index, {r('(k % 3 > 0)::INT / 4.0::DOUBLE', 'score')} FROM n WHERE i <= 4")
 def execution_credit(spark: SparkSession, sf: str) -> DataFrame:
-    s = v.steps(spark, sf).filter("k % 2 = 0")
+    s = v.steps(spark, sf)
     return credit.execution_credit(s.withColumn("success", F.pmod("k", F.lit(3)) > 0), 4)
 
 
@@ -601,7 +601,7 @@ def resume_anti_join(spark: SparkSession, sf: str) -> DataFrame:
 def _artifacts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     p = v.table(spark, sf, "part")
     a = p.select(F.concat(F.lit("code:"), F.col("p_partkey").cast("string")).alias("artifact_id"), F.sha2("p_name", 256).alias("sha256"), "p_partkey")
-    r_ = v.table(spark, sf, "lineitem").filter("l_orderkey % 7 = 0").select(
+    r_ = v.table(spark, sf, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("run_id"), F.concat(F.lit("code:"), F.col("l_partkey").cast("string")).alias("code_artifact_id"), F.col("l_quantity").alias("q"), (F.col("l_partkey") % 3).alias("m"), (F.col("l_suppkey") % 2 == 0).alias("even"),
     )
     runs = r_.join(a.select(F.col("artifact_id").alias("code_artifact_id"), "sha256"), "code_artifact_id").select("run_id", "code_artifact_id", F.when(F.col("m") == 0, F.lit("old")).otherwise(F.col("sha256")).alias("code_sha256"), F.lit("dev").alias("suite_id"), F.when(F.col("even"), "s1").otherwise("s2").alias("suite_sha256"), (F.col("q") > 20).alias("all_passed"))
@@ -621,7 +621,7 @@ f AS (SELECT s, pk, unnest(CASE WHEN len(ids) = 0 THEN [NULL] ELSE ids END) AS r
 g AS (SELECT s, pk, max(known) AS known, count(run_id) AS named, count(rpk) AS found, bool_and(rpk = pk) AS own, bool_and(exact) AS exact, bool_and(all_passed) AS passed FROM j GROUP BY 1, 2)
 SELECT s AS submission_id, 'code:' || pk AS artifact_id, CASE WHEN known IS NULL THEN 'unknown_artifact' WHEN named = 0 THEN 'no_evidence' WHEN found < named THEN 'unknown_run' WHEN NOT own THEN 'run_of_another_artifact' WHEN NOT exact THEN 'code_changed' WHEN NOT passed THEN 'not_all_passed' ELSE 'ok' END AS result FROM g""")
 def submission_certificates(spark: SparkSession, sf: str) -> DataFrame:
-    o = v.table(spark, sf, "orders").filter("o_orderkey % 5 = 0")
+    o = v.table(spark, sf, "orders")
     k = F.col("o_orderkey").cast("string")
     ids = F.when(F.col("o_orderkey") % 9 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(k, F.lit("-1")), F.concat(k, F.lit("-2"))))
     subs = o.select(F.col("o_orderkey").alias("submission_id"), F.concat(F.lit("code:"), (1 + F.col("o_orderkey") % 2100).cast("string")).alias("artifact_id"), ids.alias("run_ids"))
@@ -681,7 +681,7 @@ def topk_inner_product(spark: SparkSession, sf: str) -> DataFrame:
 , o AS (SELECT n.*, sum(length(d.text)) OVER (PARTITION BY trajectory_uid ORDER BY position) AS used FROM n JOIN documents d ON n.pid = d.doc_id WHERE rn = 1) SELECT trajectory_uid, pid, position::INT AS position, used::BIGINT AS used FROM o WHERE used <= 60000""")
 def passage_budget(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    f = v.table(spark, sf, "events").filter("event_id % 9 = 0").select(F.col("event_type").alias("trajectory_uid"), F.col("user_id").alias("pid"), F.row_number().over(w).alias("position"))
+    f = v.table(spark, sf, "events").select(F.col("event_type").alias("trajectory_uid"), F.col("user_id").alias("pid"), F.row_number().over(w).alias("position"))
     docs = v.table(spark, sf, "documents").select(F.col("doc_id").alias("pid"), "text")
     return retrieval.within_budget(retrieval.passages(f, docs), 60000).select("trajectory_uid", "pid", "position", "used")
 
@@ -711,7 +711,7 @@ def hash_sample(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH c AS (SELECT user_id::VARCHAR AS task_id, event_id AS case_index, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY sha256('tests' || chr(1) || user_id || chr(1) || event_id), event_id) AS rank FROM events WHERE event_id % 3 = 0)
 SELECT task_id, case_index, CASE WHEN rank <= CASE WHEN n < 2 THEN 0 WHEN n < 4 THEN 1 ELSE least(greatest(2, round_even(0.25 * n, 0)::INT), n - 2) END THEN 'developer' ELSE 'hidden' END AS split FROM c""")
 def case_split(spark: SparkSession, sf: str) -> DataFrame:
-    c = v.table(spark, sf, "events").filter("event_id % 3 = 0").select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("case_index"))
+    c = v.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("case_index"))
     return sampling.split_cases(c, 0.25)
 
 

@@ -21,9 +21,10 @@ def run(spark, name):
 STEPS = "verification_group_credit process_reward composed_reward recursive_ancestors dependency_taint coupling_fixpoint credits_by_step code_artifact_credit visual_credit horizon_credit certificate_summary".split()
 TOKENS = "token_gae_advantage loss_aggregation clipped_policy_loss bypass_policy_loss total_policy_loss reinforce_loss clipped_value_loss supervised_loss".split()
 DOCUMENTS = ["evidence_store", "jsonl_round_trip"]
+THINNED = "passage_budget case_split execution_lineage submission_certificates execution_credit".split()
 
 
-@pytest.mark.parametrize("name", STEPS + TOKENS + DOCUMENTS)
+@pytest.mark.parametrize("name", STEPS + TOKENS + DOCUMENTS + THINNED)
 def test_result_is_that_of_the_whole_tables(spark, duck, name):  # noqa: F811
     df = run(spark, name)
     want = duck.sql(BOUNDS.sub("", entry.oracle_sql()[name]))
