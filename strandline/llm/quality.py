@@ -23,11 +23,9 @@ from strandline.llm import kernels
 
 #: Bound of the labelled documents that the classifiers are fitted and calibrated on.
 MOST_LABELLED = 6_000
-#: Bound of the unlabelled documents that pseudo-labels are given to.
-MOST_UNLABELLED = 4_000
 ROUNDS = 3
-#: Pseudo-labels that a view gives per class and round, and the least confidence it needs.
-PER_ROUND, SURE = 200, 0.95
+#: Pseudo-labels that a view gives per class and round for a table of POOL documents, and the least confidence it needs.
+PER_ROUND, POOL, SURE = 200, 4_000, 0.95
 #: Words of the fitted vocabulary, by how well they tell the classes apart.
 MOST_WORDS = 20_000
 LEAST_DOCS = 3
@@ -239,8 +237,16 @@ def _take(v: Views, rows: np.ndarray) -> Views:
     return Views(v.words[at], np.concatenate(([0], np.cumsum(n))), v.content[rows], v.layout[rows], v.hashed[rows])
 
 
-def co_train(v: Views, label: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, sure: float = SURE) -> Model:
-    """Fit both views. ``label`` is 1 good, 0 bad, -1 unlabelled; labelled rows with ``fold`` 0 only calibrate."""
+def _append(a: Views, b: Views) -> Views:
+    return Views(np.concatenate((a.words, b.words)), np.concatenate((a.offs, a.offs[-1] + b.offs[1:])), *(np.concatenate((getattr(a, c), getattr(b, c))) for c in ("content", "layout", "hashed")))
+
+
+def co_train(v: Views, label: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, sure: float = SURE, pool_of: Pool | None = None) -> Model:
+    """Fit both views. ``label`` is 1 good, 0 bad, -1 unlabelled; labelled rows with ``fold`` 0 only calibrate.
+
+    With ``pool_of`` the unlabelled documents are those of a table: in each
+    round it appends the ones that a view is sure of to ``v``.
+    """
     train = np.flatnonzero((label >= 0) & (fold != 0))
     held = np.flatnonzero((label >= 0) & (fold == 0))
     pool = np.flatnonzero(label < 0)
@@ -255,8 +261,11 @@ def co_train(v: Views, label: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS
 
     for k in range(rounds + 1):
         content, metadata = fit(content, given["content"]), fit(metadata, given["metadata"])
-        if k == rounds or not len(pool):
+        if k == rounds or (pool_of is None and not len(pool)):
             break
+        if pool_of is not None:
+            v = pool_of.teach(content, metadata, v, given)
+            continue
         for teacher, pupil in ((content, "metadata"), (metadata, "content")):
             left = np.array([r for r in pool if r not in given[pupil]], np.int64)
             p = _sigmoid(teacher.score(_take(v, left)))
@@ -277,7 +286,7 @@ def good_label(quality: Column, toxic: Column) -> Column:
     return F.when(quality.isNull() & toxic.isNull(), None).otherwise(((F.coalesce(quality, F.lit(1)) == 1) & (F.coalesce(toxic, F.lit(0)) == 0)).cast("int"))
 
 
-_FEATURES = "label int, fold int, words binary, content array<double>, layout array<double>, hashed array<bigint>"
+_FEATURES = "key bigint, label int, fold int, words binary, content array<double>, layout array<double>, hashed array<bigint>"
 
 
 def _columns(df: DataFrame) -> list[Column]:
@@ -291,38 +300,110 @@ def _batch_views(s: pa.RecordBatch) -> Views:
     return views(s.column("text"), s.column("lang").to_pylist(), s.column("source").to_pylist(), np.asarray(s.column("__chars")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_unlabelled: int = MOST_UNLABELLED) -> Model | None:
-    """Fit on bounded samples of labelled and unlabelled documents, taken by a hash of the id; None without both classes.
+def _features(rows: DataFrame) -> tuple[Views, np.ndarray, np.ndarray]:
+    """Both views, labels and folds of rows (key, label, fold, text, lang, source, length), in the keys' order.
 
-    Only the sampled documents' features reach the driver, at most
-    ``most_labelled + most_unlabelled`` rows. Of differing labels of an id the
-    worse counts.
+    Of rows that share a key the least is taken, whatever order they come in.
     """
-    known = labels.select("doc_id", good_label(F.col("quality"), F.col("toxic")).alias("label")).filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
-    order = F.xxhash64("doc_id")
-    some = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order).limit(most_labelled)
-    rest = docs.select("doc_id").filter("doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(order).limit(most_unlabelled)
-    sample = some.unionByName(rest.withColumn("label", F.lit(-1)))
-    rows = docs.join(F.broadcast(sample), "doc_id").select(*_columns(docs), "label", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)).cast("int").alias("fold"))
+    names = ["text", "lang", "source", "__chars"]
+    one = rows.groupBy("key", "label", "fold").agg(F.min(F.struct(*names)).alias("r")).select("key", "label", "fold", "r.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in kernels.slices(b, "text"):
                 v = _batch_views(s)
                 words = [v.words[v.offs[i] : v.offs[i + 1]].tobytes() for i in range(s.num_rows)]
-                yield pa.RecordBatch.from_arrays([s.column("label"), s.column("fold"), pa.array(words, pa.binary()), *[pa.array(list(x), pa.list_(t)) for x, t in ((v.content, pa.float64()), (v.layout, pa.float64()), (v.hashed, pa.int64()))]], names=["label", "fold", "words", "content", "layout", "hashed"])
+                yield pa.RecordBatch.from_arrays([s.column("key"), s.column("label"), s.column("fold"), pa.array(words, pa.binary()), *[pa.array(list(x), pa.list_(t)) for x, t in ((v.content, pa.float64()), (v.layout, pa.float64()), (v.hashed, pa.int64()))]], names=["key", "label", "fold", "words", "content", "layout", "hashed"])
 
-    # a bounded number of rows: repeated ids of the sample are cut to the bound as well
-    got = rows.mapInArrow(run, _FEATURES).limit(2 * (most_labelled + most_unlabelled)).toArrow()
-    label, fold = np.asarray(got["label"]), np.asarray(got["fold"])
-    if len(set(label[label >= 0].tolist())) < 2:
-        return None
+    got = one.mapInArrow(run, _FEATURES).toArrow().sort_by("key")
     words = [np.frombuffer(x, np.uint64) for x in got["words"].to_pylist()]
     stack = lambda c, n: np.array(got[c].to_pylist()).reshape(-1, n)
-    v = Views(np.concatenate(words), np.concatenate(([0], np.cumsum([len(x) for x in words]))), stack("content", _N_CONTENT), stack("layout", _N_LAYOUT), stack("hashed", 2))
-    # the order rows arrive in must not matter
-    by = np.lexsort((v.words[np.minimum(v.offs[:-1], max(0, len(v.words) - 1))] if len(v.words) else label, np.diff(v.offs), v.layout[:, 0], label))
-    return co_train(_take(v, by), label[by], fold[by])
+    v = Views(np.concatenate([np.zeros(0, np.uint64), *words]), np.concatenate(([0], np.cumsum([len(x) for x in words]))).astype(np.int64), stack("content", _N_CONTENT), stack("layout", _N_LAYOUT), stack("hashed", 2).astype(np.int64))
+    return v, np.asarray(got["label"]), np.asarray(got["fold"])
+
+
+def _most_sure(keys: np.ndarray, sure: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The surest distinct keys, ties by key."""
+    order = np.lexsort((keys, -sure))
+    keys, sure = keys[order], sure[order]
+    take = np.sort(np.unique(keys, return_index=True)[1])[:most]
+    return keys[take], sure[take]
+
+
+#: Who is taught by which view, and what.
+_LESSONS = (("metadata", "content", 1.0), ("metadata", "content", 0.0), ("content", "metadata", 1.0), ("content", "metadata", 0.0))
+
+
+class Pool:
+    """All unlabelled documents of a table; equal documents are one, known by a hash of what the views read.
+
+    Each round scores the whole table where it is. Only the keys that a task is
+    surest of and the features of those chosen reach the driver. Their number
+    per lesson grows with the root of the table's rows.
+    """
+
+    def __init__(self, docs: DataFrame, known: DataFrame):
+        key = F.xxhash64(*_columns(docs)[:3])
+        self._rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("key"), *_columns(docs))
+        self._known = known.select("doc_id")
+        self.per_round = int(np.ceil(PER_ROUND * max(1.0, (docs.count() / POOL) ** 0.5)))
+        self._at: dict[int, int] = {}  # key to row of the views
+
+    def teach(self, content: ContentView, metadata: MetadataView, v: Views, given: dict[str, dict[int, float]]) -> Views:
+        """Add to ``given`` what each view is surest of among all documents that its pupil does not have yet; returns ``v`` with their rows."""
+        row_key = {r: k for k, r in self._at.items()}
+        had = {pupil: np.array(sorted(row_key[r] for r in rows), np.int64) for pupil, rows in given.items()}
+        most = self.per_round
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for s in kernels.slices(b, "text"):
+                    x = _batch_views(s)
+                    p, q = (np.round(_sigmoid(view.score(x)), 9) for view in (content, metadata))
+                    out = pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("key"), pa.array(p), pa.array(q)], names=["doc_id", "key", "content", "metadata"])
+                    yield out.filter(pa.array(np.maximum(np.abs(p - 0.5), np.abs(q - 0.5)) >= SURE - 0.5))
+            kernels.give_back()
+
+        def surest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [(np.zeros(0, np.int64), np.zeros(0)) for _ in _LESSONS]
+            for b in batches:
+                keys = np.asarray(b.column("key"))
+                for i, (pupil, teacher, y) in enumerate(_LESSONS):
+                    p = np.asarray(b.column(teacher))
+                    side = p if y else 1 - p
+                    new = (side >= SURE) & ~np.isin(keys, had[pupil])
+                    held[i] = _most_sure(np.concatenate((held[i][0], keys[new])), np.concatenate((held[i][1], side[new])), most)
+            for i, (keys, sure) in enumerate(held):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys), pa.array(sure)], names=["lesson", "key", "sure"])
+
+        slim = self._rows.mapInArrow(scored, "doc_id bigint, key bigint, content double, metadata double").join(self._known, "doc_id", "left_anti")
+        got = slim.select("key", "content", "metadata").mapInArrow(surest, "lesson int, key bigint, sure double").toArrow()
+        lesson, key, sure = (np.asarray(got[c]) for c in ("lesson", "key", "sure"))
+        picked = [_most_sure(key[lesson == i], sure[lesson == i], most)[0].tolist() for i in range(len(_LESSONS))]
+        fresh = sorted({k for keys in picked for k in keys} - self._at.keys())
+        if fresh:
+            ids = self._rows.sparkSession.createDataFrame(pa.table({"key": pa.array(fresh, pa.int64())}))
+            none = F.lit(-1).cast("int")
+            more, _, _ = _features(self._rows.drop("doc_id").join(F.broadcast(ids), "key").withColumns({"label": none, "fold": none}))
+            self._at.update({k: len(v.offs) - 1 + i for i, k in enumerate(fresh)})
+            v = _append(v, more)
+        for (pupil, _, y), keys in zip(_LESSONS, picked, strict=True):
+            given[pupil].update({self._at[k]: y for k in keys})
+        return v
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Model | None:
+    """Fit on a bounded sample of labelled documents, taken by a hash of the id, and on all unlabelled ones; None without both classes.
+
+    Of differing labels of an id the worse counts, of its rows the least one.
+    """
+    known = labels.select("doc_id", good_label(F.col("quality"), F.col("toxic")).alias("label")).filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
+    some = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+    rows = docs.join(F.broadcast(some), "doc_id").select(F.col("doc_id").cast("bigint").alias("key"), *_columns(docs), "label", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)).cast("int").alias("fold"))
+    v, label, fold = _features(rows)
+    if len(set(label.tolist())) < 2:
+        return None
+    return co_train(v, label, fold, pool_of=Pool(docs, known))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
