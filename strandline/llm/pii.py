@@ -96,7 +96,7 @@ _AT = rf"{_OPEN}(?:at|AT|At|@){_CLOSE}"
 _DOT = rf"{_OPEN}(?:dot|DOT|Dot|\.){_CLOSE}"
 #: Words that a spoken address may have on either side of its sign.
 _PARTS = 8
-_SPOKEN = rf"(?P<spoken>[A-Za-z0-9_%+-]+(?:[ \t](?:dot|DOT)[ \t][A-Za-z0-9_%+-]+|\.[A-Za-z0-9_%+-]+){{0,{_PARTS}}}[ \t](?:at|AT)[ \t](?!(?:the|a|an|this|that|my|our)\b)[A-Za-z0-9-]+(?:(?:[ \t](?:dot|DOT)[ \t]|\.)[A-Za-z0-9-]+){{0,{_PARTS}}}[ \t](?:dot|DOT)[ \t][A-Za-z]{{2,24}}\b)"
+_SPOKEN = rf"(?P<spoken>[A-Za-z0-9_%+-]+(?:[ \t](?:dot|DOT)[ \t][A-Za-z0-9_%+-]+|\.[A-Za-z0-9_%+-]+){{0,{_PARTS}}}[ \t](?:at|AT)[ \t](?!(?:the|a|an|this|that|my|our)(?![A-Za-z0-9-]))[A-Za-z0-9-]+(?:(?:[ \t](?:dot|DOT)[ \t]|\.)[A-Za-z0-9-]+){{0,{_PARTS}}}[ \t](?:dot|DOT)[ \t][A-Za-z]{{2,24}}\b)"
 _BRACKETED = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})")
 _SPOKEN_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-]){_SPOKEN}")
 _SIGN = re.compile(r"[ \t](?P<at>at|AT)[ \t]|[ \t](?P<dot>dot|DOT)[ \t]")

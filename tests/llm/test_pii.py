@@ -85,3 +85,8 @@ def test_odd_rows(documents):
 def test_span_rows(documents):
     got = pii.pii_spans(documents([(1, "x a@b.co"), (2, None)])).collect()
     assert [(r.doc_id, r.kind, r.start, r.end, r.value, r.disguised) for r in got] == [(1, "email", 2, 8, "a@b.co", False)]
+
+
+def test_hosts_that_begin_with_an_article():
+    assert pii.undo_signs("jane at my-mail dot com") == [(4, 8, "@"), (15, 20, ".")]
+    assert pii.undo_signs("jane at the dot com") == []
