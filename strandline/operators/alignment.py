@@ -98,18 +98,6 @@ def action_coupled(kind: Column, value: Column, target: Column) -> Column:
     return F.when(kind == "finish", tx.normalize_answer(value) == tx.normalize_answer(target)).otherwise(tx.token_bounded(target, value))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, depth: int = 16) -> DataFrame:
-    """(trajectory_uid, ref) that the starts depend on through inputs, the starts included."""
-    edges.createOrReplaceTempView("__r_edges")
-    starts.createOrReplaceTempView("__r_starts")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE back(trajectory_uid, ref, d) AS (
-          SELECT trajectory_uid, ref, 0 FROM __r_starts
-          UNION ALL
-          SELECT b.trajectory_uid, e.input, b.d + 1 FROM back b JOIN __r_edges e ON b.trajectory_uid = e.trajectory_uid AND b.ref = e.ref WHERE b.d < {int(depth)}
-        ) SELECT DISTINCT trajectory_uid, ref FROM back""")
-
-
 def submission(steps: DataFrame) -> DataFrame:
     """The answer of each trajectory's first finish that follows a search (trajectory_uid, step_index, action, answer)."""
     searched = steps.filter("action = 'search'").groupBy("trajectory_uid").agg(F.min("step_index").alias("first_search"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline import checks
 from strandline.functions import hashing
+from strandline.operators import graphs
 
 TOLERANCE = 1e-8
 
@@ -155,21 +156,9 @@ def evidence_metrics(returned: DataFrame, gold: DataFrame, eligible: DataFrame)
     return j.select("trajectory_uid", F.when(ok, F.col("hit") / F.col("want")).alias("recall"), F.when(ok, F.when(F.col("got") > 0, F.col("hit") / F.col("got")).otherwise(0.0)).alias("precision"), F.when(ok, F.col("hit") == F.col("want")).alias("both_supports"))
 
 
-def ancestors(edges: DataFrame, depth: int = 16) -> DataFrame:
-    """(trajectory_uid, ref, ancestor) of all paths in a step graph with edges (trajectory_uid, ref, input), by a recursive query."""
-    edges.createOrReplaceTempView("__edges")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE up(trajectory_uid, ref, ancestor, d) AS (
-          SELECT trajectory_uid, ref, input, 1 FROM __edges
-          UNION ALL
-          SELECT u.trajectory_uid, u.ref, e.input, u.d + 1 FROM up u JOIN __edges e ON u.trajectory_uid = e.trajectory_uid AND u.ancestor = e.ref WHERE u.d < {int(depth)}
-        ) SELECT DISTINCT trajectory_uid, ref, ancestor FROM up""")
-
-
-def taint(nodes: DataFrame, edges: DataFrame, gamma: float = 0.3, depth: int = 16) -> DataFrame:
+def taint(nodes: DataFrame, edges: DataFrame, gamma: float = 0.3) -> DataFrame:
     """gamma to the number of invalid ancestors, times the node's own validity; nodes are (trajectory_uid, ref, valid)."""
-    bad = nodes.filter("not valid").select("trajectory_uid", F.col("ref").alias("ancestor"))
-    n = ancestors(edges, depth).join(bad, ["trajectory_uid", "ancestor"], "left_semi").groupBy("trajectory_uid", "ref").agg(F.count(F.lit(1)).alias("bad"))
+    n = graphs.count_ancestors(edges, nodes.filter("not valid").select("trajectory_uid", "ref")).withColumnRenamed("n", "bad")
     return nodes.join(n, ["trajectory_uid", "ref"], "left").fillna(0, ["bad"]).withColumn("weight", F.pow(F.lit(gamma), F.col("bad")) * F.col("valid").cast("double"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import hashing
 from strandline.functions import text as tx
-from strandline.operators import advantage, alignment, credit, losses, prep, reports, retrieval, sampling
+from strandline.operators import advantage, alignment, credit, graphs, losses, prep, reports, retrieval, sampling
 from strandline.plans import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -343,7 +343,7 @@ def evidence_recall_precision(spark: SparkSession, sf: str) -> DataFrame:
     return credit.evidence_metrics(found, gold, eligible)
 
 
-@query(f"WITH {v.STEPS}, n AS (SELECT *, row_number() OVER (PARTITION BY trajectory_uid ORDER BY step_index) AS i FROM steps WHERE k % 2 = 0) SELECT trajectory_uid, step_index, {r('(k % 3 > 0)::INT / 4.0::DOUBLE', 'score')} FROM n WHERE i <= 4")
+@query(f"WITH {v.STEPS}, n AS (SELECT *, row_number() OVER (PARTITION BY trajectory_uid ORDER BY step_index) AS i FROM steps) SELECT trajectory_uid, step_index, {r('(k % 3 > 0)::INT / 4.0::DOUBLE', 'score')} FROM n WHERE i <= 4")
 def execution_credit(spark: SparkSession, sf: str) -> DataFrame:
     s = v.steps(spark, sf)
     return credit.execution_credit(s.withColumn("success", F.pmod("k", F.lit(3)) > 0), 4)
@@ -363,14 +363,14 @@ def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-_GRAPH = "RECURSIVE " + v.STEPS + """, nodes AS (SELECT trajectory_uid, 's' || step_index AS ref, k % 4 > 0 AS valid FROM steps WHERE step_index < 10),
-edges AS (SELECT trajectory_uid, 's' || step_index AS ref, 's' || (step_index // 2) AS input FROM steps WHERE step_index > 0 AND step_index < 10),
+_GRAPH = "RECURSIVE " + v.STEPS + """, nodes AS (SELECT trajectory_uid, 's' || step_index AS ref, k % 4 > 0 AS valid FROM steps),
+edges AS (SELECT trajectory_uid, 's' || step_index AS ref, 's' || (step_index // 2) AS input FROM steps WHERE step_index > 0),
 up AS (SELECT trajectory_uid, ref, input AS ancestor FROM edges UNION SELECT u.trajectory_uid, u.ref, e.input FROM up u JOIN edges e ON u.trajectory_uid = e.trajectory_uid AND u.ancestor = e.ref)"""
 
 
 @query(f"WITH {_GRAPH} SELECT * FROM up")
 def recursive_ancestors(spark: SparkSession, sf: str) -> DataFrame:
-    return credit.ancestors(_graph(spark, sf)[1])
+    return graphs.ancestors(_graph(spark, sf)[1])
 
 
 @query(f"WITH {_GRAPH}, b AS (SELECT u.trajectory_uid, u.ref, count(*) AS n FROM up u JOIN nodes x ON u.trajectory_uid = x.trajectory_uid AND u.ancestor = x.ref WHERE NOT x.valid GROUP BY 1, 2) SELECT n.trajectory_uid, n.ref, n.valid, coalesce(b.n, 0) AS bad, {r('pow(0.3, coalesce(b.n, 0)) * n.valid::INT', 'weight')} FROM nodes n LEFT JOIN b ON n.trajectory_uid = b.trajectory_uid AND n.ref = b.ref")
@@ -382,7 +382,7 @@ def dependency_taint(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_GRAPH}, st AS (SELECT trajectory_uid, ref FROM nodes WHERE ref = 's9') SELECT DISTINCT * FROM (SELECT * FROM st UNION ALL SELECT u.trajectory_uid, u.ancestor FROM up u JOIN st ON u.trajectory_uid = st.trajectory_uid AND u.ref = st.ref)")
 def coupling_fixpoint(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = _graph(spark, sf)
-    return alignment.reachable(edges, nodes.filter("ref = 's9'").select("trajectory_uid", "ref"))
+    return graphs.reachable(edges, nodes.filter("ref = 's9'").select("trajectory_uid", "ref"))
 
 
 @query(f"WITH {v.STEPS}, x AS (SELECT trajectory_uid, step_index, k % 4 > 0 AS valid FROM steps) SELECT trajectory_uid, step_index, valid, valid AND coalesce(bool_or(NOT valid) OVER (PARTITION BY trajectory_uid ORDER BY step_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS self_correction FROM x")
@@ -608,7 +608,7 @@ def _artifacts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return a.select("artifact_id", "sha256"), runs
 
 
-_RUNS = "rr AS (SELECT l_orderkey || '-' || l_linenumber AS run_id, l_partkey AS pk, l_partkey % 3 > 0 AS exact, l_suppkey % 2 = 0 AS s1, l_quantity > 20 AS all_passed FROM lineitem WHERE l_orderkey % 7 = 0)"
+_RUNS = "rr AS (SELECT l_orderkey || '-' || l_linenumber AS run_id, l_partkey AS pk, l_partkey % 3 > 0 AS exact, l_suppkey % 2 = 0 AS s1, l_quantity > 20 AS all_passed FROM lineitem)"
 
 
 @query(f"WITH {_RUNS} SELECT 'code:' || p_partkey AS artifact_id, count(run_id) AS runs, count(*) FILTER (WHERE exact AND s1) AS exact_runs, coalesce(bool_or(all_passed) FILTER (WHERE exact AND s1), false) AS verified FROM part LEFT JOIN rr ON pk = p_partkey GROUP BY 1")
@@ -616,7 +616,7 @@ def execution_lineage(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.lineage(*_artifacts(spark, sf), "dev", "s1")
 
 
-@query(f"""WITH {_RUNS}, sub AS (SELECT o_orderkey AS s, 1 + o_orderkey % 2100 AS pk, CASE WHEN o_orderkey % 9 = 0 THEN [] ELSE [o_orderkey || '-1', o_orderkey || '-2'] END AS ids FROM orders WHERE o_orderkey % 5 = 0),
+@query(f"""WITH {_RUNS}, sub AS (SELECT o_orderkey AS s, 1 + o_orderkey % 2100 AS pk, CASE WHEN o_orderkey % 9 = 0 THEN [] ELSE [o_orderkey || '-1', o_orderkey || '-2'] END AS ids FROM orders),
 f AS (SELECT s, pk, unnest(CASE WHEN len(ids) = 0 THEN [NULL] ELSE ids END) AS run_id FROM sub), j AS (SELECT f.*, p.p_partkey AS known, r.pk AS rpk, r.exact, r.all_passed FROM f LEFT JOIN part p ON f.pk = p.p_partkey LEFT JOIN rr r ON f.run_id = r.run_id),
 g AS (SELECT s, pk, max(known) AS known, count(run_id) AS named, count(rpk) AS found, bool_and(rpk = pk) AS own, bool_and(exact) AS exact, bool_and(all_passed) AS passed FROM j GROUP BY 1, 2)
 SELECT s AS submission_id, 'code:' || pk AS artifact_id, CASE WHEN known IS NULL THEN 'unknown_artifact' WHEN named = 0 THEN 'no_evidence' WHEN found < named THEN 'unknown_run' WHEN NOT own THEN 'run_of_another_artifact' WHEN NOT exact THEN 'code_changed' WHEN NOT passed THEN 'not_all_passed' ELSE 'ok' END AS result FROM g""")
@@ -677,7 +677,7 @@ def topk_inner_product(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.top_k(e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "qid"), e.withColumnRenamed("vec_id", "pid"))
 
 
-@query("""WITH f AS (SELECT event_type AS trajectory_uid, user_id AS pid, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS position FROM events WHERE event_id % 9 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY trajectory_uid, pid ORDER BY position) AS rn FROM f)
+@query("""WITH f AS (SELECT event_type AS trajectory_uid, user_id AS pid, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS position FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY trajectory_uid, pid ORDER BY position) AS rn FROM f)
 , o AS (SELECT n.*, sum(length(d.text)) OVER (PARTITION BY trajectory_uid ORDER BY position) AS used FROM n JOIN documents d ON n.pid = d.doc_id WHERE rn = 1) SELECT trajectory_uid, pid, position::INT AS position, used::BIGINT AS used FROM o WHERE used <= 60000""")
 def passage_budget(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("event_type").orderBy("ts", "event_id")
@@ -708,7 +708,7 @@ def hash_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.sample(v.table(spark, sf, "documents").select("doc_id"), 25, "doc_id", "s1")
 
 
-@query("""WITH c AS (SELECT user_id::VARCHAR AS task_id, event_id AS case_index, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY sha256('tests' || chr(1) || user_id || chr(1) || event_id), event_id) AS rank FROM events WHERE event_id % 3 = 0)
+@query("""WITH c AS (SELECT user_id::VARCHAR AS task_id, event_id AS case_index, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY sha256('tests' || chr(1) || user_id || chr(1) || event_id), event_id) AS rank FROM events)
 SELECT task_id, case_index, CASE WHEN rank <= CASE WHEN n < 2 THEN 0 WHEN n < 4 THEN 1 ELSE least(greatest(2, round_even(0.25 * n, 0)::INT), n - 2) END THEN 'developer' ELSE 'hidden' END AS split FROM c""")
 def case_split(spark: SparkSession, sf: str) -> DataFrame:
     c = v.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("case_index"))

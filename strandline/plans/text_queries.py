@@ -169,7 +169,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query("SELECT doc_id, lang, source FROM documents WHERE doc_id % 4 = 1 ORDER BY doc_id")
+@query("SELECT doc_id, lang, source FROM documents ORDER BY doc_id")
 def jsonl_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "jsonl")
     d = v.table(spark, sf, "documents").select("doc_id", "lang", "source")
@@ -186,7 +186,7 @@ def split_writer(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_columns(spark, [path], ["split", "lang", "absent"]).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id AS pid, source AS title, len(string_split(text, chr(10))) AS sentences FROM documents WHERE doc_id % 10 = 0")
+@query("SELECT doc_id AS pid, source AS title, len(string_split(text, chr(10))) AS sentences FROM documents")
 def evidence_store(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch(spark, "evidence")
     d = v.table(spark, sf, "documents")
@@ -197,7 +197,7 @@ def evidence_store(spark: SparkSession, sf: str) -> DataFrame:
     return store.table("paragraphs").join(store.samples("train").select(F.col("row_index").alias("pid")), "pid").select("pid", "title", F.size("sentences").alias("sentences"))
 
 
-@query("SELECT event_id::INT AS sample_index, 'k' || event_id AS sample_key, event_type AS question, 'g' AS ground_truth, round(value, 6) + 0.0 AS score FROM events WHERE event_id < 400")
+@query("SELECT event_id::INT AS sample_index, 'k' || event_id AS sample_key, event_type AS question, 'g' AS ground_truth, round(value, 6) + 0.0 AS score FROM events")
 def streaming_append(spark: SparkSession, sf: str) -> DataFrame:
     """Records that arrive in two folders of files, the second of which repeats half of the first, are each written once."""
     base = scratch(spark, "stream")
@@ -233,7 +233,7 @@ def _audits(spark: SparkSession, sf: str) -> DataFrame:
     return v.steps(spark, sf)
 
 
-_AUDITS = v.STEPS + ", a AS (SELECT * FROM steps WHERE step_index < 8)"
+_AUDITS = v.STEPS + ", a AS (SELECT * FROM steps)"
 
 
 @query(f"""WITH {_AUDITS}, c AS (SELECT trajectory_uid, step_index, k % 4 > 0 AS tested, k % 3 = 0 AS verified FROM a), z AS (SELECT trajectory_uid, max(step_index) AS last, min(k) % 2 = 0 AS attempted, max(k) % 2 = 0 AS valid FROM a GROUP BY 1),

@@ -63,7 +63,7 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SLOTS = STEPS + """, slots AS (
-  SELECT trajectory_uid, 'g' || (step_index // 3) AS group_id, step_index % 3 AS slot, step_index, (k % 5) / 4.0::DOUBLE AS score, k % 3 > 0 AS applicable, (k % 2) + 1.0::DOUBLE AS base_weight FROM steps WHERE step_index < 12
+  SELECT trajectory_uid, 'g' || (step_index // 3) AS group_id, step_index % 3 AS slot, step_index, (k % 5) / 4.0::DOUBLE AS score, k % 3 > 0 AS applicable, (k % 2) + 1.0::DOUBLE AS base_weight FROM steps
 )"""
 
 
@@ -121,7 +121,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS = STEPS + """, tokens AS (
   SELECT uid, trajectory_uid, step_index, pos, CASE WHEN pos > 0 THEN 1 ELSE 0 END AS mask, CASE WHEN pos = 2 THEN reward / 100 ELSE 0.0::DOUBLE END AS reward, (n % 9) / 10.0::DOUBLE AS value, (n % 8) / 10.0::DOUBLE AS new_value,
     -(n % 23) / 10.0::DOUBLE AS log_prob, -(n % 19) / 10.0::DOUBLE AS old_log_prob, (n % 11 - 5) / 4.0::DOUBLE AS advantage, (n % 10) / 8.0::DOUBLE AS returns, (n % 5) / 16.0::DOUBLE AS entropy, (n % 3) / 32.0::DOUBLE AS kl, (n % 4) / 2.0::DOUBLE AS weight
-  FROM (SELECT s.*, p.pos, s.row_id * 3 + p.pos AS n FROM steps s, (SELECT unnest([0, 1, 2]) AS pos) p WHERE step_index < 6)
+  FROM (SELECT s.*, p.pos, s.row_id * 3 + p.pos AS n FROM steps s, (SELECT unnest([0, 1, 2]) AS pos) p)
 )"""
 
 
