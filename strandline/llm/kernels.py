@@ -11,12 +11,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Text bytes that one vectorised call works on; bounds the memory of a Python worker.
 SLICE_BYTES = 2_000_000
 
 _MULT = 0x9E3779B97F4A7C15
-_INV = pow(_MULT, -1, 1 << 64)
 _U = np.uint64
 
 
@@ -27,22 +27,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(_MULT))
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        have = np.empty(size, np.uint64)
-        have[0] = 1
-        k = 1
-        while k < size:
-            have[k : 2 * k] = have[:k] * _U(pow(base, k, 1 << 64))
-            k *= 2
-        _POWERS[base] = have
-    return have[:n]
+#: Bytes of a chunk of 8 that lie in a span of which so many are left.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a span that are hashed chunk by chunk with all others; what is beyond is hashed span by span.
+_LONG = 1_024
 
 
 def lower_table() -> np.ndarray:
@@ -99,20 +87,47 @@ def runs(member: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def _chunks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place, zeros behind the end; a view of one copy of the buffer."""
+    held = np.zeros(len(data) + 8, np.uint8)
+    held[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", held, strides=(1,))
+
+
 def span_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
     """64-bit hashes of the byte spans [first, end); equal spans have equal hashes wherever they stand.
 
-    ``table`` maps bytes before they are hashed (lower-casing).
+    ``table`` maps bytes before they are hashed (lower-casing). Chunks of eight
+    bytes are mixed in one after the other, so that no arithmetic relation
+    between two spans makes their hashes equal.
     """
-    n = len(data)
     if not len(first):
         return np.zeros(0, np.uint64)
-    codes = _BYTE if table is None else _BYTE[table]
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(codes[data] * _powers(_MULT, n), out=total[1:])
-    h = (total[end] - total[first]) * _powers(_INV, n)[first]
-    return mix(h ^ ((end - first).astype(np.uint64) * _U(_MULT)))
+    if table is not None:
+        data = table[data]
+    chunk, size, step = _chunks(data), end - first, _U(_MULT)
+    h = mix((mix(size.astype(np.uint64) * step) ^ (chunk[first] & _MASK[np.minimum(size, 8)])) + step)
+    rest, k = np.flatnonzero(size > 8), 8
+    while len(rest) and k < _LONG:
+        left = size[rest] - k
+        h[rest] = mix((h[rest] ^ (chunk[first[rest] + k] & _MASK[np.minimum(left, 8)])) + step)
+        rest, k = rest[left > 8], k + 8
+    for i in rest.tolist():
+        h[i] ^= _U(xxhash.xxh64_intdigest(data[first[i] + k : end[i]].tobytes(), int(h[i])))
+    return h
+
+
+def same_spans(a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from each place of ``a`` equal those from the same row's place of ``b``."""
+    x, y = _chunks(a), _chunks(b)
+    same = ((x[a_first] ^ y[b_first]) & _MASK[np.minimum(size, 8)]) == 0
+    rest, k = np.flatnonzero(same & (size > 8)), 8
+    while len(rest):
+        left = size[rest] - k
+        ok = ((x[a_first[rest] + k] ^ y[b_first[rest] + k]) & _MASK[np.minimum(left, 8)]) == 0
+        same[rest[~ok]] = False
+        rest, k = rest[ok & (left > 8)], k + 8
+    return same
 
 
 def per_document(first: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -6,12 +6,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a local one if all runs on this machine, as in tests, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         found = f"file://{tempfile.gettempdir()}/strandline-checkpoints"
     return found.rstrip("/")
 
@@ -21,15 +24,65 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: what follows survives lost executors and computes it once."""
+    """Write a table to the shared folder and read it again: what follows survives lost executors and computes it once.
+
+    The files go when :func:`drop` is told that nothing reads them any more, and
+    at the latest when the driver ends.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    drop_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a materialised table that is no longer read."""
-    jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _hadoop(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver ends."""
+    store, place = _hadoop(spark, path)
+    store.deleteOnExit(place)
+
+
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            store, place = _hadoop(spark, folder)
+            store.delete(place, True)
+
+
+#: A key that more than a MOST_HOT-th of all rows have is joined by broadcast; there are at most MOST_HOT of them.
+MOST_HOT = 100_000
+#: Keys of fewer rows are never hot.
+LEAST_HOT = 64
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, copies: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row per key and the number of ``rows`` that have it in ``copies``.
+
+    Hot keys' rows stay where they are and meet a broadcast of the hot keys,
+    whose number has a proven bound; all other rows are joined as usual, and no
+    task gets a hot key. Null keys join nothing. ``copies`` is not returned.
+    """
+    total = table.agg(F.sum(copies)).first()[0] or 0
+    bound = max(LEAST_HOT, total // MOST_HOT)
+    hot = table.filter(F.col(copies) > bound).drop(copies)
+    cold = table.filter(F.col(copies) <= bound).drop(copies)
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return near.unionByName(far)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of ``df`` has, whatever its case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for w in wanted:
+        name = f"__{w}"
+        while name in have:
+            name = f"_{name}"
+        out.append(name)
+    return out

@@ -3,8 +3,9 @@
 A text is cut before white space that follows a visible character, and before
 punctuation that follows a letter or digit. Both public vocabularies used here
 cut there too before they merge, so the pieces' ids laid end to end are the
-text's ids. Pieces repeat a lot: each worker keeps a bounded
-table from a piece's hash to its ids and asks the tokenizer only for new ones.
+text's ids. Pieces repeat a lot: each worker keeps a bounded table from a
+piece's hash to its bytes and ids and asks the tokenizer only for new ones. A
+piece takes ids from the table only if its bytes are the ones that are kept.
 """
 
 from __future__ import annotations
@@ -66,6 +67,9 @@ class Encoder:
         self._start = np.zeros(0, np.int32)
         self._count = np.zeros(0, np.int32)
         self._ids = np.zeros(0, np.uint32)
+        self._raw = np.zeros(0, np.uint8)  # the pieces' bytes, with their places and sizes
+        self._at = np.zeros(0, np.int64)
+        self._size = np.zeros(0, np.int64)
 
     def _encode_texts(self, texts: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
@@ -83,8 +87,12 @@ class Encoder:
             count[at : at + 500] = np.bincount(of, minlength=min(500, len(pieces) - at)) if len(of) else 0
         return np.concatenate(flat), count
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        flat, count = self._encode_pieces(texts)
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        flat, count = self._encode_pieces([x.decode() for x in pieces])
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self._at = np.concatenate((self._at, len(self._raw) + np.cumsum(size) - size))
+        self._size = np.concatenate((self._size, size))
+        self._raw = np.concatenate((self._raw, np.frombuffer(b"".join(pieces), np.uint8)))
         base, row = len(self._ids), len(self._start)
         self._start = np.concatenate((self._start, (base + np.cumsum(count) - count).astype(np.int32)))
         self._count = np.concatenate((self._count, count.astype(np.int32)))
@@ -101,9 +109,8 @@ class Encoder:
         if not len(first):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         end = np.append(first[1:], len(data))
-        raw = data.tobytes()
+        raw, size = data.tobytes(), end - first
         hashes = kernels.span_hashes(data, first, end)
-        long = np.flatnonzero(end - first > LONGEST_CACHED)
         uniq, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self._keys) + len(uniq) > CACHE_PIECES:
             self._reset()
@@ -112,16 +119,23 @@ class Encoder:
         new = np.flatnonzero(~known)
         if len(new):
             w = where[new]
-            self._learn(uniq[new], [raw[s:e].decode() if e - s <= LONGEST_CACHED else "" for s, e in zip(first[w].tolist(), end[w].tolist(), strict=True)])
+            self._learn(uniq[new], [raw[s:e] if e - s <= LONGEST_CACHED else b"" for s, e in zip(first[w].tolist(), end[w].tolist(), strict=True)])
             at = np.searchsorted(self._keys, uniq)
-        row = self._rows[at][inverse]
+        row = self._rows[at]
+        # a hash only proposes: the bytes must be those of the table's piece, and of the first piece here with that hash
+        kept = self._size[row] == size[where]
+        kept[kept] = kernels.same_spans(data, first[where[kept]], self._raw, self._at[row[kept]], size[where[kept]])
+        ok = kept[inverse] & (size == size[where][inverse])
+        ok[ok] = kernels.same_spans(data, first[ok], data, first[where[inverse[ok]]], size[ok])
+        row = row[inverse]
         start, count = self._start[row].astype(np.int64), self._count[row].astype(np.int64)
         pool = self._ids
-        if len(long):
-            ids = self._encode_texts([raw[s:e].decode() for s, e in zip(first[long].tolist(), end[long].tolist(), strict=True)])
+        alone = np.flatnonzero(~ok)
+        if len(alone):
+            ids = self._encode_texts([raw[s:e].decode() for s, e in zip(first[alone].tolist(), end[alone].tolist(), strict=True)])
             n = np.fromiter(map(len, ids), np.int64, len(ids))
-            start[long] = len(pool) + np.cumsum(n) - n
-            count[long] = n
+            start[alone] = len(pool) + np.cumsum(n) - n
+            count[alone] = n
             pool = np.concatenate((pool, np.fromiter((x for y in ids for x in y), np.uint32, int(n.sum()))))
         total = np.concatenate(([0], np.cumsum(count)))
         flat = pool[np.repeat(start - total[:-1], count) + np.arange(total[-1])]
