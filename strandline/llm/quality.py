@@ -1,11 +1,12 @@
 """Document quality by co-training two views.
 
-One classifier sees only a text's content: which words occur and which
-characters. The other sees only what a page's record says: its language, its
-source, its length and its line layout. Over a few rounds each labels the
-unlabelled documents that it is sure of for the other to learn from. Each view's
-score is then calibrated on labelled documents that it was not fitted on, and
-the two calibrated log-odds are combined to score all documents.
+One classifier sees only a text's content: which words and characters occur and
+how its lines are laid out. The other sees only what a page's record says, and
+nothing of the text: its language, its source and its recorded length. Over a
+few rounds each labels the unlabelled documents that it is sure of for the other
+to learn from. Each view's score is then calibrated on labelled documents by
+views that were fitted without them, fold by fold, and the two calibrated
+log-odds are combined to score all documents.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ from pyspark.sql import functions as F
 
 from strandline.llm import kernels
 
-#: Bound of the labelled documents that the classifiers are fitted and calibrated on.
-MOST_LABELLED = 6_000
+#: Bounds of the labelled documents that the classifiers are fitted and calibrated on: their number, and their text in bytes.
+MOST_LABELLED, MOST_LABELLED_BYTES = 6_000, 60_000_000
+#: Text, in bytes, that a lesson may have for each of its documents on average; a longer document waits for a later round.
+LESSON_BYTES = 10_000
+#: Parts of the labelled documents, each of which is scored by views fitted on the others to calibrate them.
+FOLDS = 4
 ROUNDS = 3
 #: Pseudo-labels that a view gives per class and round for a table of POOL documents, and the least confidence it needs.
 PER_ROUND, POOL, SURE = 200, 4_000, 0.95
@@ -44,7 +49,7 @@ _CLASSES[10] = 5
 _CLASSES[[ord(c) for c in ".,;:?'"]] = 6
 _CLASSES[[ord(c) for c in "!#$%&*|@^~_=+<>{}[]/\\"]] = 7
 _CLASSES[128:] = 8
-_N_CONTENT, _N_LAYOUT, _N_HASHED = 8, 7, 64
+_N_CONTENT, _N_LENGTH, _N_HASHED = 14, 2, 64
 
 
 def _mean_square(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +67,7 @@ class Views:
     words: np.ndarray
     offs: np.ndarray
     content: np.ndarray
-    layout: np.ndarray
+    length: np.ndarray
     hashed: np.ndarray
 
 
@@ -75,6 +80,7 @@ def _slot(value: object, salt: int) -> int:
 
 
 def views(text: pa.Array, lang: list, source: list, n_chars: np.ndarray) -> Views:
+    """``n_chars`` is the recorded length, NaN where there is none."""
     data, offs = kernels.text_buffer(text)
     n = len(offs) - 1
     size = np.maximum(1, np.diff(offs)).astype(np.float64)
@@ -91,7 +97,6 @@ def views(text: pa.Array, lang: list, source: list, n_chars: np.ndarray) -> View
     new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
     h, rows = h[new], rows[new]
     distinct = np.bincount(rows, minlength=n)
-    content = np.column_stack([shares[:, 1], shares[:, 2], shares[:, 3], shares[:, 6], shares[:, 7], word_mean / 10, word_dev / 10, distinct / np.maximum(1, hi - lo)]) if n else np.zeros((0, _N_CONTENT))
     line = data != 10
     lf, le = kernels.runs(line, offs)
     llo, lhi = kernels.per_document(lf, offs)
@@ -104,9 +109,13 @@ def views(text: pa.Array, lang: list, source: list, n_chars: np.ndarray) -> View
     fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     lines = np.maximum(1, lhi - llo)
     unique = np.bincount(b[fresh], minlength=n) / lines
-    layout = np.column_stack([np.log1p(n_chars) / 10, np.log1p(lines) / 5, np.log1p(mean) / 5, np.log1p(dev) / 5, unique, shares[:, 5] * 10, (np.diff(offs) == 0).astype(float)]) if n else np.zeros((0, _N_LAYOUT))
+    dense = [shares[:, 1], shares[:, 2], shares[:, 3], shares[:, 6], shares[:, 7], word_mean / 10, word_dev / 10, distinct / np.maximum(1, hi - lo)]
+    dense += [np.log1p(lines) / 5, np.log1p(mean) / 5, np.log1p(dev) / 5, unique, shares[:, 5] * 10, np.diff(offs) == 0]
+    content = np.column_stack(dense).astype(np.float64) if n else np.zeros((0, _N_CONTENT))
+    unknown = np.isnan(n_chars)
+    length = np.column_stack([np.log1p(np.where(unknown, 0, np.maximum(n_chars, 0))) / 10, unknown]).astype(np.float64) if n else np.zeros((0, _N_LENGTH))
     hashed = np.array([[_slot(x, 0), _slot(y, 1)] for x, y in zip(lang, source, strict=True)], np.int64).reshape(n, 2)
-    return Views(h, np.concatenate(([0], np.cumsum(distinct))), content, layout, hashed)
+    return Views(h, np.concatenate(([0], np.cumsum(distinct))), content, length, hashed)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -195,19 +204,19 @@ class ContentView:
 
 @dataclass
 class MetadataView:
-    """Logistic regression over language, source, length and line layout."""
+    """Logistic regression over language, source and recorded length."""
 
-    edges: np.ndarray = field(default_factory=lambda: np.zeros((0, _N_LAYOUT)))
+    edges: np.ndarray = field(default_factory=lambda: np.zeros((0, _N_LENGTH)))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def _matrix(self, v: Views) -> np.ndarray:
-        hot = np.zeros((len(v.layout), _N_HASHED))
+        hot = np.zeros((len(v.length), _N_HASHED))
         for j in range(2):
             hot[np.arange(len(hot)), v.hashed[:, j]] = 1
-        return np.column_stack([_binned(v.layout, self.edges), hot])
+        return np.column_stack([_binned(v.length, self.edges), hot])
 
     def fit(self, v: Views, y: np.ndarray, weight: np.ndarray) -> MetadataView:
-        self.edges = np.quantile(v.layout, np.linspace(0.05, 0.95, 10), axis=0) if len(y) else np.zeros((10, _N_LAYOUT))
+        self.edges = np.quantile(v.length, np.linspace(0.05, 0.95, 10), axis=0) if len(y) else np.zeros((10, _N_LENGTH))
         self.weights = _fit_dense(self._matrix(v), y, weight, 1.0)
         return self
 
@@ -234,35 +243,35 @@ class Model:
 def _take(v: Views, rows: np.ndarray) -> Views:
     n = np.diff(v.offs)[rows]
     at = np.repeat(v.offs[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return Views(v.words[at], np.concatenate(([0], np.cumsum(n))), v.content[rows], v.layout[rows], v.hashed[rows])
+    return Views(v.words[at], np.concatenate(([0], np.cumsum(n))), v.content[rows], v.length[rows], v.hashed[rows])
 
 
 def _append(a: Views, b: Views) -> Views:
-    return Views(np.concatenate((a.words, b.words)), np.concatenate((a.offs, a.offs[-1] + b.offs[1:])), *(np.concatenate((getattr(a, c), getattr(b, c))) for c in ("content", "layout", "hashed")))
+    return Views(np.concatenate((a.words, b.words)), np.concatenate((a.offs, a.offs[-1] + b.offs[1:])), *(np.concatenate((getattr(a, c), getattr(b, c))) for c in ("content", "length", "hashed")))
 
 
 def co_train(v: Views, label: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, sure: float = SURE, pool_of: Pool | None = None) -> Model:
-    """Fit both views. ``label`` is 1 good, 0 bad, -1 unlabelled; labelled rows with ``fold`` 0 only calibrate.
+    """Fit both views. ``label`` is 1 good, 0 bad, -1 unlabelled; ``fold`` deals labelled rows into parts for calibration.
 
     With ``pool_of`` the unlabelled documents are those of a table: in each
-    round it appends the ones that a view is sure of to ``v``.
+    round it appends the ones that a view is sure of to ``v``. What the views
+    taught each other stays when they are fitted anew without a part of the
+    labelled rows, which they then score; those scores calibrate and combine.
     """
-    train = np.flatnonzero((label >= 0) & (fold != 0))
-    held = np.flatnonzero((label >= 0) & (fold == 0))
-    pool = np.flatnonzero(label < 0)
+    train, pool = np.flatnonzero(label >= 0), np.flatnonzero(label < 0)
     given: dict[str, dict[int, float]] = {"content": {}, "metadata": {}}  # what each view is taught: row to label
-    content, metadata = ContentView(), MetadataView()
 
-    def fit(view, taught: dict[int, float]):
-        rows = np.concatenate((train, np.array(sorted(taught), np.int64)))
-        y = np.concatenate((label[train].astype(np.float64), [taught[r] for r in sorted(taught)]))
-        share = np.concatenate((np.ones(len(train)), np.full(len(taught), 0.5)))
-        return view.fit(_take(v, rows), y, share)
+    def fit(view, own: np.ndarray):
+        taught = given["content" if isinstance(view, ContentView) else "metadata"]
+        extra = np.array(sorted(taught), np.int64)
+        y = np.concatenate((label[own].astype(np.float64), [taught[r] for r in extra.tolist()]))
+        return view.fit(_take(v, np.concatenate((own, extra))), y, np.concatenate((np.ones(len(own)), np.full(len(extra), 0.5))))
 
-    for k in range(rounds + 1):
-        content, metadata = fit(content, given["content"]), fit(metadata, given["metadata"])
-        if k == rounds or (pool_of is None and not len(pool)):
-            break
+    def both(own: np.ndarray) -> tuple[ContentView, MetadataView]:
+        return fit(ContentView(), own), fit(MetadataView(), own)
+
+    for _ in range(rounds):
+        content, metadata = both(train)
         if pool_of is not None:
             v = pool_of.teach(content, metadata, v, given)
             continue
@@ -272,13 +281,15 @@ def co_train(v: Views, label: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS
             for side, y in ((p, 1.0), (1 - p, 0.0)):
                 top = np.argsort(-side, kind="stable")[:per_round]
                 given[pupil].update({int(left[i]): y for i in top if side[i] >= sure})
-    cal = held if len(held) >= 20 and len(set(label[held].tolist())) == 2 else train
-    a, b = content.score(_take(v, cal)), metadata.score(_take(v, cal))
-    y, one = label[cal].astype(np.float64), np.ones(len(cal))
-    # what calibrated the views may teach them in the end: the weights that were found on rows they had not seen stay
-    train = np.flatnonzero(label >= 0)
-    content, metadata = fit(content, given["content"]), fit(metadata, given["metadata"])
-    return Model(content, metadata, _fit_dense(np.column_stack([a, b]), y, one, 0.1), np.stack([_fit_dense(s[:, None], y, one, 0.1) for s in (a, b)]))
+    # each labelled row is scored by views that have not seen it; a part without which a class is gone is scored by the views of all rows
+    content, metadata = both(train)
+    unseen = np.column_stack([view.score(_take(v, train)) for view in (content, metadata)])
+    for f in sorted(set(fold[train].tolist())):
+        own, out = train[fold[train] != f], fold[train] == f
+        if len(set(label[own].tolist())) == 2:
+            unseen[out] = np.column_stack([view.score(_take(v, train[out])) for view in both(own)])
+    y, one = label[train].astype(np.float64), np.ones(len(train))
+    return Model(content, metadata, _fit_dense(unseen, y, one, 0.1), np.stack([_fit_dense(s[:, None], y, one, 0.1) for s in unseen.T]))
 
 
 def good_label(quality: Column, toxic: Column) -> Column:
@@ -286,14 +297,15 @@ def good_label(quality: Column, toxic: Column) -> Column:
     return F.when(quality.isNull() & toxic.isNull(), None).otherwise(((F.coalesce(quality, F.lit(1)) == 1) & (F.coalesce(toxic, F.lit(0)) == 0)).cast("int"))
 
 
-_FEATURES = "key bigint, label int, fold int, words binary, content array<double>, layout array<double>, hashed array<bigint>"
+_FEATURES = "key bigint, label int, fold int, words binary, content array<double>, length array<double>, hashed array<bigint>"
 
 
 def _columns(df: DataFrame) -> list[Column]:
-    """text, lang, source and length as the views read them; a column that is missing reads as null."""
+    """text, lang, source and recorded length as the views read them; a column that is missing reads as null."""
     have = set(df.columns)
     lang, source = (F.col(c).cast("string").alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in ("lang", "source"))
-    return [F.col("text"), lang, source, F.coalesce(F.char_length("text"), F.lit(0)).cast("double").alias("__chars")]
+    chars = F.col("n_chars").cast("double") if "n_chars" in have else F.lit(None).cast("double")
+    return [F.col("text"), lang, source, F.coalesce(chars, F.lit(float("nan"))).alias("__chars")]
 
 
 def _batch_views(s: pa.RecordBatch) -> Views:
@@ -313,21 +325,30 @@ def _features(rows: DataFrame) -> tuple[Views, np.ndarray, np.ndarray]:
             for s in kernels.slices(b, "text"):
                 v = _batch_views(s)
                 words = [v.words[v.offs[i] : v.offs[i + 1]].tobytes() for i in range(s.num_rows)]
-                yield pa.RecordBatch.from_arrays([s.column("key"), s.column("label"), s.column("fold"), pa.array(words, pa.binary()), *[pa.array(list(x), pa.list_(t)) for x, t in ((v.content, pa.float64()), (v.layout, pa.float64()), (v.hashed, pa.int64()))]], names=["key", "label", "fold", "words", "content", "layout", "hashed"])
+                yield pa.RecordBatch.from_arrays([s.column("key"), s.column("label"), s.column("fold"), pa.array(words, pa.binary()), *[pa.array(list(x), pa.list_(t)) for x, t in ((v.content, pa.float64()), (v.length, pa.float64()), (v.hashed, pa.int64()))]], names=["key", "label", "fold", "words", "content", "length", "hashed"])
 
     got = one.mapInArrow(run, _FEATURES).toArrow().sort_by("key")
     words = [np.frombuffer(x, np.uint64) for x in got["words"].to_pylist()]
     stack = lambda c, n: np.array(got[c].to_pylist()).reshape(-1, n)
-    v = Views(np.concatenate([np.zeros(0, np.uint64), *words]), np.concatenate(([0], np.cumsum([len(x) for x in words]))).astype(np.int64), stack("content", _N_CONTENT), stack("layout", _N_LAYOUT), stack("hashed", 2).astype(np.int64))
+    v = Views(np.concatenate([np.zeros(0, np.uint64), *words]), np.concatenate(([0], np.cumsum([len(x) for x in words]))).astype(np.int64), stack("content", _N_CONTENT), stack("length", _N_LENGTH), stack("hashed", 2).astype(np.int64))
     return v, np.asarray(got["label"]), np.asarray(got["fold"])
 
 
-def _most_sure(keys: np.ndarray, sure: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The surest distinct keys, ties by key."""
+Surest = tuple[np.ndarray, np.ndarray, np.ndarray]  # keys, how sure, bytes of text
+
+
+def _most_sure(keys: np.ndarray, sure: np.ndarray, size: np.ndarray, most: int) -> Surest:
+    """The surest distinct keys, ties by key; of what would pass LESSON_BYTES a document in all, only what still fits is taken."""
     order = np.lexsort((keys, -sure))
-    keys, sure = keys[order], sure[order]
-    take = np.sort(np.unique(keys, return_index=True)[1])[:most]
-    return keys[take], sure[take]
+    order = order[np.sort(np.unique(keys[order], return_index=True)[1])]
+    left, take = most * LESSON_BYTES, []
+    for i in order.tolist():
+        if len(take) == most:
+            break
+        if size[i] <= left:
+            left -= int(size[i])
+            take.append(i)
+    return keys[take], sure[take], size[take]
 
 
 #: Who is taught by which view, and what.
@@ -339,7 +360,8 @@ class Pool:
 
     Each round scores the whole table where it is. Only the keys that a task is
     surest of and the features of those chosen reach the driver. Their number
-    per lesson grows with the root of the table's rows.
+    per lesson grows with the root of the table's rows, and their text, which
+    bounds the features, by LESSON_BYTES for each.
     """
 
     def __init__(self, docs: DataFrame, known: DataFrame):
@@ -360,26 +382,27 @@ class Pool:
                 for s in kernels.slices(b, "text"):
                     x = _batch_views(s)
                     p, q = (np.round(_sigmoid(view.score(x)), 9) for view in (content, metadata))
-                    out = pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("key"), pa.array(p), pa.array(q)], names=["doc_id", "key", "content", "metadata"])
+                    size = np.diff(kernels.text_buffer(s.column("text"))[1])
+                    out = pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("key"), pa.array(size), pa.array(p), pa.array(q)], names=["doc_id", "key", "size", "content", "metadata"])
                     yield out.filter(pa.array(np.maximum(np.abs(p - 0.5), np.abs(q - 0.5)) >= SURE - 0.5))
             kernels.give_back()
 
         def surest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [(np.zeros(0, np.int64), np.zeros(0)) for _ in _LESSONS]
+            held = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)) for _ in _LESSONS]
             for b in batches:
-                keys = np.asarray(b.column("key"))
+                keys, size = np.asarray(b.column("key")), np.asarray(b.column("size"))
                 for i, (pupil, teacher, y) in enumerate(_LESSONS):
                     p = np.asarray(b.column(teacher))
                     side = p if y else 1 - p
                     new = (side >= SURE) & ~np.isin(keys, had[pupil])
-                    held[i] = _most_sure(np.concatenate((held[i][0], keys[new])), np.concatenate((held[i][1], side[new])), most)
-            for i, (keys, sure) in enumerate(held):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys), pa.array(sure)], names=["lesson", "key", "sure"])
-
-        slim = self._rows.mapInArrow(scored, "doc_id bigint, key bigint, content double, metadata double").join(self._known, "doc_id", "left_anti")
-        got = slim.select("key", "content", "metadata").mapInArrow(surest, "lesson int, key bigint, sure double").toArrow()
-        lesson, key, sure = (np.asarray(got[c]) for c in ("lesson", "key", "sure"))
-        picked = [_most_sure(key[lesson == i], sure[lesson == i], most)[0].tolist() for i in range(len(_LESSONS))]
+                    held[i] = _most_sure(*(np.concatenate((x, z[new])) for x, z in zip(held[i], (keys, side, size), strict=True)), most)
+            for i, (keys, sure, size) in enumerate(held):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys), pa.array(sure), pa.array(size)], names=["lesson", "key", "sure", "size"])
+
+        slim = self._rows.mapInArrow(scored, "doc_id bigint, key bigint, size bigint, content double, metadata double").join(self._known, "doc_id", "left_anti")
+        got = slim.select("key", "size", "content", "metadata").mapInArrow(surest, "lesson int, key bigint, sure double, size bigint").toArrow()
+        lesson, *rest = (np.asarray(got[c]) for c in ("lesson", "key", "sure", "size"))
+        picked = [_most_sure(*(x[lesson == i] for x in rest), most)[0].tolist() for i in range(len(_LESSONS))]
         fresh = sorted({k for keys in picked for k in keys} - self._at.keys())
         if fresh:
             ids = self._rows.sparkSession.createDataFrame(pa.table({"key": pa.array(fresh, pa.int64())}))
@@ -395,11 +418,19 @@ class Pool:
 def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Model | None:
     """Fit on a bounded sample of labelled documents, taken by a hash of the id, and on all unlabelled ones; None without both classes.
 
-    Of differing labels of an id the worse counts, of its rows the least one.
+    Of differing labels of an id the worse counts, of its rows the least one. A
+    document that would take the sample over MOST_LABELLED_BYTES is passed over.
     """
     known = labels.select("doc_id", good_label(F.col("quality"), F.col("toxic")).alias("label")).filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
-    some = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    rows = docs.join(F.broadcast(some), "doc_id").select(F.col("doc_id").cast("bigint").alias("key"), *_columns(docs), "label", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)).cast("int").alias("fold"))
+    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).groupBy("doc_id").agg(F.max("size").alias("size"))
+    drawn = known.join(sized, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).collect()
+    left, some = MOST_LABELLED_BYTES, []
+    for r in drawn:
+        if r["size"] <= left:
+            left -= r["size"]
+            some.append((r.doc_id, r.label))
+    chosen = docs.sparkSession.createDataFrame(some, "doc_id bigint, label int")
+    rows = docs.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("bigint").alias("key"), *_columns(docs), "label", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold"))
     v, label, fold = _features(rows)
     if len(set(label.tolist())) < 2:
         return None
@@ -409,9 +440,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score, content_score, metadata_score, keep for each row's whole text; without a model all are kept at 1.
 
-    A null or empty text has no words and is judged by what is left; repeated
-    rows get equal scores; an empty table gives an empty result; extra columns
-    are not read.
+    A null or empty text has no words and is judged by what is left, a missing
+    language, source or length is a value of its own; repeated rows get equal
+    scores; an empty table gives an empty result; extra columns are not read.
     """
     if model is None:
         one = F.lit(1.0)

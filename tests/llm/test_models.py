@@ -66,9 +66,9 @@ def test_each_view_teaches_the_other():
     n = 400
     y = rng.integers(0, 2, n)
     words = [np.unique(np.concatenate((np.array([11 + k], np.uint64), rng.integers(100, 200, 5).astype(np.uint64)))) for k in y]
-    layout = rng.normal(0, 0.2, (n, 7))
-    layout[:, 0] += y
-    v = quality.Views(np.concatenate(words), np.concatenate(([0], np.cumsum([len(w) for w in words]))), rng.normal(0, 1, (n, 8)), layout, np.zeros((n, 2), np.int64))
+    length = rng.normal(0, 0.2, (n, 2))
+    length[:, 0] += y
+    v = quality.Views(np.concatenate(words), np.concatenate(([0], np.cumsum([len(w) for w in words]))), rng.normal(0, 1, (n, quality._N_CONTENT)), length, np.zeros((n, 2), np.int64))
     label = np.where(np.arange(n) < 60, y, -1)
     model = quality.co_train(v, label, np.arange(n) % 4)
     s = model.scores(v)

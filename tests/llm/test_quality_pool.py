@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandline.llm import quality
@@ -42,3 +44,76 @@ def test_copies_of_an_id_do_not_crowd_out_the_rest(spark):
     assert len(label) == 80 and len(v.offs) == 81
     again, _, _ = quality._features(rows.repartition(9))
     assert (again.words == v.words).all()
+
+
+def views_of(rows):
+    """The views of (id, text, lang, source, length) rows, made without Spark."""
+    return quality.views(pa.array([r[1] for r in rows], pa.string()), [r[2] for r in rows], [r[3] for r in rows], np.array([np.nan if r[4] is None else r[4] for r in rows], float))
+
+
+def fitted(rows, label):
+    v, y, one = views_of(rows), np.array(label, float), np.ones(len(label))
+    return quality.ContentView().fit(v, y, one), quality.MetadataView().fit(v, y, one), v
+
+
+def test_one_exchange_equals_a_search_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LESSON_BYTES", 60)
+    docs, labels = corpus(spark)
+    docs = docs.filter("doc_id < 700").withColumn("text", F.when(F.col("doc_id") % 50 == 7, F.concat("text", F.repeat(F.lit(" rivers pills"), 20))).otherwise(F.col("text")))
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("source"))).unionByName(docs.filter("doc_id > 650"))
+    rows = [tuple(r) for r in docs.orderBy("doc_id").collect()]
+    taught = [r for r in rows if r[0] < 80]
+    content, metadata, v = fitted(taught, [r[0] % 2 for r in taught])
+    pool, given = quality.Pool(docs, labels), {"content": {}, "metadata": {}}
+    pool.per_round = 40
+    after = pool.teach(content, metadata, v, given)
+    # every unlabelled document, each distinct one once, by what the other view says
+    left = list(dict.fromkeys(r[1:] for r in rows if r[0] >= 80))
+    key = {tuple(r[:3]): r.key for r in docs.select("text", "lang", "source", F.xxhash64("text", "lang", "source").alias("key")).collect()}
+    x = views_of([(0, *r) for r in left])
+    want = {}
+    for pupil, teacher in (("metadata", content), ("content", metadata)):
+        p = np.round(quality._sigmoid(teacher.score(x)), 9)
+        for y, side in ((1.0, p), (0.0, 1 - p)):
+            room, n = 40 * 60, 0
+            for i in sorted(range(len(left)), key=lambda i: (-side[i], key[left[i][:3]])):
+                size = len(left[i][0].encode())
+                if side[i] >= quality.SURE and n < 40 and size <= room:
+                    room, n = room - size, n + 1
+                    want.setdefault(pupil, {})[key[left[i][:3]]] = y
+    row_key = {r: k for k, r in pool._at.items()}
+    assert {pupil: {row_key[r]: y for r, y in rows.items()} for pupil, rows in given.items()} == {"content": {}, "metadata": {}} | want
+    assert want["metadata"] and all(r >= len(taught) for r in row_key) and len(after.offs) - 1 == len(taught) + len(row_key)
+    # what was added are the documents' own views
+    for r, k in row_key.items():
+        (i,) = [i for i, t in enumerate(left) if key[t[:3]] == k]
+        assert (after.words[after.offs[r] : after.offs[r + 1]] == x.words[x.offs[i] : x.offs[i + 1]]).all() and np.allclose(after.content[r], x.content[i])
+
+
+def test_the_metadata_view_reads_no_text():
+    a, b = (views_of([(1, t, "en", "s", 5), (2, t, None, None, None)]) for t in ("some words", "\n\nquite ! another"))
+    assert (a.length == b.length).all() and (a.hashed == b.hashed).all() and not np.allclose(a.content, b.content)
+    assert a.length[1].tolist() == [0, 1]
+
+
+def test_scores_combine_what_unseen_rows_calibrate():
+    """The model's figures recomputed fold by fold from the views alone."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(["good", "river", "tree"] if (i % 2) ^ (rng.random() < 0.15) else ["win", "pill", "tree"], 6)), "en", "ab"[i % 2 if rng.random() < 0.8 else 0], 10 + i % 7) for i in range(240)]
+    label, fold = np.array([i % 2 for i in range(240)]), np.arange(240) // 2 % quality.FOLDS
+    v = views_of(rows)
+    model = quality.co_train(v, label, fold, rounds=1)
+    seen = np.zeros((240, 2))
+    for f in range(quality.FOLDS):
+        own = np.flatnonzero(fold != f)
+        content, metadata, _ = fitted([rows[i] for i in own], label[own])
+        part = views_of([rows[i] for i in np.flatnonzero(fold == f)])
+        seen[fold == f] = np.column_stack([content.score(part), metadata.score(part)])
+    gradient = lambda x, w, y: x.T @ (quality._sigmoid(x @ w) - y)
+    x = np.column_stack([seen, np.ones(240)])
+    # at the optimum the penalised gradient is zero
+    assert np.allclose(gradient(x, model.combine, label) + np.array([0.1, 0.1, 1e-6]) * model.combine, 0, atol=1e-4)
+    content, metadata, _ = fitted(rows, label)
+    a, b = content.score(v), metadata.score(v)
+    want = [1 / (1 + np.exp(-(model.combine @ (p, q, 1)))) for p, q in zip(a, b, strict=True)]
+    assert np.allclose(model.scores(v)[:, 0], want)
