@@ -94,17 +94,23 @@ _GLYPHS = re.compile("[" + re.escape("".join(_FOLD) + _INVISIBLE) + "]")
 _OPEN, _CLOSE = r"(?<![ \t\[({<])[ \t]*+[\[({<]++[ \t]*+", r"[ \t]*+[\])}>]++[ \t]*+"
 _AT = rf"{_OPEN}(?:at|AT|At|@){_CLOSE}"
 _DOT = rf"{_OPEN}(?:dot|DOT|Dot|\.){_CLOSE}"
-#: Words that a spoken address may have on either side of its sign.
-_PARTS = 8
-_SPOKEN = rf"(?P<spoken>[A-Za-z0-9_%+-]+(?:[ \t](?:dot|DOT)[ \t][A-Za-z0-9_%+-]+|\.[A-Za-z0-9_%+-]+){{0,{_PARTS}}}[ \t](?:at|AT)[ \t](?!(?:the|a|an|this|that|my|our)(?![A-Za-z0-9-]))[A-Za-z0-9-]+(?:(?:[ \t](?:dot|DOT)[ \t]|\.)[A-Za-z0-9-]+){{0,{_PARTS}}}[ \t](?:dot|DOT)[ \t][A-Za-z]{{2,24}}\b)"
 _BRACKETED = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})")
-_SPOKEN_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-]){_SPOKEN}")
-_SIGN = re.compile(r"[ \t](?P<at>at|AT)[ \t]|[ \t](?P<dot>dot|DOT)[ \t]")
+#: A sign between a local part and a host: spoken, or plain.
+_SAID_AT = re.compile(r"[ \t](?:at|AT|At)[ \t]|@")
+_SAID_DOT = re.compile(r"[ \t](?:dot|DOT|Dot)[ \t]")
+#: What follows a host's label: another label behind a spoken or a plain dot.
+_NEXT_LABEL = re.compile(r"(?:[ \t](?:dot|DOT|Dot)[ \t]|\.)([A-Za-z0-9-]++)")
+_LABEL = re.compile(r"[A-Za-z0-9-]++")
+#: What may end a spoken address, words that a spoken local part is not, and words that announce an address: fixed values.
+_ENDINGS = frozenset("com org net edu gov mil int info biz name io co ai app dev me tv xyz online site shop uk us ca au nz ie in de fr es it nl be ch at se no dk fi pl cz pt br mx jp cn kr ru eu".split())
+_PROSE = frozenset("a an the this that my our your his her their its it is are was were be been look looked looks looking meet met meets meeting arrive arrived arrives stay stayed stop stopped start started starts open opens closed work works worked working live lives lived living here there home not now only best worst aim aimed good more news available find found visit shop buy read see seen join joined held and or up down us me him them all sold based".split())
+_CUE = re.compile(r"(?i)(?:e-?mail|mailto|mail|contact|write|reach|address|ping|forward|send|cc|message)[a-z]*[ \t:]+(?:(?:to|me|us|him|her|them|is|at|on|via|now|of)[ \t:]+){0,3}$")
 _DIGIT_WORD = "(?:" + "|".join(_WORDS) + ")"
 _SPELLED = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:plus[ -]+)?(?:{_DIGIT_WORD}|[0-9]+)(?:(?:[ ]point[ ]|[ ]dot[ ]|[ ,.-]+)(?:{_DIGIT_WORD}|[0-9]+))+(?![A-Za-z])")
 _SPELLED_PART = re.compile(rf"(?i)(?P<plus>plus[ -]+)|(?P<word>{_DIGIT_WORD})|(?P<point>[ ](?:point|dot)[ ])|(?P<gap>[ ,.-]+)")
 _HAS_DIGIT_WORD = re.compile(r"(?i)\b" + _DIGIT_WORD + r"\b")
 _POINT_WORD = re.compile(r"(?i)[ ](?:point|dot)(?=[ ])")
+_MAY_HAVE_SIGNS = re.compile(rf"[ \t](?:dot|DOT|Dot|at|AT|At)[ \t]|{_OPEN}(?:at|AT|At|@|dot|DOT|Dot|\.)")
 #: Runs of spelled digits with fewer digit words than this, and fewer than three spelled points, are prose and stay as they are.
 LEAST_SPELLED = 4
 
@@ -142,14 +148,69 @@ def fold_glyphs(text: str) -> list[Edit]:
     return [(m.start(), m.end(), _FOLD.get(m.group(), "")) for m in _GLYPHS.finditer(text)]
 
 
+def _local_start(text: str, at: int, least: int) -> int:
+    """Where the local part that ends at ``at`` begins: words joined by plain or spoken dots."""
+    start = at
+    while True:
+        while start > least and text[start - 1] in _LOCAL:
+            start -= 1
+        if start == at or start - 5 <= least or not _SAID_DOT.match(text, start - 5) or text[start - 6] not in _LOCAL:
+            return start
+        start -= 5
+
+
+def _spoken(text: str) -> Iterator[list[Edit]]:
+    """The edits of each address with a spoken sign.
+
+    Each sign for "at" is followed to both sides, up to the one before, so the
+    work is linear. The last label must be a known ending if it is behind a
+    spoken dot. More is asked where prose looks alike: after a spoken "at" the
+    host has no article and the local part is no common word; where every dot is
+    plain (``more at example.com``) the local part has a digit or an inner sign,
+    or a word such as "mail" comes before.
+    """
+    least = 0
+    for m in _SAID_AT.finditer(text):
+        plain_at = m.group() == "@"
+        first = _LABEL.match(text, m.end())
+        start = _local_start(text, m.start(), least)
+        least = m.end()
+        if not first or start == m.start():
+            continue
+        end, said, upto = first.end(), 0, 0
+        dots: list[Edit] = []
+        while n := _NEXT_LABEL.match(text, end):
+            if spoken := n.start(1) - n.start() > 1:
+                dots.append((n.start(), n.start(1), "."))
+            end = n.end()
+            if not spoken or n.group(1).lower() in _ENDINGS:
+                said, upto = len(dots), end
+        dots = dots[:said]
+        local = text[start : m.start()]
+        if not upto or (plain_at and not dots):
+            continue
+        if not plain_at:
+            words = _SAID_DOT.split(local)
+            if first.group().lower() in ("the", "a", "an", "this", "that", "my", "our") or (len(words) == 1 and local.lower() in _PROSE):
+                continue
+            telling = len(words) > 1 or any(not c.isalpha() for c in local.strip("."))
+            if not dots and not telling and not _CUE.search(text, max(0, start - 40), start):
+                continue
+        edits = [(k.start(), k.end(), ".") for k in _SAID_DOT.finditer(text, start, m.start())]
+        yield [*edits, *([] if plain_at else [(m.start(), m.end(), "@")]), *dots]
+
+
 def undo_signs(text: str) -> list[Edit]:
-    """Edits for bracketed at/dot, and for spoken addresses (``name at host dot tld``)."""
+    """Edits for bracketed at/dot, and for addresses with a spoken sign (``name at host dot tld``, ``name@host dot tld``)."""
     edits = [(m.start(), m.end(), "@" if m.lastgroup == "at" else ".") for m in _BRACKETED.finditer(text)]
-    for m in _SPOKEN_ADDRESS.finditer(text):
-        for k in _SIGN.finditer(text, m.start(), m.end()):
-            edits.append((k.start(), k.end(), "@" if k.lastgroup == "at" else "."))
+    for address in _spoken(text):
+        edits += address
     edits.sort()
-    return [e for i, e in enumerate(edits) if not i or e[0] >= edits[i - 1][1]]
+    out: list[Edit] = []
+    for e in edits:
+        if not out or e[0] >= out[-1][1]:
+            out.append(e)
+    return out
 
 
 def spell_digits(text: str) -> list[Edit]:
@@ -169,10 +230,25 @@ def spell_digits(text: str) -> list[Edit]:
     return edits
 
 
+def _widens(text: str, s: int, e: int, kind: str, base: list[Span]) -> bool:
+    """Whether a span adds disguised letters or digits to the base spans of its kind that it meets, and meets no other.
+
+    A look-alike of a dash or a dot behind an address is punctuation, and adds nothing.
+    """
+    met = [x for x in base if x[0] < e and s < x[1]]
+    if any(x[2] != kind or not (s <= x[0] and x[1] <= e) for x in met):
+        return False
+    added = "".join(text[i] for i in range(s, e) if not any(x[0] <= i < x[1] for x in met)) if met else ""
+    odd = [c for c in added if not c.isascii()]
+    return not met or (bool(odd) and all(c.isalnum() or c in _INVISIBLE for c in odd))
+
+
 def all_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     """(base spans, base and undisguised spans), each by start and then kind.
 
-    An undisguised span is added where it overlaps no base span.
+    An undisguised span is added where it overlaps no base span, and where it
+    holds base spans of its kind whole and widens them by look-alikes of letters
+    or digits (as in an address of which a plain pattern sees the end only).
     """
     if not text:
         return [], []
@@ -182,7 +258,7 @@ def all_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     if not now.isascii() and (edits := fold_glyphs(now)):
         steps.append(Rewrite(now, edits))
         now = steps[-1].text
-    if ("dot" in now or "DOT" in now or "Dot" in now or _BRACKETED.search(now)) and (edits := undo_signs(now)):
+    if (_MAY_HAVE_SIGNS.search(now)) and (edits := undo_signs(now)):
         steps.append(Rewrite(now, edits))
         now = steps[-1].text
     if (_HAS_DIGIT_WORD.search(now) or _POINT_WORD.search(now)) and (edits := spell_digits(now)):
@@ -190,13 +266,13 @@ def all_spans(text: str | None) -> tuple[list[Span], list[Span]]:
         now = steps[-1].text
     if not steps:
         return base, base
-    out = list(base)
+    out, have = list(base), set(base)
     for s, e, kind in base_spans(now):
         for step in reversed(steps):
             s, e = step.source(s, e)
-        if all(e <= bs or be <= s for bs, be, _ in base):
+        if (s, e, kind) not in have and _widens(text, s, e, kind, base):
             out.append((s, e, kind))
-    out.sort(key=lambda x: (x[0], KINDS.index(x[2])))
+    out.sort(key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
     return base, out
 
 

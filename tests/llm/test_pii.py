@@ -90,3 +90,37 @@ def test_span_rows(documents):
 def test_hosts_that_begin_with_an_article():
     assert pii.undo_signs("jane at my-mail dot com") == [(4, 8, "@"), (15, 20, ".")]
     assert pii.undo_signs("jane at the dot com") == []
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("x jane@example dot com now", "jane@example dot com"),
+        ("reach jane at example.com", "jane at example.com"),
+        ("Jane Dot Doe At Example Dot Org", "Jane Dot Doe At Example Dot Org"),
+        ("so x.y9 at mail.example.org is it", "x.y9 at mail.example.org"),
+        ("a dot b dot c dot d dot e dot f dot g dot h dot i dot j dot k at mail dot example dot co dot uk please", "a dot b dot c dot d dot e dot f dot g dot h dot i dot j dot k at mail dot example dot co dot uk"),
+    ],
+)
+def test_half_disguised_and_long_spoken_addresses(text, value):
+    base, spans = pii.all_spans(text)
+    assert base == [] and [(k, text[s:e]) for s, e, k in spans] == [("email", value)]
+
+
+@pytest.mark.parametrize("text", ["look at page dot com", "meet at noon dot now", "read more at example.com", "see us at example.com", "jane at the dot com", "the price at 5 dot 3", "open at 9.30 today", "it is sold at shop.example.com"])
+def test_prose_around_at_and_dot(text):
+    assert pii.all_spans(text) == ([], [])
+
+
+def test_a_wider_disguised_span_is_added_to_the_plain_one():
+    text = "to b\u043eb@example.com, now"  # a Cyrillic letter in the name
+    base, spans = pii.all_spans(text)
+    assert [text[s:e] for s, e, _ in base] == ["b@example.com"]
+    assert [text[s:e] for s, e, _ in spans] == ["b\u043eb@example.com", "b@example.com"]
+    for end in ("\u2013see", "\u3002", "\u2014 or"):  # punctuation that looks like a part of an address
+        assert len(pii.all_spans(f"bob@example.com{end}")[1]) == 1
+
+
+def test_long_spoken_runs_are_linear():
+    for text in ("a at " * 60_000, "a dot " * 60_000 + "at b dot com", "a at b dot " * 40_000, "x@y dot " * 40_000, ".a" * 100_000 + " at b dot com", "b at " + "c." * 100_000):
+        pii.all_spans(text)
