@@ -28,7 +28,8 @@ def op3_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op4_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(_table(spark, sf_dir, "documents"), sharding.even_tree(SHARDS), sharding.even_tree(SHARDS + 1))
+    tree = sharding.even_tree(SHARDS)
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"), tree, sharding.grow(tree))
 
 
 def op5_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,11 +38,7 @@ def inner(name: str, children: list[Node]) -> Node:
 
 
 def even_tree(shards: int, per_rack: int = 2, racks: int = 2) -> Node:
-    """Regions of ``racks`` racks of ``per_rack`` shards, filled in order; what is left over opens a region of its own.
-
-    With 16 shards there are four full regions. A 17th shard opens a fifth
-    region: no other weight changes, so it takes rows only into itself.
-    """
+    """Regions of ``racks`` racks of ``per_rack`` shards, filled in order; the last region and rack may have fewer."""
     if shards < 1:
         raise ValueError("at least one shard is needed")
     size = per_rack * racks
@@ -54,6 +50,21 @@ def even_tree(shards: int, per_rack: int = 2, racks: int = 2) -> Node:
     return inner("root", regions)
 
 
+def grow(tree: Node, weight: float = 1.0) -> Node:
+    """The tree with one more shard, in a region of its own.
+
+    No other weight changes, so the new shard takes rows only into itself, from
+    any tree and time after time. A shard put into a rack that is there raises
+    the weights above it, and rows move into all of that region instead.
+    """
+    new = 1 + max(_shards(tree))
+    return inner(tree.name, [*tree.children, inner(f"own{new}", [leaf(f"s{new}", new, weight)])])
+
+
+def _shards(node: Node) -> list[int]:
+    return [node.shard] if node.shard is not None else [s for c in node.children for s in _shards(c)]
+
+
 def _draw(key: Column, node: Node) -> Column:
     """-ln(u)/weight with u in (0, 1] from 52 bits of an md5."""
     bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(f"/{node.name}"))), 1, 13), 16, 10).cast("bigint")

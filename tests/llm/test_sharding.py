@@ -1,3 +1,5 @@
+import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -45,3 +47,31 @@ def test_odd_rows(documents):
     assert (by[1].size, by[1].text_crc32) == (1, 0) and by[2].size == 1 and by[None].shard is not None
     assert len({(r.shard, r.slot) for r in got}) == len(got) and all(r.grown_shard is None for r in got)
     assert sh.assign_shards(documents(ODD).limit(0), sh.even_tree(4)).collect() == []
+
+
+def test_each_shard_that_is_grown_takes_rows_only_into_itself(documents):
+    docs, tree = documents([(i, "x") for i in range(3_000)]), sh.even_tree(16)
+    for new in range(16, 21):
+        more = sh.grow(tree)
+        got = sh.assign_shards(docs, tree, more, rows=3_000).collect()
+        assert all(r.grown_shard in (r.shard, new) for r in got)
+        share = sum(r.grown_shard == new for r in got) / 3_000
+        assert 0.6 / (new + 1) < share < 1.5 / (new + 1)
+        tree = more
+
+
+def plain_descent(key, node):
+    """The least of -ln(u) / weight among the children, level by level."""
+    while node.shard is None:
+        def draw(c):
+            u = (int(hashlib.md5(f"{key}/{c.name}".encode()).hexdigest()[:13], 16) + 1) / (1 << 52)
+            return -math.log(u) / c.weight
+
+        node = min((c for c in node.children if c.weight > 0), key=draw)
+    return node.shard
+
+
+def test_shards_equal_a_plain_descent(documents):
+    tree = sh.grow(sh.inner("root", [sh.inner("a", [sh.leaf("a0", 0, 2.5), sh.leaf("a1", 1, 0)]), sh.inner("b", [sh.inner("b0", [sh.leaf("c", 2, 0.5), sh.leaf("d", 3)]), sh.leaf("e", 4, 3)])]), 0.7)
+    got = sh.assign_shards(documents([(i, "x") for i in range(800)]), tree, sh.grow(tree)).collect()
+    assert all((r.shard, r.grown_shard) == (plain_descent(r.doc_id, tree), plain_descent(r.doc_id, sh.grow(tree))) for r in got)
