@@ -8,6 +8,7 @@ floating-point predictor, and assembles each page's samples.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 322, 323, 324
 _TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, "f"), 12: (8, "d")}
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 NAMES = {PLAIN: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
-#: Pages of one file, and samples of one page, that the reader takes; more is an error of that file.
+#: Pages of one file, and bytes of one page or segment, that the reader takes; more is an error of that file, so that a few damaged bytes cannot ask for all memory.
 MOST_PAGES = 1_000_000
 MOST_PAGE_BYTES = 1 << 30
 
@@ -50,22 +51,24 @@ def unpack_bits(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+_RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
+
+
 def pack_bits(data: bytes) -> bytes:
     out = bytearray()
-    i, n = 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        start = i
-        while i < n and i - start < 128 and not (i + 2 < n and data[i] == data[i + 1] == data[i + 2]):
-            i += 1
-        out.append(i - start - 1)
-        out += data[start:i]
+
+    def literal(start: int, end: int) -> None:
+        for at in range(start, end, 128):
+            piece = data[at : min(at + 128, end)]
+            out.append(len(piece) - 1)
+            out.extend(piece)
+
+    done = 0
+    for m in _RUN.finditer(data):
+        literal(done, m.start())
+        out += bytes((257 - (m.end() - m.start()), data[m.start()]))
+        done = m.end()
+    literal(done, len(data))
     return bytes(out)
 
 
@@ -234,7 +237,7 @@ def _read_page(data: bytes, tags: dict[int, tuple], order: str, number: int) ->
     if bits not in (8, 16, 32, 64) or any(b != bits for b in tags.get(BITS, ())) or kind not in (1, 2, 3):
         raise TiffError(f"{bits}-bit samples of format {kind} are not supported")
     if width * height * samples * bits // 8 > MOST_PAGE_BYTES:
-        raise TiffError("a page is too large")
+        raise TiffError(f"a page of more than {MOST_PAGE_BYTES} bytes")
     dtype = np.dtype(f"{order}{'uif'[kind - 1]}{bits // 8}")
     tiled = TILE_OFFSETS in tags
     if tiled:
@@ -243,6 +246,8 @@ def _read_page(data: bytes, tags: dict[int, tuple], order: str, number: int) ->
         seg_w, seg_h, offs, sizes = width, min(one(ROWS_PER_STRIP, height), height), tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_BYTES, ())
     if not width or not height or not seg_w or not seg_h:
         raise TiffError("a page has no samples")
+    if seg_w * seg_h * samples * bits // 8 > MOST_PAGE_BYTES:
+        raise TiffError(f"a segment of more than {MOST_PAGE_BYTES} bytes")
     across, down = -(-width // seg_w), -(-height // seg_h)
     planes, deep = (samples, 1) if planar == 2 else (1, samples)
     if len(offs) < across * down * planes or len(sizes) < len(offs):
@@ -280,18 +285,23 @@ def pages(data: bytes) -> Iterator[Page]:
 
 #: Geometry of stored payloads: 576 bytes are six rows of a page.
 BLOCK, PAGE_WIDTH, PAGE_ROWS, TILE, STRIP_ROWS = 576, 96, 96, 48, 24
+_CODECS = (DEFLATE, LZW, PACKBITS)
 
 
 def _segments(page: np.ndarray) -> tuple[bool, int, int, list[np.ndarray]]:
-    """(tiled, compression, predictor, segments): a full page in tiles, a partial one in strips."""
-    rows = len(page)
-    if rows == PAGE_ROWS:
-        tiles = page.reshape(PAGE_ROWS // TILE, TILE, PAGE_WIDTH // TILE, TILE).swapaxes(1, 2).reshape(-1, TILE, TILE)
-        return True, DEFLATE, 1, list(tiles)
-    strips = [page[r : r + STRIP_ROWS] for r in range(0, rows, STRIP_ROWS)]
-    if rows <= 6:
-        return False, LZW, 2, strips
-    return False, (PACKBITS if rows <= 12 else DEFLATE), 2, strips
+    """(tiled, compression, predictor, segments) of a page, all dealt by a checksum of its samples.
+
+    So each codec, with and without the predictor, in tiles and in strips, gets
+    its share of all pages whatever their size, and equal pages are stored alike.
+    """
+    deal = zlib.crc32(page.tobytes())
+    compression, predictor, tiled = _CODECS[deal % 3], 1 + deal // 3 % 2, deal // 6 % 2 == 1
+    if not tiled:
+        return False, compression, predictor, [page[r : r + STRIP_ROWS] for r in range(0, len(page), STRIP_ROWS)]
+    down = -(-len(page) // TILE)
+    whole = np.full((down * TILE, PAGE_WIDTH), 255, np.uint8)
+    whole[: len(page)] = page
+    return True, compression, predictor, list(whole.reshape(down, TILE, PAGE_WIDTH // TILE, TILE).swapaxes(1, 2).reshape(-1, TILE, TILE))
 
 
 def write_payload(payload: bytes) -> bytes:
@@ -388,6 +398,8 @@ def text_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _DIGEST)
 
 
+#: What bytes that are not what they say can lead to.
+_DAMAGE = (ValueError, ArithmeticError, LookupError, TypeError, MemoryError, struct.error, zlib.error)
 _PAGES = "id bigint, page int, width int, height int, samples int, bits int, compression string, predictor int, tiled boolean, pixels binary, error string"
 
 
@@ -396,8 +408,11 @@ def read_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
     Returns id, page, width, height, samples, bits, compression, predictor,
     tiled, pixels (samples in rows, machine byte order), error. A file that is
-    damaged gives the pages before the damage and one row with ``error`` set; a
-    null file gives no rows; a repeated row gives its pages again.
+    damaged gives the pages before the damage and one row with ``error`` set,
+    whatever is wrong with it, and so does one that has what this reader does
+    not read: 64-bit offsets (BigTIFF), samples of fewer than 8 bits, other
+    codecs, over MOST_PAGES pages, or a page over MOST_PAGE_BYTES. A null file
+    gives no rows; a repeated row gives its pages again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,8 +427,8 @@ def read_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     for p in pages(data):
                         h, w, s = p.pixels.shape
                         rows.append((i.as_py(), p.page, w, h, s, p.bits, NAMES[p.compression], p.predictor, p.tiled, p.pixels.tobytes(), None))
-                except (TiffError, struct.error) as e:
-                    rows.append((i.as_py(), len(rows), *[None] * 8, str(e)))
+                except _DAMAGE as e:
+                    rows.append((i.as_py(), len(rows), *[None] * 8, str(e) or type(e).__name__))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

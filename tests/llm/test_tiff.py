@@ -95,3 +95,23 @@ def test_odd_rows(documents):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-32:]))
     assert len({(r.media_sha256, r.feature) for r in got if r.doc_id in (5, 6)}) == 1
     assert tiff.text_round_trip(documents(ODD).limit(0)).collect() == []
+
+
+def test_codec_predictor_and_layout_do_not_depend_on_size():
+    rng = random.Random(8)
+    for rows in (6, 12, 36, 96):
+        seen = set()
+        for _ in range(200):
+            (p,) = tiff.pages(tiff.write_payload(bytes(rng.choice(b"abc ") for _ in range(96 * rows))))
+            seen.add((tiff.NAMES[p.compression], p.predictor, p.tiled))
+        assert len(seen) == 12  # three codecs, with and without predictor, strips and tiles
+
+
+def test_sizes_that_ask_for_all_memory_are_errors(spark):
+    big = (1 << 32) - 1
+    tile = [(256, 3, 1, 8), (257, 3, 1, 8), (258, 3, 1, 8), (259, 3, 1, 1), (322, 4, 1, big), (323, 4, 1, big), (324, 4, 1, 8), (325, 4, 1, 4)]
+    page = [(256, 4, 1, big), (257, 4, 1, big), (258, 3, 1, 64), (259, 3, 1, 1), (273, 4, 1, 8), (278, 4, 1, big), (279, 4, 1, 4)]
+    strip = [(256, 4, 1, 0), (257, 4, 1, 0), (258, 3, 1, 8), (259, 3, 1, 1), (273, 4, 1, 8), (278, 4, 1, 0), (279, 4, 1, 4)]
+    files = [(i, make("<", t, b"abcd")) for i, t in enumerate((tile, page, strip))] + [(9, b"II+\0" + bytes(20))]
+    got = tiff.read_pages(spark.createDataFrame(files, "i bigint, media binary"), "i", "media").collect()
+    assert sorted(r.id for r in got) == [0, 1, 2, 9] and all(r.error for r in got)
