@@ -25,35 +25,34 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _hash(line: Column) -> Column:
-    return F.xxhash64(F.trim(line))
-
-
 def _exploded(df: DataFrame, text_col: str, site_col: str, order_col: str) -> DataFrame:
-    """(__h, __site, __first) of each line that is not blank; __first is (order, row key, place)."""
-    hashed = F.transform(_lines(F.col(text_col)), lambda x: F.when(F.trim(x) != "", _hash(x)))
-    rows = df.filter(F.col(text_col).isNotNull()).select(F.col(site_col).cast("string").alias("__site"), F.col(order_col).alias("__o"), _row_key(df).alias("__k"), F.posexplode(hashed).alias("__p", "__h"))
-    return rows.filter(F.col("__h").isNotNull())
+    """(line, site, o, k, p) of each line that is not blank: its hash, its site, and its row and place.
+
+    ``line`` is two 64-bit hashes under different seeds. A row is known by its
+    order and a hash of its order, site and text, so that rows which are alike
+    in these are treated alike, whatever else they hold.
+    """
+    hashed = F.transform(_lines(F.col(text_col)), lambda x: F.when(F.trim(x) != "", F.struct(F.xxhash64(F.trim(x)).alias("a"), F.xxhash64(F.lit(1), F.trim(x)).alias("b"))))
+    rows = df.filter(F.col(text_col).isNotNull()).select(F.col(site_col).cast("string").alias("site"), F.col(order_col).alias("o"), _row_key(text_col, site_col, order_col).alias("k"), F.posexplode(hashed).alias("p", "line"))
+    return rows.filter(F.col("line").isNotNull())
 
 
-def _row_key(df: DataFrame) -> Column:
-    """What a row is known by: a hash of all its columns, so that only repeated rows share one."""
-    return F.xxhash64(*[df[c] for c in df.columns])
+def _row_key(text_col: str, site_col: str, order_col: str) -> Column:
+    return F.xxhash64(order_col, site_col, text_col)
 
 
-def site_spread(df: DataFrame, text_col: str = "text", site_col: str = "source", order_col: str = "doc_id", min_sites: int = MIN_SITES) -> DataFrame:
-    """Lines that at least ``min_sites`` sites show: __h, __first (the first occurrence in id order)."""
+def _spread(df: DataFrame, text_col: str, site_col: str, order_col: str, min_sites: int) -> DataFrame:
+    """Lines that at least ``min_sites`` sites show: line, first (the first occurrence in id order), copies (occurrences)."""
     lines = _exploded(df, text_col, site_col, order_col)
-    first = F.min(F.struct("__o", "__k", "__p")).alias("__first")
-    sketched = lines.groupBy("__h").agg(F.hll_sketch_agg("__site", F.lit(LG_K)).alias("__s"), first)
+    sketched = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("s"), F.min(F.struct("o", "k", "p")).alias("first"), F.count(F.lit(1)).alias("copies"))
     slack = max(1.0, NEAR * min_sites)
-    spread = sketched.select("__h", "__first", F.hll_sketch_estimate("__s").alias("__e")).filter(F.col("__e") >= min_sites - slack)
-    sure = spread.filter(F.col("__e") > min_sites + slack).select("__h", "__first")
-    near = spread.filter(F.col("__e") <= min_sites + slack).select("__h", "__first")
+    spread = sketched.select("line", "first", "copies", F.hll_sketch_estimate("s").alias("e")).filter(F.col("e") >= min_sites - slack)
+    sure = spread.filter(F.col("e") > min_sites + slack).drop("e")
+    near = spread.filter(F.col("e") <= min_sites + slack).drop("e")
     # the distinct (line, site) pairs come first: a line that is everywhere is then a row per site, and no task holds its occurrences
-    pairs = lines.select("__h", "__site").filter(F.col("__site").isNotNull()).distinct().join(near.select("__h"), "__h", "left_semi")
-    exact = pairs.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_sites).select("__h")
-    return sure.unionByName(near.join(exact, "__h", "left_semi"))
+    pairs = lines.select("line", "site").filter(F.col("site").isNotNull()).distinct().join(near.select("line"), "line", "left_semi")
+    exact = pairs.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select("line")
+    return sure.unionByName(near.join(exact, "line", "left_semi"))
 
 
 def dedup_lines(df: DataFrame, text_col: str = "text", site_col: str = "source", order_col: str = "doc_id", chars_col: str | None = "n_chars", min_sites: int = MIN_SITES, count_col: str | None = None) -> DataFrame:
@@ -62,29 +61,33 @@ def dedup_lines(df: DataFrame, text_col: str = "text", site_col: str = "source",
     A line is compared without leading and trailing spaces; blank lines are
     never removed. A null site is no site. A null text stays null, an empty one
     empty; a text may become empty, its row stays. Repeated rows are treated
-    alike. An empty table gives an empty result. All columns are kept;
-    ``chars_col`` is set to the new length where lines went, and ``count_col``,
-    if named, is added with the number of lines removed.
+    alike. An empty table gives an empty result. All columns are kept, whatever
+    their names and types; ``chars_col`` is set to the new length where lines
+    went, and ``count_col``, if named, is added with the number of lines
+    removed. Of the lines that go, those that are very common meet their rows by
+    a broadcast of bounded size, so that no task gets all rows of one line.
     """
-    spread = shared.materialise(site_spread(df, text_col, site_col, order_col, min_sites), "spread")
+    spread = shared.materialise(_spread(df, text_col, site_col, order_col, min_sites), "spread")
     lines = _exploded(df, text_col, site_col, order_col)
-    hit = lines.join(spread, "__h").filter(~F.struct("__o", "__k", "__p").eqNullSafe(F.col("__first")))
-    gone = hit.groupBy("__k").agg(F.collect_set("__p").alias("__gone"))
-    names = df.columns
-    keyed = df.withColumn("__k", _row_key(df)).join(gone, "__k", "left")
-    kept = F.filter(_lines(F.col(text_col)), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    hit = shared.join_counted(lines.drop("site"), spread, "line", "copies").filter(~F.struct("o", "k", "p").eqNullSafe(F.col("first")))
+    k, o, of, ps = shared.free_names(df, "key", "order", "of", "gone")
+    gone = hit.groupBy(F.col("o").alias(o), F.col("k").alias(of)).agg(F.collect_set("p").alias(ps))
+    own = df.withColumn(k, _row_key(text_col, site_col, order_col))
+    # the order is compared too, null for null
+    joined = own.join(gone, (F.col(k) == F.col(of)) & own[order_col].eqNullSafe(F.col(o)), "left")
+    kept = F.filter(_lines(F.col(text_col)), lambda x, i: ~F.array_contains(F.col(ps), i))
+    text = F.when(F.col(ps).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     out = []
-    for c in names:
+    for c in df.columns:
         if c == text_col:
             out.append(text.alias(c))
         elif c == chars_col:
-            out.append(F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.char_length(text)).cast(df.schema[c].dataType).alias(c))
+            out.append(F.when(F.col(ps).isNull(), F.col(c)).otherwise(F.char_length(text)).cast(df.schema[c].dataType).alias(c))
         else:
             out.append(F.col(c))
     if count_col:
-        out.append(F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias(count_col))
-    return keyed.select(*out)
+        out.append(F.coalesce(F.size(ps), F.lit(0)).cast("bigint").alias(count_col))
+    return joined.select(*out)
 
 
 ORACLE = f"""

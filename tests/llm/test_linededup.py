@@ -52,3 +52,21 @@ def test_odd_rows(documents):
 def test_plan_has_no_python(documents):
     plan = linededup.dedup_lines(documents(ODD))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_columns_of_any_name_and_type(spark):
+    rows = [(i, "notice\nown line", f"s{i}", {"a": i}, i, i, i, i) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, m map<string,int>, __gone int, __k int, __key int, line int")
+    got = linededup.dedup_lines(df, chars_col=None, min_sites=5)
+    assert got.columns == df.columns
+    by = {r.doc_id: r for r in got.collect()}
+    assert by[0].text == "notice\nown line" and all(by[i].text == "" for i in range(1, 9))
+    assert all((r["__gone"], r["__k"], r["__key"], r.line, r.m) == (i, i, i, i, {"a": i}) for i, r in by.items())
+
+
+def test_a_line_of_every_document(spark):
+    rows = [(i if i % 10 else None, f"all have this\nbody {i}\nsome have this {i % 2}", f"s{i % 40}") for i in range(1, 400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = [r.text for r in linededup.dedup_lines(df, chars_col=None, min_sites=15).collect()]
+    assert len(got) == 399 and sum("all have this" in t for t in got) == 1 and sum("some have this" in t for t in got) == 2
+    assert sum("body" in t for t in got) == 399
