@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm import kernels, shared
+
 WINDOW = 10
 #: Benchmark text that one pass searches for at once; more is searched in several passes.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 
 # word characters are 0-9, a-z after lower-casing A-Z, and every byte of a non-ASCII character
 _TO_WORDS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -105,89 +107,123 @@ def items_digest(items: Iterable[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-_HITS = "row bigint, doc_id bigint, n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>"
-
-
-def _blocks(bench: DataFrame, item_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The benchmark, in blocks of at most BLOCK_CHARS characters (one item at least); each is read when its turn comes."""
+def _items(bench: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """The distinct items (i, t), and in how many blocks of at most BLOCK_CHARS characters (one item at least) they are searched for."""
     sized = bench.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter("t is not null and i is not null").distinct()
     total = sized.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = -(-int(total) // BLOCK_CHARS)
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(max(1, n)))
-    return [[(r.i, r.t) for r in sized.filter(part == k).collect()] for k in range(n)]
+    return sized, max(1, -(-int(total) // BLOCK_CHARS))
 
 
-def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Benchmark windows in each row's whole text.
+def _block(items: DataFrame, k: int, n: int) -> list[tuple[str, str]]:
+    """The k-th of n blocks. Only one is on the driver at a time."""
+    return sorted((r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect())
 
-    Returns doc_id, n_words, n_hit (words inside any occurrence of a window),
-    n_items, items_sha256, contaminated. A null or wordless text has no words
-    and no hits; repeated rows get equal results, one each; an empty benchmark
-    finds nothing; a null item is no item, a repeated item counts once; extra
-    columns are not read. The benchmark is held in blocks of bounded size; a
-    benchmark over the bound is searched block by block and the hits of a row
-    are merged. With one block there is no shuffle.
-    """
-    blocks = _blocks(bench, item_col, item_text_col) or [[]]
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    if len(blocks) == 1:
-        return src.mapInArrow(_searcher(blocks[0], window, whole=True), "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
-    # rows are numbered by what is in them, so that repeated rows are searched once and get their results back
-    key = F.xxhash64("doc_id", "text")
-    numbered = src.select(key.alias("row"), "doc_id", "text")
-    hits = None
-    for block in blocks:
-        part = numbered.mapInArrow(_searcher(block, window, whole=False), _HITS)
-        hits = part if hits is None else hits.unionByName(part)
-    merged = hits.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set(F.struct("starts", "ends")).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), (F.count(F.lit(1)) / len(blocks)).cast("int").alias("copies"))
-    spans = F.array_sort(F.flatten(F.transform("r", lambda x: F.arrays_zip(x["starts"], x["ends"]))))
-    # how many words the union of the sorted ranges covers
-    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("upto"))
-    covered = F.aggregate(spans, zero, lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0).cast("bigint"), x["ends"] - F.greatest(x["starts"], a["upto"]))).alias("n"), F.greatest(a["upto"], x["ends"]).alias("upto")), lambda a: a["n"])
-    out = merged.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "copies")
-    return out.withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+
+_TABLES: dict[tuple[str, int], list[Matcher]] = {}
+
+
+def _tables(name: str, block: list[tuple[str, str]], window: int) -> list[Matcher]:
+    """A block's search tables, made once by each worker."""
+    if (name, window) not in _TABLES:
+        _TABLES.clear()
+        _TABLES[name, window] = matchers(block, window)
+    return _TABLES[name, window]
+
+
+def _named(block: list[tuple[str, str]]) -> str:
+    return hashlib.sha256(repr(block).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+_RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+_HITS = "row bigint, n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>"
 
 
 def _searcher(block: list[tuple[str, str]], window: int, whole: bool):
+    """With ``whole`` a result for each row, else the hits of the rows that have some."""
+    name = _named(block)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = matchers(block, window)
+        tables = _tables(name, block, window)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 got = [scan(t, tables) for t in part.column("text").to_pylist()]
-                ids = part.column("doc_id")
                 if whole:
                     hit = [sum(e - s for s, e in r) for _, r, _ in got]
-                    cols = [ids, pa.array([n for n, _, _ in got], pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for _, _, i in got], pa.int64()), pa.array([items_digest(i) for _, _, i in got], pa.string()), pa.array([h > 0 for h in hit], pa.bool_())]
-                    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-                else:
-                    cols = [part.column("row"), ids, pa.array([n for n, _, _ in got], pa.int64()), pa.array([[s for s, _ in r] for _, r, _ in got], pa.list_(pa.int64())), pa.array([[e for _, e in r] for _, r, _ in got], pa.list_(pa.int64())), pa.array([sorted(i) for _, _, i in got], pa.list_(pa.string()))]
-                    names = ["row", "doc_id", "n_words", "starts", "ends", "items"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([n for n, _, _ in got], pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for _, _, i in got], pa.int64()), pa.array([items_digest(i) for _, _, i in got], pa.string()), pa.array([h > 0 for h in hit], pa.bool_())], names=[x.split()[0] for x in _RESULT.split(", ")])
+                    continue
+                rows = [(k, n, [s for s, _ in r], [e for _, e in r], sorted(i)) for k, (n, r, i) in zip(part.column("row").to_pylist(), got, strict=True) if r]
+                cols = list(zip(*rows, strict=True)) or [[]] * 5
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _HITS.split(", ")])
 
     return run
 
 
+def _merged_hits(texts: DataFrame, items: DataFrame, n: int, window: int) -> DataFrame:
+    """row, n_words, n_hit, items of each (row, text) with hits, searched block by block; ``row`` is known by what is in it."""
+    hits = None
+    for k in range(n):
+        part = shared.materialise(texts.mapInArrow(_searcher(_block(items, k, n), window, whole=False), _HITS), "hits")
+        hits = part if hits is None else hits.unionByName(part)
+    merged = hits.groupBy("row").agg(F.max("n_words").alias("n_words"), F.collect_set(F.struct("starts", "ends")).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    spans = F.array_sort(F.flatten(F.transform("r", lambda x: F.arrays_zip(x["starts"], x["ends"]))))
+    # how many words the union of the sorted ranges covers
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("upto"))
+    covered = F.aggregate(spans, zero, lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0).cast("bigint"), x["ends"] - F.greatest(x["starts"], a["upto"]))).alias("n"), F.greatest(a["upto"], x["ends"]).alias("upto")), lambda a: a["n"])
+    return merged.select("row", "n_words", covered.alias("n_hit"), "items")
+
+
+def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """Benchmark windows in each row's whole text.
+
+    Returns doc_id, n_words, n_hit (words inside any occurrence of a window),
+    n_items, items_sha256, contaminated. A null or wordless text has no words
+    and no hits; repeated rows get equal results, one each; an empty benchmark
+    finds nothing; a null item is no item, a repeated item counts once; extra
+    columns are not read. A benchmark over BLOCK_CHARS is searched for block by
+    block: the driver holds one block, each costs a pass over the documents, and
+    a row's hits of all blocks are merged. With one block there is no shuffle.
+    """
+    items, n = _items(bench, item_col, item_text_col)
+    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    if n == 1:
+        return src.mapInArrow(_searcher(_block(items, 0, 1), window, whole=True), _RESULT)
+    keyed = src.withColumn("row", F.xxhash64("text"))
+    hits = shared.materialise(_merged_hits(keyed.select("row", "text").filter("text is not null"), items, n, window), "merged")
+    counted = keyed.mapInArrow(_count_words, "row bigint, doc_id bigint, n_words bigint")
+    found = F.coalesce("items", F.array().cast("array<string>"))
+    return counted.join(hits.drop("n_words"), "row", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.size(found).cast("bigint").alias("n_items"), F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for s in kernels.slices(b, "text"):
+            yield pa.RecordBatch.from_arrays([s.column("row"), s.column("doc_id"), pa.array([len(words(t)) for t in s.column("text").to_pylist()], pa.int64())], names=["row", "doc_id", "n_words"])
+
+
 def drop_contaminated(docs: DataFrame, bench: DataFrame, most: float = 0.0, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows, with all their columns, of whose words at most the fraction ``most`` lies in benchmark windows.
 
-    A null or wordless text is kept. Rows are judged one by one where they are,
-    with no shuffle, whatever their ids.
+    A null or wordless text is kept. Hits of all of the benchmark's blocks count
+    together, however many there are. With one block rows are judged where they
+    are, with no shuffle; with several, the texts that go are known by a hash.
     """
-    blocks = _blocks(bench, "item_id", "text")
-    out = docs
-    for block in blocks:
-        out = out.filter(_share_udf(block, window)(F.col(text_col)) <= F.lit(float(most)))
-    return out
+    items, n = _items(bench, "item_id", "text")
+    if n == 1:
+        return docs.filter(_share_udf(_block(items, 0, 1), window)(F.col(text_col)) <= F.lit(float(most)))
+    (row,) = shared.free_names(docs, "row")
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    bad = shared.materialise(_merged_hits(texts, items, n, window).filter(F.col("n_hit") / F.col("n_words") > most).select(F.col("row").alias(row)), "bad")
+    return docs.withColumn(row, F.xxhash64(text_col)).join(bad, row, "left_anti").drop(row)
 
 
 def _share_udf(block: list[tuple[str, str]], window: int):
-    tables: list[Matcher] = []
+    name = _named(block)
 
     @F.pandas_udf("double")
     def share(texts: pd.Series) -> pd.Series:
-        if not tables and block:
-            tables.extend(matchers(block, window))
+        tables = _tables(name, block, window)
         out = []
         for t in texts:
             n, ranges, _ = scan(t, tables)

@@ -75,3 +75,26 @@ def test_filter_drops_only_what_is_contaminated(spark, documents):
     df = documents(ODD)
     kept = dc.drop_contaminated(df, bench(spark, [(1, "same text here now")]))
     assert kept.columns == df.columns and kept.count() == len(ODD) - 3
+
+
+def test_a_share_does_not_depend_on_the_blocks(spark, documents, monkeypatch):
+    items = [(1, "a b c d e f g h i j"), (2, "k l m n o p q r s t")]
+    docs = [(1, f"{items[0][1]} x y {items[1][1]}"), (2, f"{items[0][1]} " + "w " * 20), (3, None), (4, "-"), (1, f"{items[0][1]} x y {items[1][1]}")]
+    df = documents(docs)
+    for most in (0.0, 0.4, 0.8, 0.95):
+        want = None
+        for chars in (4_000_000, 25):
+            monkeypatch.setattr(dc, "BLOCK_CHARS", chars)
+            got = sorted((r.doc_id for r in dc.drop_contaminated(df, bench(spark, items), most).collect()))
+            want = got if want is None else want
+            assert got == want and dc.drop_contaminated(df, bench(spark, items), most).columns == df.columns
+        assert want == {0.0: [3, 4], 0.4: [2, 3, 4], 0.8: [2, 3, 4], 0.95: [1, 1, 2, 3, 4]}[most]
+
+
+def test_only_one_block_is_on_the_driver(spark, documents, monkeypatch):
+    sizes = []
+    was = dc._block
+    monkeypatch.setattr(dc, "_block", lambda *a: sizes.append(len(was(*a))) or was(*a))
+    monkeypatch.setattr(dc, "BLOCK_CHARS", 60)
+    dc.contamination(documents([(1, "x")]), bench(spark, [(i, f"item number {i}") for i in range(40)])).collect()
+    assert len(sizes) > 5 and sum(sizes) == 40 and max(sizes) < 20
