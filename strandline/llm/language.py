@@ -23,6 +23,8 @@ SYMBOLS = 64
 _GRAMS = SYMBOLS**3
 UNKNOWN = "und"
 _SEED = 20_240_229
+#: Counts of a row's trigrams that are held at once, and trigrams whose vectors are: they bound a worker's memory.
+CELLS, AT_ONCE = 8_000_000, 16_384
 
 
 def _letter_table() -> np.ndarray:
@@ -62,11 +64,24 @@ class Space:
         before, after = np.concatenate(([0], sym[:-1])), np.concatenate((sym[1:], [0]))
         mid = sym > 0
         grams, doc = (before[mid] << 12) | (sym[mid] << 6) | after[mid], doc[mid]
-        there = np.flatnonzero(np.bincount(grams, minlength=_GRAMS))
-        column = np.zeros(_GRAMS, np.int64)
+        out = np.zeros((len(low), self.letters.shape[1]), np.float32)
+        cuts = np.searchsorted(doc, np.arange(len(low) + 1))
+        self._add(out, grams, doc, cuts, 0, len(low))
+        return out, np.diff(cuts) > 0
+
+    def _add(self, out: np.ndarray, grams: np.ndarray, doc: np.ndarray, cuts: np.ndarray, i: int, j: int) -> None:
+        """Bundle rows [i, j): counts of their trigrams times the trigrams' vectors, in halves while there are too many counts."""
+        mine = grams[cuts[i] : cuts[j]]
+        there = np.flatnonzero(np.bincount(mine, minlength=_GRAMS))
+        if (j - i) * len(there) > CELLS and j - i > 1:
+            self._add(out, grams, doc, cuts, i, (i + j) // 2)
+            self._add(out, grams, doc, cuts, (i + j) // 2, j)
+            return
+        column = np.zeros(_GRAMS, np.int32)
         column[there] = np.arange(len(there))
-        counts = np.bincount(doc * len(there) + column[grams], minlength=len(low) * len(there)).astype(np.float32).reshape(len(low), -1)
-        return counts @ self.vectors(there), np.bincount(doc, minlength=len(low)) > 0
+        counts = np.bincount((doc[cuts[i] : cuts[j]] - i) * len(there) + column[mine], minlength=(j - i) * len(there)).astype(np.float32).reshape(j - i, len(there))
+        for c in range(0, len(there), AT_ONCE):
+            out[i:j] += counts[:, c : c + AT_ONCE] @ self.vectors(there[c : c + AT_ONCE])
 
 
 _SPACE: list[Space] = []

@@ -92,3 +92,50 @@ def test_quality_odd_rows(documents, spark):
 def test_labels(spark, q, t, want):
     df = spark.createDataFrame([(q, t)], "q int, t int")
     assert df.select(quality.good_label(F.col("q"), F.col("t")).alias("g")).first().g == want
+
+
+def test_language_equals_a_plain_recomputation(spark):
+    """Prototypes, cosines and winners recomputed trigram by trigram, without the operator's matrices."""
+    rows = [(1, "the river and the hill", "en"), (2, "der Fluss und der Berg", "de"), (3, "the hill is there", "en"), (4, "und der Fluss", None), (5, "Über den Fluß, 12!", "de"), (6, "9 9 9", "en"), (7, None, "de"), (8, "le fleuve et la colline", "fr"), (9, "river; Fluss\n\nhill", "en"), (10, "the the the", "en"), (12, "la colline", "fr")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    L, table = language.space().letters.astype(float), language._letter_table()
+
+    def vector(text):
+        out, before = np.zeros(language.DIM), 0
+        s = [int(table[ord(c)]) for c in (text or "").lower()] + [0]
+        for k, x in enumerate(s[:-1]):
+            if x:
+                out += np.roll(L[before], 2) * np.roll(L[x], 1) * L[s[k + 1]]
+            before = x
+        return out
+
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, _, _ in rows}
+    proto = {}
+    for i, t, g in rows:
+        if not held[i] and g is not None and t is not None:
+            proto[g] = proto.get(g, 0) + vector(t)
+    proto = {g: p / np.linalg.norm(p) for g, p in proto.items() if np.linalg.norm(p)}
+    got = {r.doc_id: r for r in language.identify(df).collect()}
+    for i, t, _ in rows:
+        x, r = vector(t), got[i]
+        assert r.held_out == held[i]
+        if not any(c.isalpha() for c in t or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosines = {g: float(x @ p / np.linalg.norm(x)) for g, p in sorted(proto.items())}
+        best = max(cosines, key=cosines.get)
+        assert r.lang_pred == best and abs(r.score - max(0, cosines[best])) < 1e-5
+
+
+def test_language_of_many_short_varied_rows_takes_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x6000, 200))) for _ in range(3_000)]
+    space = language.Space()
+    want = space.bundle(texts[:3])[0]
+    tracemalloc.start()
+    got, some = space.bundle(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400_000_000 and some.all() and np.allclose(got[:3], want, atol=1e-2)
