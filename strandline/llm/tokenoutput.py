@@ -16,6 +16,9 @@ from strandline.llm import kernels, shared, tokenfile, tokens
 #: Text bytes that one file should hold; files grow in number with the input.
 FILE_TEXT_BYTES = 16_000_000
 
+#: Partitions in which files are read back at most; a partition reads its files one after the other.
+MOST_READERS = 100_000
+
 _MANIFEST = "part int, file int, path string, docs bigint, tokens bigint"
 
 
@@ -23,9 +26,10 @@ def write_tokens(df: DataFrame, vocabulary: str, folder: str, end_id: int = 2, i
     """Write each row's ids and ``end_id`` to token files, in ascending id order across files.
 
     Returns the manifest: part, file, path, docs, tokens, in file order by
-    (part, file). Rows are dealt to parts by ranges of id, so file after file
-    gives the whole table in order; a null id comes first; repeated ids stay
-    together. A part is written in files of bounded size as its rows come.
+    (part, file). Rows are dealt to parts by ranges of id and a hash of the
+    text, so file after file gives the whole table in order, rows of one id in
+    the hash's order, whichever attempt of a task writes them; a null id comes
+    first. A part is written in files of bounded size as its rows come.
     """
     src = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     if files is None:
@@ -62,7 +66,9 @@ def write_tokens(df: DataFrame, vocabulary: str, folder: str, end_id: int = 2, i
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["part", "file", "path", "docs", "tokens"])
 
-    dealt = src.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # many rows may share an id, or have none: what else is in them spreads them and fixes their order
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc_nulls_first()]
+    dealt = src.repartitionByRange(files, *order[:2]).sortWithinPartitions(*order)
     return dealt.mapInArrow(run, _MANIFEST)
 
 
@@ -84,7 +90,9 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     parts = manifest.groupBy("part").agg(F.sum("tokens").alias("t"))
     over = parts.select("part", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("p"))
     files = manifest.withColumn("w", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(over, "part")
-    files = files.select("path", (F.col("p") + F.col("w")).cast("bigint").alias("before")).repartition("path")
+    # a number that is given stays: a manifest's rows are few bytes, which would otherwise be read as one partition
+    n = max(1, min(manifest.count(), MOST_READERS))
+    files = files.select("path", (F.col("p") + F.col("w")).cast("bigint").alias("before")).repartition(n, "path")
     return files.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
@@ -96,4 +104,5 @@ def tokens_round_trip(df: DataFrame, vocabulary: str, end_id: int = 2, id_col: s
     """
     folder = shared.new_path(df.sparkSession, "tokens")
     manifest = shared.materialise(write_tokens(df, vocabulary, folder, end_id, id_col, text_col), "manifest")
+    shared.drop_at_end(df.sparkSession, folder)
     return read_tokens(manifest)

@@ -99,3 +99,23 @@ def test_token_output_is_in_id_order(documents, monkeypatch):
         at += len(ids)
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda x: x[1]) == expected
     assert tokenoutput.tokens_round_trip(documents(ODD).limit(0), tokens.vocabulary("word_bpe_49k.json")).collect() == []
+
+
+def test_files_are_read_back_by_as_many_partitions(spark, documents, monkeypatch):
+    monkeypatch.setattr(tokenoutput, "FILE_TEXT_BYTES", 100)
+    df = tokenoutput.tokens_round_trip(documents([(i, f"text of document {i}") for i in range(120)]), tokens.vocabulary("word_bpe_49k.json"))
+    assert df.rdd.getNumPartitions() > 8 and df.count() == 120
+
+
+def test_rows_of_one_id_are_spread_and_have_one_order(spark, documents, monkeypatch):
+    monkeypatch.setattr(tokenoutput, "FILE_TEXT_BYTES", 300)
+    rows = [(None if i % 3 == 0 else 5, f"text number {i}" if i % 4 else None) for i in range(160)]
+    df = documents(rows)
+    folder = f"file://{spark.sparkContext._jvm.java.lang.System.getProperty('java.io.tmpdir')}/strandline-test-{id(rows)}"
+    name = tokens.vocabulary("word_bpe_49k.json")
+    files = tokenoutput.write_tokens(df, name, folder, id_col="doc_id").collect()
+    assert max(f.docs for f in files) < 160 / 2
+    read = lambda d: sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenoutput.tokens_round_trip(d, name).collect()), key=lambda r: r[1])
+    got = read(df)
+    assert got == read(df.repartition(7)) and len(got) == 160
+    assert [r[0] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
