@@ -51,15 +51,17 @@ _FRACTIONS = {"\\frac", "\\dfrac", "\\tfrac"}
 _ONE_ARGUMENT = {"sin", "cos", "tan", "ln", "log", "exp", "sqrt", "abs", "floor", "ceil", "factorial"}
 
 
-def without_thousands(text: str) -> str:
-    """Digits of one number without the commas between its groups of three; comma lists in brackets stay."""
-    listed = [m.span() for m in re.finditer(r"\([^()=]*,[^()=]*\)|\[[^\[\]=]*,[^\[\]=]*\]", text)]
-    tidy = re.sub(r",\s*\\[,!;]\s*(?=\d{3}(?!\d))", ",", text) if not listed else text
+# a bracketed list, which stays as it is, or a number in groups of three, perhaps with thin spaces behind its commas
+_LISTED = r"\([^()=]*,[^()=]*\)|\[[^\[\]=]*,[^\[\]=]*\]"
+_GROUPED = r"(?P<n>(?<![\w.,])\d{1,3}(?:,%s\d{3})+(?!\d|,\d)(?:\.\d+)?)"
+_WITH_LISTS = re.compile(f"{_LISTED}|{_GROUPED % ''}")
+_WITHOUT_LISTS = re.compile(_GROUPED % r"(?:\s*\\[,!;]\s*)?")
 
-    def joined(m: re.Match) -> str:
-        return m.group() if any(a <= m.start() < b for a, b in listed) else m.group().replace(",", "")
 
-    return re.sub(r"(?<![\w.,])\d{1,3}(?:,\d{3})+(?!\d|,\d)(?:\.\d+)?", joined, tidy)
+def without_thousands(text: str) -> str:
+    """Digits of one number without the commas between its groups of three; comma lists in brackets stay."""
+    found = _WITH_LISTS if re.search(_LISTED, text) else _WITHOUT_LISTS
+    return found.sub(lambda m: re.sub(r"[^\d.]", "", m["n"]) if m["n"] else m.group(), text)
 
 
 def _checked(x: Number) -> Number:
@@ -471,15 +473,22 @@ def canonical(answer: str) -> str:
     return s[: unit.start()].strip() if unit and evaluate(s[: unit.start()])[1] == "ok" else s
 
 
+def outside(text: str, signs: str) -> list[int]:
+    """Places of signs that stand in no bracket."""
+    places, depth = [], 0
+    for m in re.finditer(f"[(){{}}\\[\\]{re.escape(signs)}]", text):
+        c = m.group()
+        if c in "()[]{}":
+            depth += 1 if c in "([{" else -1
+        elif depth == 0:
+            places.append(m.start())
+    return places
+
+
 def split_outside(text: str, separators: str) -> list[str]:
     """Pieces between separators that stand in no bracket."""
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(text):
-        depth += (c in "({[") - (c in ")}]")
-        if not depth and c in separators:
-            out.append(text[start:i])
-            start = i + 1
-    return [*out, text[start:]]
+    cuts = [-1, *outside(text, separators), len(text)]
+    return [text[a + 1 : b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _polynomial(text: str) -> dict[tuple[tuple[str, int], ...], Fraction] | None:
@@ -549,3 +558,29 @@ def evaluate_column(texts: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(T.BooleanType())
 def answers_equal_column(predictions: pd.Series, targets: pd.Series) -> pd.Series:
     return pd.Series([p is not None and t is not None and answers_equal(p, t) for p, t in zip(predictions, targets, strict=True)], dtype=bool)
+
+
+@F.pandas_udf(T.StringType())
+def canonical_column(answers: pd.Series) -> pd.Series:
+    return answers.map(lambda x: None if x is None else canonical(x))
+
+
+def label_status(text: str | None) -> str:
+    """What a reference label is: numeric, a number that cannot be, an ellipsis, something symbolic or made of parts, or none of these."""
+    s = canonical(text or "")
+    status = evaluate(s)[1]
+    if status in ("ok", "invalid_domain"):
+        return "numeric" if status == "ok" else "invalid_numeric_domain"
+    if "..." in s or "…" in s:
+        return "ambiguous_ellipsis"
+    whole = re.fullmatch(r"[(\[](.*)[)\]]|\\?\{(.*?)\\?\}", s)
+    inner = s if whole is None else whole[1] or whole[2] or ""
+    parts = [x.strip() for piece in re.split(r"\s+or\s+|=", inner) for x in split_outside(piece, ",:;")]
+    # three letters in a row are a word, not a product of names
+    known = all(x and (evaluate(x)[1] != "unsupported" or (not re.search(r"[A-Za-z]{3}", x) and _polynomial(x) is not None)) for x in parts)
+    return "symbolic_or_structured" if known else "unsupported_answer_format"
+
+
+@F.pandas_udf(T.StringType())
+def label_status_column(labels: pd.Series) -> pd.Series:
+    return labels.map(label_status)

@@ -21,30 +21,44 @@ _CHANNEL_CALL = re.compile(r"<\|start\|>assistant<\|channel\|>[^<]* to=functions
 _LITERAL_LIMIT = 16_384
 
 
-def structured(text: str | None):
-    """The value of a JSON text, or of a short literal of lists and mappings; None for anything else, and for bare tuples."""
-    raw = (text or "").strip()
-    if not raw:
-        return None
-    try:
-        return json.loads(raw)
-    except ValueError:
-        pass
+class _NotPlain(ValueError):
+    """A literal with something that JSON has not."""
+
+
+def _from_node(node: ast.expr):
+    """The JSON value of a literal's syntax tree; sets are sorted by their text, inner tuples are lists, keys are text."""
+    match node:
+        case ast.Constant(value=None | bool() | int() | float() | str() as value):
+            return value
+        case ast.UnaryOp(op=ast.USub() | ast.UAdd() as sign, operand=ast.Constant(value=int() | float() as value)):
+            return -value if isinstance(sign, ast.USub) else value
+        case ast.List(elts=items) | ast.Tuple(elts=items):
+            return [_from_node(x) for x in items]
+        case ast.Set(elts=items):
+            return sorted(map(_from_node, items), key=str)
+        case ast.Dict(keys=keys, values=values) if None not in keys:
+            return {str(_from_node(k)): _from_node(x) for k, x in zip(keys, values, strict=True)}
+    raise _NotPlain(type(node).__name__)
+
+
+def _literal_value(raw: str):
+    """The value of a short literal; None for a bare tuple and for whatever is no literal."""
     if len(raw) > _LITERAL_LIMIT or "__" in raw:
         return None
     try:
-        value = ast.literal_eval(raw)
-    except (SyntaxError, ValueError, MemoryError, RecursionError, TypeError):
+        tree = ast.parse(raw, mode="eval").body
+        return None if isinstance(tree, ast.Tuple) else _from_node(tree)
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
         return None
-    return None if isinstance(value, tuple) else _plain(value)
 
 
-def _plain(x):
-    if isinstance(x, dict):
-        return {str(k): _plain(v) for k, v in x.items()}
-    if isinstance(x, (set, frozenset)):
-        return sorted(map(_plain, x), key=str)
-    return [_plain(v) for v in x] if isinstance(x, (list, tuple)) else x
+def structured(text: str | None):
+    """The value of a JSON text, or of a short literal of lists and mappings; None for anything else, and for bare tuples."""
+    raw = (text or "").strip()
+    try:
+        return json.loads(raw) if raw else None
+    except ValueError:
+        return _literal_value(raw)
 
 
 def _arguments(value) -> dict | None:
@@ -62,17 +76,16 @@ def _json_call(body: str, read: Callable) -> Call | None:
     return None if arguments is None else {"name": payload["name"].strip(), "arguments": arguments}
 
 
+def _parameter(raw: str):
+    """A parameter's value: what is nested is read, a scalar stays the text that it is."""
+    nested = structured(raw)
+    return nested if isinstance(nested, (dict, list)) else raw.strip()
+
+
 def _markup_calls(body: str) -> list[Call]:
-    """Calls of function/parameter markup: nested JSON is kept, scalars stay text."""
-    out = []
-    for name, inner in _FUNCTION.findall(body):
-        arguments = {}
-        for key, raw in _PARAMETER.findall(inner):
-            value = structured(raw)
-            arguments[key.strip()] = value if isinstance(value, (dict, list)) else raw.strip()
-        if name.strip():
-            out.append({"name": name.strip(), "arguments": arguments})
-    return out
+    """Calls of function/parameter markup that have a name."""
+    named = ((m[1].strip(), m[2]) for m in _FUNCTION.finditer(body))
+    return [{"name": name, "arguments": {p[1].strip(): _parameter(p[2]) for p in _PARAMETER.finditer(inner)}} for name, inner in named if name]
 
 
 def _strict_json(text: str):
@@ -112,29 +125,43 @@ def channel_calls(text: str) -> list[Call]:
 FORMATS: dict[str, Callable[[str], list[Call]]] = {"hermes": json_blocks, "qwen35": markup_blocks, "gpt-oss": channel_calls}
 
 
+def _visible(text: str | None) -> str:
+    """What follows the last </think>."""
+    return re.split(r"(?i)</think>", text or "")[-1]
+
+
 def tool_calls(text: str | None) -> list[Call]:
     """Calls of every block after the last </think>: JSON or literal bodies, else function markup."""
-    shown = re.split(r"(?i)</think>", text or "")[-1]
     out: list[Call] = []
-    for body in _BLOCK.findall(shown):
+    for body in _BLOCK.findall(_visible(text)):
         call = _json_call(body, structured)
         out += [call] if call else _markup_calls(body)
     return out
 
 
+def _said(arguments: dict) -> str | None:
+    answer = arguments.get("answer")
+    return answer.strip() or None if isinstance(answer, str) else None
+
+
+#: What a finish call's arguments must be, by the name of the error that they are not; names and fields are fixed values.
+_FINISH: dict[str, Callable[[dict], bool]] = {
+    "finish_argument_fields_invalid": lambda a: a.keys() == {"status", "answer", "reason_step"},
+    "finish_status_invalid": lambda a: a.get("status") == "answer",
+    "answer_not_nonempty_string": lambda a: _said(a) is not None,
+}
+
+
 def finish_call(text: str | None) -> dict:
     """The one finish call that a completion may be: valid, answer, errors."""
-    shown = re.split(r"(?i)</think>", text or "")[-1].strip()
-    if shown.count("<tool_call>") != 1 or not re.fullmatch(r"(?s)<tool_call>.*?</tool_call>", shown):
-        return {"valid": False, "answer": None, "errors": ["not_exactly_one_tool_call"]}
-    calls = tool_calls(shown)
-    if len(calls) != 1 or calls[0]["name"] != "finish":
-        return {"valid": False, "answer": None, "errors": ["finish_call_unparseable"]}
-    args = calls[0]["arguments"]
-    answer = args.get("answer")
-    said = isinstance(answer, str) and bool(answer.strip())
-    errors = [e for bad, e in ((set(args) != {"status", "answer", "reason_step"}, "finish_argument_fields_invalid"), (args.get("status") != "answer", "finish_status_invalid"), (not said, "answer_not_nonempty_string")) if bad]
-    return {"valid": not errors, "answer": answer.strip() if said else None, "errors": errors}
+    shown = _visible(text).strip()
+    alone = _BLOCK.fullmatch(shown) is not None and shown.count("<tool_call>") == 1
+    calls = tool_calls(shown) if alone else []
+    if [c["name"] for c in calls] != ["finish"]:
+        return {"valid": False, "answer": None, "errors": ["finish_call_unparseable" if alone else "not_exactly_one_tool_call"]}
+    arguments = calls[0]["arguments"]
+    errors = [error for error, fits in _FINISH.items() if not fits(arguments)]
+    return {"valid": not errors, "answer": _said(arguments), "errors": errors}
 
 
 def only_call(text: str | None, *names: str) -> Call | None:

@@ -84,3 +84,34 @@ def test_evidence_ids_round_trip(spark):
     df = spark.createDataFrame([("hotpotqa-official-sentence-v1:12:3",), ("hotpotqa-official-sentence-v1:012:3",), ("x:1:2",)], "e string")
     got = [r.x for r in df.select(tx.parse_evidence_id(F.col("e")).alias("x")).collect()]
     assert (got[0].pid, got[0].sentence) == (12, 3) and got[1] is None and got[2] is None
+
+
+@pytest.mark.parametrize(
+    "text, reason",
+    [
+        ("The units digit is asked.\n7 * 8 = 6", "units_digit_display"),
+        ("hours: 5 30\nminutes: 70 (10 + 60) = 70", "time_borrowing_annotation"),
+        (r"$60 = 1, 2, 3$", "list_rhs_not_scalar_equality"),
+        ("2 + 3 = 5\n+ 4 = 9", "running_total_requires_previous_value"),
+        ("1, +2 = 3", "numeric_list_or_running_total"),
+        ("Total ways for D = 5 = 5 + 0", "conditional_label_not_equation"),
+        ("original equation: 1 + 1 = 3\nLHS $\\neq$ RHS\nso not a solution", "extraneous_root_explicitly_rejected"),
+        ("200/600=33.3%", "rounded_decimal_display"),
+    ],
+)
+def test_what_does_not_count_says_why(text, reason):
+    assert reason in [e.reason for _, e in equations.audit(text)] and all(e.reason != reason or e.valid is None for _, e in equations.audit(text))
+
+
+def test_borrowed_time_counts_if_the_figures_differ():
+    found = [e for _, e in equations.audit("minutes: 71 (10 + 60) = 71")]
+    assert all(e.reason != "time_borrowing_annotation" for e in found)
+
+
+def test_a_digit_is_meant_only_where_lines_nearby_say_so():
+    far = "The units digit is asked.\n" + "so on\n" * 4 + "7 * 8 = 6"
+    assert [e.valid for _, e in equations.audit(far) if e.left == "7 * 8"] == [False]
+
+
+def test_literals_without_json_values_are_none():
+    assert [toolcalls.structured(x) for x in ("{'a': (1, -2.5)}", "[1, b'x']", "{**a}", "(1, 2)", "{'k': {3, 1}}", "1 + 2j", "f(1)")] == [{"a": [1, -2.5]}, None, None, None, {"k": [1, 3]}, None, None]
