@@ -56,3 +56,11 @@ def coerce_bool(value: Column, what: str) -> Column:
     """A real boolean from text that spells one; "false" is false, and anything else raises."""
     low = F.lower(F.trim(value.cast("string")))
     return F.when(low.isin("true", "1"), True).when(low.isin("false", "0"), False).when(value.isNull(), None).otherwise(F.raise_error(F.concat(F.lit(f"{what} is not a boolean: "), low)).cast("boolean"))
+
+
+def bounded_rows(df: DataFrame, most: int, what: str) -> list:
+    """The rows of a table that is small by nature; more than ``most`` raise, rather than some being left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise CheckFailed(f"{what}: more than {most} rows")
+    return rows

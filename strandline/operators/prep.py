@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline import checks
+from strandline.functions import arithmetic
 from strandline.functions import text as tx
 
 
@@ -75,22 +76,47 @@ def within_length(df: DataFrame, length: Column, most: int, what: str = "prompt"
     return checks.require(df, what, too_long=length > most)
 
 
-_NULL_LIKE = ("none", "null", "nan", "n/a", "unknown", "-")
-_MISSING_FIGURE = r"(?i)\b(as shown|see (the )?(figure|diagram|picture)|in the (figure|diagram|picture) (below|above)|shown (below|above))\b"
+#: Labels that stand for none, questions about a picture, and what shows that the picture is there: fixed values.
+_NO_LABEL = ("", "none", "null", "nan", "inf", "...")
+_FIGURE = r"(?i)\b(?:diagram|figure|polygon)\s+(?:shown|below)|\b(?:shown|pictured)\s+(?:below|in the figure)|\bin the (?:diagram|figure)\b"
+_FIGURE_GIVEN = r"(?i)\[asy\]|<svg|data:image"
+
+
+def _usable(question: Column, truth: Column) -> Column:
+    """Whether there is a question and a label."""
+    return (F.trim(F.coalesce(question, F.lit(""))) != "") & ~F.lower(F.trim(F.coalesce(truth.cast("string"), F.lit("")))).isin(*_NO_LABEL)
 
 
 def quality_reason(question: Column, truth: Column) -> Column:
-    """Why a row is quarantined, or null: a blank question or label, a label that stands for none, a figure that is not there."""
-    q, t = F.trim(F.coalesce(question, F.lit(""))), F.trim(F.coalesce(truth, F.lit("")))
-    return F.when(q == "", "blank_question").when(t == "", "blank_label").when(F.lower(t).isin(*_NULL_LIKE), "null_like_label").when(F.regexp_like(q, F.lit(_MISSING_FIGURE)), "missing_figure")
+    """Why a row by itself is quarantined, or null: no question or label, or a figure that the question names and has not."""
+    figure = F.regexp_like(question, F.lit(_FIGURE)) & ~F.regexp_like(question, F.lit(_FIGURE_GIVEN))
+    return F.when(~_usable(question, truth), "missing_or_invalid_problem_or_answer").when(figure, "missing_referenced_diagram")
+
+
+def label_conflicts(df: DataFrame, question: str, truth: str) -> DataFrame:
+    """By question: rows, labels (distinct in canonical form), least_label, and whether one is not equal to the least as an answer.
+
+    Each distinct label of a question is parsed once. A null label is none.
+    """
+    pairs = df.groupBy(F.col(question).alias("__q"), F.col(truth).cast("string").alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
+    named = pairs.withColumn("__c", arithmetic.canonical_column(F.col("__t")))
+    first = F.min("__c").alias("__first")
+    by = named.groupBy("__q").agg(F.sum("__n").alias("rows"), F.countDistinct("__c").alias("labels"), F.min("__t").alias("least_label"), first)
+    several = by.filter("labels > 1").select(F.col("__q").alias("__k"), "__first")
+    # null questions have no key to join by; they are compared as one group like any other
+    met = named.join(several, F.col("__q").eqNullSafe(F.col("__k"))).filter("__c is not null").select("__k", "__c", "__first").distinct()
+    bad = met.filter(~arithmetic.answers_equal_column(F.col("__c"), F.col("__first"))).select("__k").distinct().withColumn("__bad", F.lit(True))
+    return by.join(bad, F.col("__q").eqNullSafe(F.col("__k")), "left").select(F.col("__q").alias(question), "rows", "labels", "least_label", F.coalesce("__bad", F.lit(False)).alias("conflicting"))
 
 
 def quarantine(df: DataFrame, question: str, truth: str) -> DataFrame:
-    """Adds reason to every row; rows of a question with conflicting labels have ``conflicting_labels``."""
-    canon = F.lower(F.trim(F.col(truth)))
-    w = Window.partitionBy(question)
-    conflict = F.min(canon).over(w) != F.max(canon).over(w)
-    return df.withColumn("reason", F.coalesce(quality_reason(F.col(question), F.col(truth)), F.when(conflict, "conflicting_labels")))
+    """Adds reason to every row; usable rows of a question whose labels are not equal as answers have ``conflicting_reference_answers``."""
+    q, t = F.col(question), F.col(truth)
+    usable = df.filter(_usable(q, t)).select(F.trim(q).alias("__question"), t.alias("__label"))
+    clash = label_conflicts(usable, "__question", "__label").filter("conflicting").select("__question", F.lit(True).alias("__clash"))
+    own = quality_reason(q, t)
+    joined = df.join(clash, F.trim(q) == F.col("__question"), "left")
+    return joined.withColumn("reason", F.when(F.col("__clash") & _usable(q, t), "conflicting_reference_answers").otherwise(own)).drop("__question", "__clash")
 
 
 def corrected(df: DataFrame, corrections: DataFrame, exclusions: DataFrame, index: str, truth: str) -> DataFrame:

@@ -180,11 +180,6 @@ def frequent_failures(equations: DataFrame, k: int = 20) -> DataFrame:
     return bad.orderBy(F.desc("n"), "lhs", "rhs").limit(k).select("lhs", "rhs", "n", "first.*")
 
 
-def label_groups(rows: DataFrame, question: str, label: str) -> DataFrame:
-    """By question: rows, distinct labels, and whether they conflict."""
-    return rows.groupBy(question).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(label).alias("labels"), F.min(label).alias("least_label")).withColumn("conflicting", F.col("labels") > 1)
-
-
 def gated_rate(counts: DataFrame, part: str, whole: str, least: float) -> DataFrame:
     """The rows of counts, if the rate of their sums reaches ``least``."""
     r = counts.agg(F.sum(part).alias("p"), F.sum(whole).alias("w")).first()

@@ -46,11 +46,11 @@ def numbered(df: DataFrame, order: str, *ties: str, out: str = "n") -> DataFrame
     """Adds a gapless number from 0 in a global order by a numeric column, with no task that sorts the whole table.
 
     Rows are cut into ranges at approximate quantiles; each range is numbered
-    for itself and starts where the ones before it end.
+    for itself and starts where the ones before it end. A null comes first.
     """
     parts = max(1, df.count() // NUMBERED_ROWS)
     bounds = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    bucket = sum(((F.col(order) > b).cast("int") for b in bounds), F.lit(0))
+    bucket = sum((F.coalesce((F.col(order) > b).cast("int"), F.lit(0)) for b in bounds), F.lit(0))
     cut = df.withColumn("__b", bucket)
     sizes = cut.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
     starts = sizes.select("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))

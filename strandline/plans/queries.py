@@ -250,7 +250,7 @@ def frequent_failures(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT substr(text, 1, 12) AS q, count(*) AS rows, count(DISTINCT lang) AS labels, min(lang) AS least_label, count(DISTINCT lang) > 1 AS conflicting FROM documents GROUP BY 1")
 def conflicting_labels(spark: SparkSession, sf: str) -> DataFrame:
     d = v.table(spark, sf, "documents").select(F.substring("text", 1, 12).alias("q"), "lang")
-    return reports.label_groups(d, "q", "lang")
+    return prep.label_conflicts(d, "q", "lang")
 
 
 # --- verification credits
@@ -463,7 +463,7 @@ def source_prefix_split(spark: SparkSession, sf: str) -> DataFrame:
     return prep.split_by_index(d, "doc_id", 50).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
 
 
-_FEW = """q AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '  ' WHEN doc_id % 13 = 0 THEN 'As shown below, find x ' || (doc_id % 40) ELSE 'find x ' || (doc_id % 300) END AS question, CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 19 = 0 THEN 'N/A' ELSE CAST(doc_id % 600 // 300 AS VARCHAR) END AS truth FROM documents)"""
+_FEW = """q AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '  ' WHEN doc_id % 13 = 0 THEN 'As shown below, find x ' || (doc_id % 40) ELSE 'find x ' || (doc_id % 300) END AS question, CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 19 = 0 THEN 'NaN' ELSE CAST(doc_id % 600 // 300 AS VARCHAR) END AS truth FROM documents)"""
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -471,12 +471,12 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("doc_id")
     tail = lambda n: F.pmod(i, F.lit(n)).cast("string")
     q = F.when(i % 11 == 0, "  ").when(i % 13 == 0, F.concat(F.lit("As shown below, find x "), tail(40))).otherwise(F.concat(F.lit("find x "), tail(300)))
-    t = F.when(i % 17 == 0, None).when(i % 19 == 0, "N/A").otherwise(F.floor(i % 600 / 300).cast("string"))
+    t = F.when(i % 17 == 0, None).when(i % 19 == 0, "NaN").otherwise(F.floor(i % 600 / 300).cast("string"))
     return d.select("doc_id", q.alias("question"), t.alias("truth"))
 
 
-@query(f"""WITH {_FEW}, c AS (SELECT *, min(lower(trim(truth))) OVER (PARTITION BY question) <> max(lower(trim(truth))) OVER (PARTITION BY question) AS clash FROM q)
-SELECT coalesce(CASE WHEN trim(question) = '' THEN 'blank_question' WHEN truth IS NULL THEN 'blank_label' WHEN truth = 'N/A' THEN 'null_like_label' WHEN question LIKE 'As shown%' THEN 'missing_figure' WHEN clash THEN 'conflicting_labels' END, 'kept') AS reason, count(*) AS n FROM c GROUP BY 1""")
+@query(f"""WITH {_FEW}, u AS (SELECT *, trim(question) <> '' AND coalesce(truth, '') NOT IN ('', 'NaN') AS usable FROM q), c AS (SELECT *, count(DISTINCT CASE WHEN usable THEN truth END) OVER (PARTITION BY question) > 1 AS clash FROM u)
+SELECT CASE WHEN NOT usable THEN 'missing_or_invalid_problem_or_answer' WHEN clash THEN 'conflicting_reference_answers' WHEN question LIKE 'As shown%' THEN 'missing_referenced_diagram' ELSE 'kept' END AS reason, count(*) AS n FROM c GROUP BY 1""")
 def quality_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     q = prep.quarantine(_questions(spark, sf), "question", "truth")
     return q.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline import schemas
+from strandline import runtime, schemas
 from strandline.functions import answers, arithmetic, certificates, equations, hashing, toolcalls
 from strandline.functions import text as tx
 from strandline.functions.once import once_per_value
@@ -86,13 +85,13 @@ def equation_process_reward(spark: SparkSession, sf: str) -> DataFrame:
     return reports.equation_totals(e.withColumnRenamed("id", "trajectory_uid"))
 
 
-@query(f"WITH {_LINES} SELECT CASE e WHEN 4 THEN 'invalid_domain' WHEN 3 THEN 'unsupported' WHEN 2 THEN 'limit' ELSE 'ok' END AS status, count(*) AS n FROM x GROUP BY 1")
+@query(f"WITH {_LINES} SELECT CASE e WHEN 4 THEN 'invalid_numeric_domain' WHEN 3 THEN 'ambiguous_ellipsis' WHEN 2 THEN 'symbolic_or_structured' ELSE 'numeric' END AS status, count(*) AS n FROM x GROUP BY 1")
 def label_parse_status(spark: SparkSession, sf: str) -> DataFrame:
     q, e = F.col("q"), F.col("e")
     text = F.when(e == 4, _s(q, "/0")).when(e == 3, _s("about ", q, "...")).when(e == 2, _s(q, "^{99999999}")).otherwise(_s(q))
     labels = _lines(spark, sf).select(text.alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     # each distinct label is parsed once, however many rows have it
-    return labels.select(arithmetic.evaluate_column(F.col("label"))["status"].alias("status"), "n").groupBy("status").agg(F.sum("n").alias("n"))
+    return labels.select(arithmetic.label_status_column(F.col("label")).alias("status"), "n").groupBy("status").agg(F.sum("n").alias("n"))
 
 
 def _completions(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,9 +163,13 @@ def normalized_titles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder of its own for files that a query writes: in the cluster's shared folder, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/strandline-scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own for files that a query writes, deleted when the driver ends."""
+    path = f"{runtime.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(place)
+    store.deleteOnExit(place)
+    return path
 
 
 @query("SELECT doc_id, lang, source FROM documents ORDER BY doc_id")

@@ -178,7 +178,7 @@ class EvidenceStore:
 
     def metadata(self) -> dict[str, str]:
         """The few key/value pairs that describe the store."""
-        return {r.key: r.value for r in self.table("metadata").limit(10_000).collect()}
+        return {r.key: r.value for r in checks.bounded_rows(self.table("metadata"), 10_000, "metadata")}
 
     def paragraph(self, pid: int) -> DataFrame:
         return self.table("paragraphs").filter(F.col("pid") == pid)

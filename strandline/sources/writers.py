@@ -95,23 +95,27 @@ def write_vectors(df: DataFrame, path: str) -> None:
     df.select(F.col("pid").cast("bigint").alias("pid"), F.col("embedding").cast("array<float>").alias("embedding")).write.parquet(path)
 
 
+#: Inputs of a manifest and rows of a printed report at most; more raise.
+MOST_INPUTS, MOST_REPORT_ROWS = 10_000, 1_000
+
+
 def run_manifest(name: str, inputs: DataFrame, gates: dict[str, tuple[int, int]], **facts) -> dict:
     """A run's manifest: digests of its inputs (name, sha256) and its row counts; a count that is not as required raises."""
     wrong = {k: got for k, (got, want) in gates.items() if got != want}
     if wrong:
         raise checks.CheckFailed(f"{name}: counts are not as required: {wrong}")
-    return {"name": name, "created": datetime.datetime.now(datetime.UTC).isoformat(), "inputs": {r.name: r.sha256 for r in inputs.select("name", "sha256").orderBy("name").limit(10_000).collect()}, "rows": {k: got for k, (got, _) in gates.items()}, **facts}
+    return {"name": name, "created": datetime.datetime.now(datetime.UTC).isoformat(), "inputs": {r.name: r.sha256 for r in sorted(checks.bounded_rows(inputs.select("name", "sha256"), MOST_INPUTS, f"{name}: inputs"))}, "rows": {k: got for k, (got, _) in gates.items()}, **facts}
 
 
-def markdown_table(df: DataFrame, limit: int = 1_000) -> str:
-    """A report's rows as a Markdown table."""
-    rows = df.limit(limit).collect()
+def markdown_table(df: DataFrame, most: int = MOST_REPORT_ROWS) -> str:
+    """A report's rows, all of them, as a Markdown table."""
+    rows = checks.bounded_rows(df, most, "a printed report")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in rows])
 
 
-def latex_table(df: DataFrame, limit: int = 1_000) -> str:
-    """A report's rows as the lines of a LaTeX table."""
-    rows = df.limit(limit).collect()
+def latex_table(df: DataFrame, most: int = MOST_REPORT_ROWS) -> str:
+    """A report's rows, all of them, as the lines of a LaTeX table."""
+    rows = checks.bounded_rows(df, most, "a printed report")
     esc = lambda x: "" if x is None else str(x).replace("_", r"\_").replace("%", r"\%").replace("&", r"\&")
     return "\n".join([" & ".join(map(esc, df.columns)) + r" \\", r"\midrule", *[" & ".join(map(esc, r)) + r" \\" for r in rows]])
