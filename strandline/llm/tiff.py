@@ -72,88 +72,101 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+# Codes of LZW: what clears the table and what ends the data; fixed values.
+_CLEAR, _END, _FREE = 256, 257, 258
+#: Bits of the k-th code after a clearing one: 9 to 12, which widen one code early.
+_WIDTHS = np.array([min(12, (_FREE + k).bit_length()) for k in range(4096 - _FREE)], np.int64)
+_LITERALS = [bytes((b,)) for b in range(256)] + [b"", b""]
+
+
+def _widths(k: int, n: int) -> np.ndarray:
+    """Widths of n codes from the k-th after a clearing one on."""
+    return np.concatenate((_WIDTHS[k : k + n], np.full(max(0, n - max(0, len(_WIDTHS) - k)), 12)))
+
+
+def _codes(data: bytes) -> Iterator[list[int] | None]:
+    """The codes between clearing ones, high bits first, up to the end; a long run without one comes in parts.
+
+    All codes up to the next clearing one have known places, so they are read at
+    once; None in place of a part says that the table was cleared.
+    """
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
+    at, k = 0, 0
+    while True:
+        width = _widths(k, 4096)
+        place = at + np.cumsum(width) - width
+        width = width[: np.searchsorted(place + width, 8 * len(data), "right")]
+        place = place[: len(width)]
+        if not len(width):
+            return
+        first = place >> 3
+        window = raw[first].astype(np.int64) << 16 | raw[first + 1].astype(np.int64) << 8 | raw[first + 2]
+        code = window >> (24 - (place & 7) - width) & ((1 << width) - 1)
+        stops = np.flatnonzero((code == _CLEAR) | (code == _END))
+        n = int(stops[0]) if len(stops) else len(code)
+        yield code[:n].tolist()
+        if not len(stops):
+            at, k = int(place[-1] + width[-1]), k + n
+        elif code[n] == _END:
+            return
+        else:
+            yield None
+            at, k = int(place[n] + width[n]), 0
+
+
 def unpack_lzw(data: bytes, size: int) -> bytes:
     """Codes of 9 to 12 bits, high bits first, that widen one code early."""
-    clear, end = 256, 257
-    base = [bytes((b,)) for b in range(256)] + [b"", b""]
-    table, width, last = list(base), 9, b""
-    out = bytearray()
-    acc = bits = 0
-    for byte in data:
-        acc = (acc << 8 | byte) & 0xFFFFFF
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = acc >> bits & (1 << width) - 1
-        if code == end:
-            break
-        if code == clear:
-            table, width, last = list(base), 9, b""
-            continue
-        if not last:
-            if code >= 256:
-                raise TiffError("an LZW strip starts with no literal")
-            last = table[code]
-            out += last
+    table, last = list(_LITERALS), b""
+    out: list[bytes] = []
+    have = 0
+    for codes in _codes(data):
+        if codes is None:
+            table, last = list(_LITERALS), b""
             continue
-        if code < len(table):
-            now = table[code]
-        elif code == len(table):
-            now = last + last[:1]
-        else:
-            raise TiffError("an LZW code is not in the table")
-        out += now
-        if len(table) < 4096:
-            table.append(last + now[:1])
-        last = now
-        width = min(12, max(9, (len(table) + 1).bit_length()))
-        if len(out) >= size:
-            break
-    return bytes(out)
+        for code in codes:
+            if not last:
+                if code >= _CLEAR:
+                    raise TiffError("an LZW strip starts with no literal")
+                now = table[code]
+            elif code < len(table):
+                now = table[code]
+            elif code == len(table):
+                now = last + last[:1]
+            else:
+                raise TiffError("an LZW code is not in the table")
+            if last and len(table) < 4096:
+                table.append(last + now[:1])
+            out.append(now)
+            have += len(now)
+            last = now
+            if have >= size:
+                return b"".join(out)
+    return b"".join(out)
 
 
 def pack_lzw(data: bytes) -> bytes:
-    clear, end = 256, 257
-    out = bytearray()
-    acc = bits = 0
-    width = 9
-
-    def put(code: int) -> None:
-        nonlocal acc, bits
-        acc = acc << width | code
-        bits += width
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits & 255)
-        acc &= (1 << bits) - 1
-
-    def fresh() -> dict[bytes, int]:
-        return {bytes((b,)): b for b in range(256)}
-
-    table, size, now = fresh(), 258, b""
-    put(clear)
-    for byte in data:
-        longer = now + bytes((byte,))
-        if longer in table:
+    codes, width = [_CLEAR], [np.array([9])]
+    table: dict[int, int] = {}  # a code and the byte that follows it, to the code of both
+    size, begun = _FREE, 1
+    now = data[0] if data else None
+    for byte in data[1:]:
+        longer = table.get(now << 8 | byte)
+        if longer is not None:
             now = longer
             continue
-        put(table[now])
-        table[longer] = size
+        codes.append(now)
+        table[now << 8 | byte] = size
         size += 1
         if size > 4093:
-            put(clear)
-            table, size, width = fresh(), 258, 9
-        else:
-            width = max(9, size.bit_length())
-        now = longer[-1:]
-    if now:
-        put(table[now])
-        width = max(9, min(12, (size + 1).bit_length()))
-    put(end)
-    if bits:
-        out.append(acc << (8 - bits) & 255)
-    return bytes(out)
+            codes.append(_CLEAR)
+            width.append(_widths(0, len(codes) - begun))
+            table, size, begun = {}, _FREE, len(codes)
+        now = byte
+    codes += [_END] if now is None else [now, _END]
+    width.append(_widths(0, len(codes) - begun))
+    # each code's low bits, laid end to end
+    wide = np.unpackbits(np.array(codes, ">u2").view(np.uint8)).reshape(-1, 16)
+    return np.packbits(wide[np.arange(16) >= 16 - np.concatenate(width)[:, None]]).tobytes()
 
 
 def _decode(data: bytes, compression: int, size: int) -> bytes:
