@@ -169,7 +169,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     store.mkdirs(place)
     store.deleteOnExit(place)
-    return path
+    return f"{path}/out"
 
 
 @query("SELECT doc_id, lang, source FROM documents ORDER BY doc_id")
