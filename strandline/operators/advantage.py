@@ -8,6 +8,7 @@ trajectories stay long rows and are never padded.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,56 +32,83 @@ def _spread(steps: DataFrame, by_trajectory: DataFrame) -> DataFrame:
     return out.withColumn("returns", F.col("advantage"))
 
 
-def group_normalised(x: Column, over, by_std: bool = True, single_mean_zero: bool = True, epsilon: float = EPSILON) -> Column:
-    """(x - mean) / (sample std + epsilon) within a window.
+def with_moments(df: DataFrame, x: Column, *keys: str) -> DataFrame:
+    """Adds __n, __mean and __std of each group, summed on the map side and joined back: a group of any size is split. Null keys are a group."""
+    own = {k: f"__of_{k}" for k in keys}
+    moments = df.groupBy(*[F.col(k).alias(o) for k, o in own.items()]).agg(F.count(F.lit(1)).alias("__n"), F.avg(x).alias("__mean"), F.stddev_samp(x).alias("__std"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(o)) for k, o in own.items()])
+    return df.join(moments, same).drop(*own.values())
+
+
+def group_normalised(df: DataFrame, x: Column, keys: list[str], out: str, by_std: bool = True, single_mean_zero: bool = True, epsilon: float = EPSILON) -> DataFrame:
+    """Adds (x - mean) / (sample std + epsilon) within each group.
 
     A group of one has std 1, and mean 0 or, without ``single_mean_zero``, its
     own value.
     """
-    n, mean, std = F.count(F.lit(1)).over(over), F.avg(x).over(over), F.stddev_samp(x).over(over)
     alone = x if single_mean_zero else F.lit(0.0)
-    if not by_std:
-        return F.when(n == 1, alone).otherwise(x - mean)
-    return F.when(n == 1, alone / (1 + epsilon)).otherwise((x - mean) / (std + epsilon))
+    off = x - F.col("__mean")
+    value = F.when(F.col("__n") == 1, alone / (1 + epsilon) if by_std else alone).otherwise(off / (F.col("__std") + epsilon) if by_std else off)
+    return with_moments(df, x, *keys).withColumn(out, value).drop("__n", "__mean", "__std")
 
 
 def grpo_outcome(steps: DataFrame, by_std: bool = True, epsilon: float = EPSILON) -> DataFrame:
     """Trajectory score, normalised within its prompt, on every step."""
-    scores = trajectory_scores(steps)
-    return _spread(steps, scores.withColumn("advantage", group_normalised(F.col("score"), Window.partitionBy("uid"), by_std, True, epsilon)))
+    return _spread(steps, group_normalised(trajectory_scores(steps), F.col("score"), ["uid"], "advantage", by_std, True, epsilon))
 
 
 def rloo(steps: DataFrame) -> DataFrame:
     """Score less the mean of the prompt's other trajectories; alone, the score itself."""
-    w = Window.partitionBy("uid")
-    n = F.count(F.lit(1)).over(w)
-    adv = F.when(n > 1, (F.col("score") - F.avg("score").over(w)) * n / (n - 1)).otherwise(F.col("score"))
-    return _spread(steps, trajectory_scores(steps).withColumn("advantage", adv))
+    n, score = F.col("__n"), F.col("score")
+    adv = F.when(n > 1, (score - F.col("__mean")) * n / (n - 1)).otherwise(score)
+    return _spread(steps, with_moments(trajectory_scores(steps), score, "uid").withColumn("advantage", adv))
+
+
+#: Steps that are folded at once. A longer trajectory is folded by blocks, so that no array is copied for each of its steps.
+BLOCK = 64
+
+
+def _folded(items: Column, gamma: float) -> Column:
+    """G of each (s, r) of an ordered array: r + gamma^gap * the next one's G, with the step between the two as gap."""
+    start = F.struct(F.lit(0.0).alias("g"), F.lit(None).cast("bigint").alias("s"), F.array().cast("array<double>").alias("done"))
+
+    def back(acc: Column, x: Column) -> Column:
+        g = x["r"] + F.pow(F.lit(gamma), F.coalesce(acc["s"] - x["s"], F.lit(0))) * acc["g"]
+        return F.struct(g.alias("g"), x["s"].alias("s"), F.concat(acc["done"], F.array(g)).alias("done"))
+
+    return F.reverse(F.aggregate(F.reverse(items), start, back, lambda a: a["done"]))
 
 
 def returns_to_go(steps: DataFrame, gamma: float = 1.0, reward: str = "reward", out: str = "returns") -> DataFrame:
-    """G_s = r_s + gamma * G_{s+1}; steps that are missing count as reward 0 and still discount."""
+    """G_s = r_s + gamma * G_{s+1}; steps that are missing count as reward 0 and still discount.
+
+    Every row stays: rows of one index follow each other without a discount, and
+    a null index comes first, at the place of the first step that has one.
+    """
     r = F.coalesce(F.col(reward), F.lit(0.0))
     if gamma == 1.0:
         return steps.withColumn(out, F.sum(r).over(_forward().rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     if gamma == 0.0:
         return steps.withColumn(out, r)
-    by = steps.groupBy("trajectory_uid").agg(F.array_sort(F.collect_list(F.struct(F.col("step_index").alias("s"), r.alias("r")))).alias("__steps"))
-    # one pass per trajectory, folding back from the last step with the gap to the next as exponent: no power of a long index over- or underflows
-    start = F.struct(F.lit(0.0).alias("g"), F.lit(None).cast("int").alias("s"), F.expr("cast(array() as array<struct<s:int,g:double>>)").alias("done"))
+    row = F.struct(*[F.col(c) for c in steps.columns if c != out])
+    by = steps.groupBy("trajectory_uid").agg(F.collect_list(F.struct(F.col("step_index").cast("bigint").alias("s"), r.cast("double").alias("r"), row.alias("row"))).alias("__all"))
+    ordered = by.select("__all", F.sort_array(F.transform("__all", lambda x, i: F.struct(x["s"].alias("s"), x["r"].alias("r"), i.alias("i")))).alias("__o"))
+    blocks = ordered.withColumn("__b", F.transform(F.sequence(F.lit(0), F.size("__o") - 1, F.lit(BLOCK)), lambda at: F.slice("__o", at + 1, F.lit(BLOCK))))
+    local = blocks.withColumn("__g", F.transform("__b", lambda b: _folded(b, gamma)))
+    heads = local.withColumn("__h", F.zip_with("__b", "__g", lambda b, g: F.struct(F.get(b, F.lit(0))["s"].alias("s"), F.get(g, F.lit(0)).alias("r"))))
+    carried = heads.withColumn("__c", _folded(F.col("__h"), gamma))
 
-    def back(acc: Column, x: Column) -> Column:
-        gap = F.coalesce(acc["s"] - x["s"], F.lit(0))
-        g = x["r"] + F.pow(F.lit(gamma), gap) * acc["g"]
-        return F.struct(g.alias("g"), x["s"].cast("int").alias("s"), F.concat(acc["done"], F.array(F.struct(x["s"].cast("int").alias("s"), g.alias("g")))).alias("done"))
+    def whole(b: Column, k: Column) -> Column:
+        """A block's own G and what the next block's first step carries back."""
+        after, then = F.get("__c", k + 1), F.get("__h", k + 1)["s"]
+        return F.zip_with(b, F.get("__g", k), lambda x, g: F.struct(F.get("__all", x["i"])["row"].alias("row"), (g + F.coalesce(F.pow(F.lit(gamma), F.coalesce(then - x["s"], F.lit(0))) * after, F.lit(0.0))).alias("g")))
 
-    folded = by.select("trajectory_uid", F.inline(F.aggregate(F.reverse("__steps"), start, back, lambda a: a["done"])).alias("step_index", out))
-    return steps.join(folded, ["trajectory_uid", "step_index"])
+    return carried.select(F.inline(F.flatten(F.transform("__b", whole)))).select("row.*", F.col("g").alias(out))
 
 
 def step_grpo(steps: DataFrame, gamma: float = 1.0, by_std: bool = True, epsilon: float = EPSILON) -> DataFrame:
     """Return-to-go, centred and scaled among the prompt's steps of one index; a lone step keeps its value, over 1 + epsilon."""
-    return returns_to_go(steps, gamma).withColumn("advantage", group_normalised(F.col("returns"), Window.partitionBy("uid", "step_index"), by_std, True, epsilon))
+    return group_normalised(returns_to_go(steps, gamma), F.col("returns"), ["uid", "step_index"], "advantage", by_std, True, epsilon)
 
 
 def whitened(df: DataFrame, column: str, out: str, epsilon: float = WHITEN_EPSILON) -> DataFrame:
@@ -146,8 +174,8 @@ def gigpo(steps: DataFrame, step_weight: float = 1.0, gamma: float = 1.0, by_std
     """Episode advantage plus ``step_weight`` times the return-to-go normalised in its anchor group; a lone anchor adds 0."""
     episode = grpo_outcome(steps, by_std, epsilon).drop("returns").withColumnRenamed("advantage", "__episode")
     both = groups(returns_to_go(episode, gamma))
-    local = group_normalised(F.col("returns"), Window.partitionBy("uid", "anchor_group"), by_std, False, epsilon)
-    return both.withColumn("advantage", F.col("__episode") + step_weight * local).drop("__episode")
+    local = group_normalised(both, F.col("returns"), ["uid", "anchor_group"], "__local", by_std, False, epsilon)
+    return local.withColumn("advantage", F.col("__episode") + step_weight * F.col("__local")).drop("__episode", "__local")
 
 
 #: Estimators by name.

@@ -67,6 +67,11 @@ def reinforce_policy(tokens: DataFrame, mode: str = "token-mean", weight: str |
     return aggregate_loss(tokens, one * F.col(weight) if weight else one, mode)
 
 
+def critic_mask(estimator: str) -> Column:
+    """The mask of the value loss: a token's own with ``token_gae``, else that of a step's first position (``pos``) only."""
+    return F.col("mask") if estimator == "token_gae" else F.when(F.col("pos") == 0, F.col("mask")).otherwise(F.lit(0))
+
+
 def value_loss(tokens: DataFrame, clip: float = 0.2, mode: str = "token-mean") -> DataFrame:
     """One row: half the larger of the plain and the clipped squared error of ``new_value``, and how often it was clipped."""
     v, old, g = F.col("new_value"), F.col("value"), F.col("returns")

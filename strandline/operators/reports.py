@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,7 +50,8 @@ def pass_at_k(records: DataFrame, *by: str) -> DataFrame:
 def histogram(records: DataFrame, column: str) -> DataFrame:
     """Counts by value, and each one's share of all."""
     by = records.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return by.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    total = by.agg(F.sum("n").alias("__all"))
+    return by.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("__all")).drop("__all")
 
 
 def joint_consistency(records: DataFrame) -> DataFrame:

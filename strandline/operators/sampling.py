@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,20 @@ def split_cases(cases: DataFrame, fraction: float) -> DataFrame:
 NUMBERED_ROWS = 200_000
 
 
+def _above(x: Column, bounds: list[float]) -> Column:
+    """How many of the ascending bounds a value is above, by halving; none for a null."""
+    if not bounds:
+        return F.lit(0)
+    known, start = F.lit(bounds), F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.shiftright(a["lo"] + a["hi"], 1)
+        right = (a["lo"] < a["hi"]) & (x > F.get(known, mid))
+        return F.struct(F.when(right, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(right | (a["lo"] >= a["hi"]), a["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda a: a["lo"])
+
+
 def numbered(df: DataFrame, order: str, *ties: str, out: str = "n") -> DataFrame:
     """Adds a gapless number from 0 in a global order by a numeric column, with no task that sorts the whole table.
 
@@ -50,8 +66,7 @@ def numbered(df: DataFrame, order: str, *ties: str, out: str = "n") -> DataFrame
     """
     parts = max(1, df.count() // NUMBERED_ROWS)
     bounds = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    bucket = sum((F.coalesce((F.col(order) > b).cast("int"), F.lit(0)) for b in bounds), F.lit(0))
-    cut = df.withColumn("__b", bucket)
+    cut = df.withColumn("__b", _above(F.col(order), bounds))
     sizes = cut.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
     starts = sizes.select("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
     own = F.row_number().over(Window.partitionBy("__b").orderBy(order, *ties))
@@ -73,6 +88,41 @@ def batch_totals(steps: DataFrame) -> DataFrame:
     return steps.groupBy("mini_batch").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("trajectory_uid").alias("trajectories"), F.sum("response_len").alias("response_tokens"))
 
 
+def by_mini_batch(steps: DataFrame, shuffle: bool = False, seed: int = 42) -> DataFrame:
+    """Adds turn: the place of a row's mini_batch among those that there are, by id or in a fixed random order.
+
+    Only one row per mini-batch is numbered.
+    """
+    ids = steps.select("mini_batch").filter("mini_batch is not null").distinct()
+    place = F.conv(F.substring(hash_order(F.col("mini_batch"), seed=str(seed)), 1, 15), 16, 10).cast("bigint") if shuffle else F.col("mini_batch").cast("bigint")
+    turns = numbered(ids.withColumn("__place", place), "__place", "mini_batch", out="turn").drop("__place")
+    return steps.join(turns, "mini_batch")
+
+
+def padded(df: DataFrame, sizes: list[int], order: str, *masks: str) -> DataFrame:
+    """Rows up to a multiple of all ``sizes``, with sample_mask: the first rows by ``order`` (unique) come again, as often as it needs.
+
+    Copies have sample_mask false and nothing in their ``masks`` (numbers). They
+    are fewer than the multiple, which is all that is ordered at once. An empty
+    table stays empty.
+    """
+    multiple = math.lcm(*sizes) if sizes else 1
+    rows = df.withColumn("sample_mask", F.lit(True))
+    n = df.count()
+    short = -n % multiple
+    if not short:
+        return rows
+    rounds = -(-short // n)
+    again = repeat_interleaved(first_n(df, min(short, n), order), rounds, "__round").orderBy("__round", order).limit(short).drop("__round")
+    zero = {m: F.lit(0).cast(df.schema[m].dataType) for m in masks}
+    return rows.unionByName(again.withColumns({**zero, "sample_mask": F.lit(False)}))
+
+
+def valid_rows(df: DataFrame) -> DataFrame:
+    """Rows whose sample_mask is set; all rows of a table without that column."""
+    return df.filter(F.col("sample_mask").cast("boolean")) if "sample_mask" in df.columns else df
+
+
 def repeat_interleaved(df: DataFrame, n: int, out: str = "rollout") -> DataFrame:
     return df.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline import checks
 from strandline.functions import hashing
 from strandline.functions import text as tx
 from strandline.operators import advantage, alignment, credit, graphs, losses, prep, reports, retrieval, sampling
@@ -728,6 +729,62 @@ def minibatch_totals(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.batch_totals(sampling.mini_batches(v.steps(spark, sf), 16, 4))
 
 
+@query(f"""WITH {_BATCHES}, t AS (SELECT mini_batch, row_number() OVER (ORDER BY substr(sha256('7' || chr(1) || mini_batch), 1, 15), mini_batch) - 1 AS turn FROM (SELECT DISTINCT (n // 16)::INT AS mini_batch FROM o))
+SELECT s.trajectory_uid, s.step_index, t.mini_batch, t.turn FROM steps s JOIN o ON s.trajectory_uid = o.trajectory_uid JOIN t ON t.mini_batch = (o.n // 16)::INT""")
+def minibatch_turns(spark: SparkSession, sf: str) -> DataFrame:
+    batches = sampling.mini_batches(v.steps(spark, sf), 16, 4)
+    return sampling.by_mini_batch(batches, shuffle=True, seed=7).select("trajectory_uid", "step_index", "mini_batch", "turn")
+
+
+@query(f"""WITH {v.STEPS}, o AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS i, (24 - count(*) OVER () % 24) % 24 AS short FROM steps)
+SELECT row_id, response_len, TRUE AS sample_mask FROM steps UNION ALL SELECT row_id, 0, FALSE FROM o WHERE i < short""")
+def padded_batch(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.padded(v.steps(spark, sf).select("row_id", "response_len"), [6, 8], "row_id", "response_len")
+
+
+@query(f"WITH {v.STEPS} SELECT row_id, reward FROM steps WHERE NOT is_padding")
+def valid_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.valid_rows(v.steps(spark, sf).withColumn("sample_mask", ~F.col("is_padding"))).select("row_id", "reward")
+
+
+@query(f"WITH {v.TOKENS} SELECT trajectory_uid, step_index, pos, CASE WHEN pos = 0 THEN ((step_index + pos) % 3 > 0)::INT ELSE 0 END AS step_mask, ((step_index + pos) % 3 > 0)::INT AS token_mask FROM tokens")
+def critic_masks(spark: SparkSession, sf: str) -> DataFrame:
+    t = v.tokens(spark, sf).withColumn("mask", (F.pmod(F.col("step_index") + F.col("pos"), F.lit(3)) > 0).cast("int"))
+    return t.select("trajectory_uid", "step_index", "pos", losses.critic_mask("gae").alias("step_mask"), losses.critic_mask("token_gae").alias("token_mask"))
+
+
+@query("SELECT doc_id, md5('<image>' || replace(coalesce(text, ''), '<image>', '') || chr(10) || 'A. ' || coalesce(lang, '') || chr(10) || 'B. ' || coalesce(source, '')) AS content, lang AS ground_truth FROM documents")
+def vision_rows(spark: SparkSession, sf: str) -> DataFrame:
+    d = v.table(spark, sf, "documents")
+    options = F.array(F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
+    text = F.concat(F.lit("<image>"), F.replace(F.coalesce("text", F.lit("")), F.lit("<image>"), F.lit("")))
+    rows = d.select("doc_id", prep.with_options(text, options).alias("problem"), F.array("source").alias("images"), F.col("lang").alias("answer"))
+    made = prep.vision_row(rows, "doc_id", "train")
+    return made.select(F.col("index").alias("doc_id"), F.md5(F.col("prompt")[0]["content"]).alias("content"), F.col("reward_model.ground_truth").alias("ground_truth"))
+
+
+@query("SELECT doc_id, md5(text) AS first_input, lang AS first_output, CASE WHEN doc_id % 2 = 0 THEN 'solve' END AS fn_name, CASE doc_id % 3 WHEN 0 THEN 'empty' WHEN 1 THEN 'mixed' ELSE 'stdio' END AS kind FROM documents")
+def task_test_cases(spark: SparkSession, sf: str) -> DataFrame:
+    d, i = v.table(spark, sf, "documents"), F.pmod("doc_id", F.lit(3))
+    raw = F.to_json(F.struct(F.array("text").alias("inputs"), F.array("lang").alias("outputs"), F.when(F.col("doc_id") % 2 == 0, "solve").alias("fn_name")))
+    kinds = F.when(i == 0, F.array().cast("array<string>")).when(i == 1, F.array(F.lit("stdio"), F.lit("functional"))).otherwise(F.array(F.lit("stdio"), F.lit("stdio")))
+    case = F.col("case")
+    return d.select("doc_id", prep.parse_cases(raw).alias("case"), prep.homogeneous(kinds).alias("kind")).select("doc_id", F.md5(case["inputs"][0]).alias("first_input"), case["outputs"][0].alias("first_output"), case["fn_name"].alias("fn_name"), "kind")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id < 100")
+def gated_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    head = prep.prefix(v.table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", 100)
+    return prep.within_length(head, F.col("n_chars"), 10**9)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 < 3 THEN event_id % 4 = 0 END AS flag FROM events")
+def coerced_flags(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.pmod("event_id", F.lit(4))
+    said = F.when(i == 0, " True").when(i == 1, "false").when(i == 2, "0")
+    return v.table(spark, sf, "events").select("event_id", checks.coerce_bool(said, "flag").alias("flag"))
+
+
 # --- text columns
 
 

@@ -78,3 +78,24 @@ def test_unknown_and_unsupported_estimators_raise(spark):
         adv.compute_advantage(one, "none")
     with pytest.raises(NotImplementedError):
         adv.compute_advantage(one, "remax")
+
+
+def test_every_row_gets_its_return_in_trajectories_of_any_length(spark):
+    rows = [("q", t, i, float(i % 7), 0.0, "a") for t, n in (("r1", 1), ("r2", 64), ("r3", 65), ("r4", 1000)) for i in range(n) if i % 5 != 3]
+    got = {(r.trajectory_uid, r.step_index): r.returns for r in adv.returns_to_go(spark.createDataFrame(rows, SCHEMA), 0.9).collect()}
+    assert len(got) == len(rows)
+    for _, t, i, *_ in rows:
+        assert got[t, i] == pytest.approx(sum(r * 0.9 ** (j - i) for _, u, j, r, *_ in rows if u == t and j >= i))
+
+
+def test_null_and_repeated_steps_stay_once(spark):
+    rows = [("q", "r", None, 1.0, 0.0, "a"), ("q", "r", 0, 2.0, 0.0, "b"), ("q", "r", 0, 2.0, 0.0, "b"), ("q", "r", 1, 4.0, 0.0, "c"), ("q", None, 0, 3.0, 0.0, "d"), ("q", None, 1, None, 0.0, "d")]
+    got = adv.returns_to_go(spark.createDataFrame(rows, SCHEMA), 0.5).collect()
+    assert sorted((str(r.trajectory_uid), str(r.step_index), r.returns) for r in got) == [("None", "0", 3.0), ("None", "1", 0.0), ("r", "0", 4.0), ("r", "0", 6.0), ("r", "1", 4.0), ("r", "None", 7.0)]
+    assert adv.returns_to_go(spark.createDataFrame([], SCHEMA), 0.5).count() == 0
+
+
+def test_a_null_prompt_is_a_group(spark):
+    rows = [(u, f"{u}{t}", 0, float(t), 0.0, "a") for u in (None, "q") for t in (0, 2)]
+    got = adv.grpo_outcome(spark.createDataFrame(rows, SCHEMA), by_std=False).collect()
+    assert sorted((str(r.uid), r.advantage) for r in got) == [("None", -1.0), ("None", 1.0), ("q", -1.0), ("q", 1.0)]

@@ -42,3 +42,17 @@ def test_reports_are_whole_or_an_error(spark):
         writers.markdown_table(spark.range(30), 20)
     with pytest.raises(checks.CheckFailed):
         writers.latex_table(spark.range(2_000))
+
+
+@pytest.mark.parametrize("n, want", [(0, []), (1, [0, 0, 0, 0, 0]), (4, [0, 1]), (5, [0]), (6, [])])
+def test_padding_repeats_the_first_rows_without_their_mask(spark, n, want):
+    rows = sampling.padded(spark.createDataFrame([(i, 1) for i in range(n)], "i int, mask int"), [2, 3], "i", "mask").collect()
+    assert sorted((r.i, r.mask) for r in rows if r.sample_mask) == [(i, 1) for i in range(n)]
+    assert sorted((r.i, r.mask) for r in rows if not r.sample_mask) == [(i, 0) for i in want]
+
+
+def test_mini_batches_take_turns(spark):
+    df = spark.createDataFrame([(i, b) for i, b in enumerate([3, 0, 3, 5, 0])], "i int, mini_batch int")
+    assert sorted((r.mini_batch, r.turn) for r in sampling.by_mini_batch(df).collect()) == [(0, 0), (0, 0), (3, 1), (3, 1), (5, 2)]
+    one, two = ({(r.i, r.turn) for r in sampling.by_mini_batch(df.repartition(p), True, 1).collect()} for p in (1, 3))
+    assert one == two and {t for _, t in one} == {0, 1, 2}
