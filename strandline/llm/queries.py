@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontamination, language, linededup, ngramjoin, packing, pii, quality, sharding, tiff, tokenoutput, tokens
+from strandline.llm import bpe, decontamination, language, linededup, ngramjoin, packing, pii, quality, resampling, sharding, tiff, tokenoutput, tokens
 
 SHARDS = 16
 
@@ -57,6 +57,14 @@ def op10_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFram
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_deobfuscation": op1_pii_deobfuscation,
     "op2_line_site_spread": op2_line_site_spread,
@@ -68,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_seekable_zstd_tokens": op9_seekable_zstd_tokens,
     "op10_hyperdimensional_language": op10_hyperdimensional_language,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_bpe_codec": op13_bpe_codec,
 }
 
 ORACLES: dict[str, str] = {"op2_line_site_spread": linededup.ORACLE}
