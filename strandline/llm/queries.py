@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import bpe, decontamination, language, linededup, ngramjoin, packing, pii, quality, resampling, sharding, tiff, tokenoutput, tokens
+from strandline.llm import bpe, decontamination, language, linededup, ngramjoin, packing, pii, quality, repeats, resampling, sharding, tiff, tokenoutput, tokens
 
 SHARDS = 16
 
@@ -57,6 +58,23 @@ def op10_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFram
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id, text of documents, where every tenth by the id's checksum repeats a few words from some word on."""
+    ruled = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    chosen = (F.col("h") % 10 == 0) & (F.octet_length("text") > 0)
+    worded = ruled.select("doc_id", "text", F.floor(F.col("h") / 10).alias("g"), F.when(chosen, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("words"))
+    cut = worded.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    period = cut.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    left = F.col("n") - F.col("a")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int"))), F.lit(1), left)
+    planted = F.concat_ws(" ", F.slice("words", F.lit(1), F.col("a")), tail)
+    return period.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_tandem_repeat_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.run_digests(periodic_tails(_table(spark, sf_dir, "documents")))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -76,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_seekable_zstd_tokens": op9_seekable_zstd_tokens,
     "op10_hyperdimensional_language": op10_hyperdimensional_language,
+    "op11_tandem_repeat_runs": op11_tandem_repeat_runs,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_bpe_codec": op13_bpe_codec,
 }
