@@ -16,7 +16,7 @@ from strandline.plans import registry
 from strandline.plans import views as v
 from strandline.plans.queries import query, r
 from strandline.sources import readers, writers
-from strandline.streaming import records
+from strandline.streaming import records, trajectories
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -215,6 +215,42 @@ def streaming_append(spark: SparkSession, sf: str) -> DataFrame:
     return records.finished(again, total).select("sample_index", "sample_key", "question", "ground_truth", "score")
 
 
+_FOLLOWED = f"""WITH {v.STEPS}, p AS (
+  SELECT trajectory_uid, step_index, prompt_len, row_id, CASE WHEN k % 10 = 9 THEN 'finish' ELSE 'search' END AS kind, 'd' || (k % 20) AS artifact, k % 20 % 3 = 0 AS gold, 'd' || (row_id % 20) AS cites, least(response_len, 45 - prompt_len, 20) AS want FROM steps
+), b AS (
+  SELECT *, CASE WHEN coalesce(sum(greatest(want, 0)) OVER w, 0) >= 120 THEN 'token_budget' WHEN prompt_len > 48 THEN 'prompt_limit' WHEN prompt_len >= 45 THEN 'context_limit' END AS pre, coalesce(sum((kind = 'search')::INT) OVER w, 0) AS searches
+  FROM p WINDOW w AS (PARTITION BY trajectory_uid ORDER BY step_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), s AS (
+  SELECT *, coalesce(pre, CASE WHEN kind = 'finish' AND searches > 0 THEN 'finish' WHEN step_index + 1 >= 12 THEN 'max_steps' END) AS stop FROM b
+), f AS (
+  SELECT *, coalesce(min(step_index) FILTER (stop IS NOT NULL) OVER (PARTITION BY trajectory_uid), 1000000) AS last FROM s
+), r AS (
+  SELECT *, step_index < last OR (step_index = last AND pre IS NULL) AS ran FROM f
+), n AS (
+  SELECT *, ran AND kind = 'search' AND row_number() OVER (PARTITION BY trajectory_uid, artifact, ran AND kind = 'search' ORDER BY step_index) = 1 AS fresh,
+    least(120, coalesce(sum(CASE WHEN ran THEN want ELSE 0 END) OVER (PARTITION BY trajectory_uid ORDER BY step_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS used FROM r
+), g AS (SELECT trajectory_uid, artifact, step_index FROM n WHERE fresh)
+SELECT n.trajectory_uid, n.step_index, used::BIGINT AS used, CASE WHEN n.step_index > last OR used >= 120 OR prompt_len >= 45 THEN 0 ELSE least(120 - used, 45 - prompt_len, 20) END::BIGINT AS cap, CASE WHEN n.step_index > last THEN 'closed' ELSE stop END AS stop,
+  coalesce(sum(fresh::INT) OVER (PARTITION BY n.trajectory_uid ORDER BY n.step_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS available, n.step_index <= last AND g.step_index IS NOT NULL AS cite_known, fresh AND gold AS covers,
+  coalesce(sum((fresh AND gold)::INT) OVER (PARTITION BY n.trajectory_uid ORDER BY n.step_index), 0)::INT AS covered
+FROM n LEFT JOIN g ON n.trajectory_uid = g.trajectory_uid AND n.cites = g.artifact AND g.step_index < n.step_index"""
+
+
+@query(_FOLLOWED)
+def trajectory_state_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Steps that arrive in mixed order over at least four micro-batches, with a restart from the checkpoint in between, and half of the last ones twice."""
+    base = scratch(spark, "follow")
+    k = F.col("k")
+    search = F.when(k % 10 == 9, "finish").otherwise("search")
+    steps = v.steps(spark, sf).select("trajectory_uid", "step_index", "prompt_len", "response_len", search.alias("kind"), _s("d", k % 20).alias("artifact"), (k % 20 % 3 == 0).alias("is_gold"), _s("d", F.col("row_id") % 20).alias("cites"), F.pmod(F.xxhash64("row_id"), F.lit(8)).alias("part"))
+    limits = trajectories.Limits(total=120, context=45, per_step=20, prompt=48, steps=12)
+    for part, rows in (("part < 4", 2), ("part >= 2", 2)):
+        # each round writes four parts, two of which the second round repeats
+        steps.filter(part).repartition(4).select(*trajectories.STEP_COLUMNS).write.mode("append").parquet(f"{base}/in")
+        trajectories.stream_followed(spark, f"{base}/in", limits, f"{base}/out", f"{base}/checkpoint", files=rows).awaitTermination()
+    return spark.read.schema(trajectories.FOLLOWED).parquet(f"{base}/out")
+
+
 @query("SELECT event_type AS request_key, count(*) > 0 AS asked FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY 1")
 def cached_requests(spark: SparkSession, sf: str) -> DataFrame:
     e = v.table(spark, sf, "events").select(F.col("event_type").alias("request_key"))
