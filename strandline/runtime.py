@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -28,3 +29,44 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         found = f"file://{tempfile.gettempdir()}/strandline-scratch"
     return found.rstrip("/")
+
+
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a path, as Spark's readers see it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, place = hadoop(spark, path)
+    return store.exists(place)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver ends."""
+    store, place = hadoop(spark, path)
+    store.deleteOnExit(place)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it again: what follows survives lost executors and computes it once.
+
+    The files go when :func:`drop` is told that nothing reads them any more, and
+    at the latest when the driver ends.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    drop_at_end(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            store, place = hadoop(spark, folder)
+            store.delete(place, True)

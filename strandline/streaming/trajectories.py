@@ -164,9 +164,14 @@ def known_steps(steps: DataFrame) -> DataFrame:
 
 
 def stream_followed(spark: SparkSession, source: str, limits: Limits, out: str, checkpoint: str, files: int | None = None, idle_ms: int | None = None) -> StreamingQuery:
-    """Follow the steps in parquet files as they appear, ``files`` of them a micro-batch, until all that is there is read; each followed step is written once."""
+    """Follow the steps in parquet files as they appear, ``files`` of them a micro-batch; each followed step is written once.
+
+    The query ends when all that is there is read. With ``idle_ms`` it goes on
+    until it is stopped, as time alone may then give out steps.
+    """
     reader = spark.readStream.schema(STEP)
     rows = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source)
     with rocksdb(spark):
         writer = follow(known_steps(rows), limits, idle_ms).writeStream.format("parquet").outputMode("append")
-        return writer.option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        writer = writer.option("path", out).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if idle_ms is None else writer).start()
