@@ -2,57 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.runtime import drop, drop_at_end, hadoop, materialise, new_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, a local one if all runs on this machine, as in tests, else an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-        found = f"file://{tempfile.gettempdir()}/strandline-checkpoints"
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: what follows survives lost executors and computes it once.
-
-    The files go when :func:`drop` is told that nothing reads them any more, and
-    at the latest when the driver ends.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    drop_at_end(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _hadoop(spark: SparkSession, path: str):
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
-def drop_at_end(spark: SparkSession, path: str) -> None:
-    """Delete a folder when the driver ends."""
-    store, place = _hadoop(spark, path)
-    store.deleteOnExit(place)
-
-
-def drop(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete the files of materialised tables that nothing reads any more."""
-    for df in tables:
-        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            store, place = _hadoop(spark, folder)
-            store.delete(place, True)
-
+__all__ = ["drop", "drop_at_end", "hadoop", "materialise", "new_path", "shared_dir", "join_counted", "free_names"]
 
 #: A key that more than a MOST_HOT-th of all rows have is joined by broadcast; there are at most MOST_HOT of them.
 MOST_HOT = 100_000
