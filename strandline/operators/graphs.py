@@ -1,125 +1,76 @@
 """Closures of step graphs: what each step of a trajectory depends on, through any number of inputs.
 
-Edges are (trajectory_uid, ref, input). A trajectory's edges are gathered in one
-row, which is as large as the trajectory, and closed there by sets of bits, so
-neither the depth of a graph nor the number of its paths matters. Edges may
-repeat, and may run in circles, in which case a step is its own ancestor. An
-edge without a ref or an input is none.
+Edges are (trajectory_uid, ref, input). Paths are doubled: a round knows the
+pairs that paths of exactly 2^k edges join and those that shorter ones join, and
+lays the two kinds end to end, so a graph of depth d takes log d rounds and a
+pair of a chain is made once. Each round is written to the shared folder and
+only pairs that are not known yet are added to it. A trajectory is spread over
+as many tasks as its steps need. Edges may repeat, and may run in circles, in
+which case a step is its own ancestor. An edge without a ref or an input is
+none; a null trajectory is none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import LongType, StructField, StructType
-
-
-class Closure:
-    """The ancestors of each step of one graph, as bits of whole numbers."""
-
-    def __init__(self, edges: Iterable[tuple[object, object]]):
-        self.inputs: dict[object, set[object]] = {}
-        for ref, source in edges:
-            self.inputs.setdefault(ref, set()).add(source)
-            self.inputs.setdefault(source, set())
-        self.names = list(self.inputs)
-        self.bit = {x: 1 << i for i, x in enumerate(self.names)}
-        self.above = dict.fromkeys(self.names, 0)
-        order, moved = list(self._inputs_first()), True
-        while moved:  # one round closes a graph without circles, another finds that nothing moves
-            moved = False
-            for x in order:
-                now = self.above[x]
-                for source in self.inputs[x]:
-                    now |= self.bit[source] | self.above[source]
-                if now != self.above[x]:
-                    self.above[x], moved = now, True
-
-    def _inputs_first(self) -> Iterator[object]:
-        seen: set[object] = set()
-        for start in self.names:
-            stack = [(start, iter(self.inputs[start]))] if start not in seen else []
-            seen.add(start)
-            while stack:
-                x, left = stack[-1]
-                for source in left:
-                    if source not in seen:
-                        seen.add(source)
-                        stack.append((source, iter(self.inputs[source])))
-                        break
-                else:
-                    stack.pop()
-                    yield x
-
-    def members(self, bits: int) -> Iterator[object]:
-        while bits:
-            low = bits & -bits
-            yield self.names[low.bit_length() - 1]
-            bits ^= low
-
-
-def _gathered(edges: DataFrame) -> DataFrame:
-    known = edges.filter("ref is not null and input is not null")
-    return known.groupBy("trajectory_uid").agg(F.collect_set(F.struct("ref", "input")).alias("edges"))
-
-
-def _pairs(edges: list[dict]) -> Iterator[tuple[object, object]]:
-    return ((e["ref"], e["input"]) for e in edges)
-
-
-def _mapped(gathered: DataFrame, schema: StructType, rows_of) -> DataFrame:
-    """``rows_of`` makes rows, without the trajectory, of a gathered row."""
-    made = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(row["trajectory_uid"], *x) for row in b.to_pylist() for x in rows_of(row)]
-            cols = list(zip(*rows, strict=True)) or [[]] * len(made)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, made, strict=True)], schema=made)
-
-    return gathered.mapInArrow(run, schema)
 
+from strandline import runtime
 
-def ancestors(edges: DataFrame) -> DataFrame:
-    """(trajectory_uid, ref, ancestor) of all that each step depends on."""
-    uid, ref = edges.schema["trajectory_uid"], edges.schema["ref"]
-    schema = StructType([uid, StructField("ref", ref.dataType), StructField("ancestor", ref.dataType)])
+_PAIR = ["trajectory_uid", "ref", "ancestor"]
 
-    def rows_of(row: dict) -> Iterator[tuple]:
-        c = Closure(_pairs(row["edges"]))
-        return ((x, y) for x in c.names for y in c.members(c.above[x]))
 
-    return _mapped(_gathered(edges), schema, rows_of)
+def _known(edges: DataFrame) -> DataFrame:
+    return edges.filter("trajectory_uid is not null and ref is not null and input is not null").select("trajectory_uid", "ref", F.col("input").alias("ancestor")).distinct()
 
 
-def count_ancestors(edges: DataFrame, marked: DataFrame) -> DataFrame:
-    """(trajectory_uid, ref, n): how many ancestors of a step are in ``marked`` (trajectory_uid, ref); steps with none are left out."""
-    uid, ref = edges.schema["trajectory_uid"], edges.schema["ref"]
-    schema = StructType([uid, StructField("ref", ref.dataType), StructField("n", LongType())])
-    given = marked.groupBy("trajectory_uid").agg(F.collect_set("ref").alias("marked"))
+def _end_to_end(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Pairs that a pair of ``first`` and one of ``second`` join."""
+    behind = second.select("trajectory_uid", F.col("ref").alias("__mid"), F.col("ancestor").alias("__end"))
+    return first.withColumnRenamed("ancestor", "__mid").join(behind, ["trajectory_uid", "__mid"]).select("trajectory_uid", "ref", F.col("__end").alias("ancestor"))
+
+
+def _grown(edges: DataFrame, start: DataFrame, columns: list[str], step) -> DataFrame:
+    """``start`` and what ``step`` (known, exact) adds to it, round after round, until a round adds nothing.
 
-    def rows_of(row: dict) -> Iterator[tuple]:
-        c = Closure(_pairs(row["edges"]))
-        bits = sum(c.bit.get(x, 0) for x in row["marked"])
-        return ((x, n) for x in c.names if (n := (c.above[x] & bits).bit_count()))
+    ``exact`` are the pairs that paths of exactly 2^k edges join; ``known``
+    holds what paths of fewer edges lead to. If no path of 2^k to 2^(k+1) - 1
+    edges leads to anything new, none that is longer does.
+    """
+    spark = edges.sparkSession
+    exact = runtime.materialise(_known(edges), "paths")
+    parts = [runtime.materialise(start, "closure")]
+    while True:
+        known = parts[0]
+        for p in parts[1:]:
+            known = known.unionByName(p)
+        new = runtime.materialise(step(known, exact).distinct().join(known, columns, "left_anti"), "closure")
+        if new.isEmpty():
+            runtime.drop(spark, exact, new)
+            return known
+        parts.append(new)
+        longer = runtime.materialise(_end_to_end(exact, exact).distinct(), "paths")
+        runtime.drop(spark, exact)
+        exact = longer
 
-    return _mapped(_gathered(edges).join(given, "trajectory_uid"), schema, rows_of)
+
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(trajectory_uid, ref, ancestor) of all that each step depends on."""
+    none = _known(edges).limit(0)
+    return _grown(edges, none, _PAIR, lambda known, exact: exact.unionByName(_end_to_end(exact, known)))
+
+
+def count_ancestors(edges: DataFrame, marked: DataFrame) -> DataFrame:
+    """(trajectory_uid, ref, n): how many ancestors of a step are in ``marked`` (trajectory_uid, ref); steps with none are left out."""
+    given = marked.select("trajectory_uid", F.col("ref").alias("ancestor")).distinct()
+    return ancestors(edges).join(given, ["trajectory_uid", "ancestor"]).groupBy("trajectory_uid", "ref").agg(F.count(F.lit(1)).alias("n"))
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(trajectory_uid, ref) that the starts (trajectory_uid, ref) depend on through inputs, the starts included."""
-    schema = StructType([starts.schema["trajectory_uid"], StructField("ref", starts.schema["ref"].dataType)])
-    given = starts.filter("ref is not null").groupBy("trajectory_uid").agg(F.collect_set("ref").alias("starts"))
+    given = starts.filter("trajectory_uid is not null and ref is not null").select("trajectory_uid", "ref").distinct()
 
-    def rows_of(row: dict) -> Iterator[tuple]:
-        c = Closure(_pairs(row["edges"] or ()))
-        found = set(row["starts"])
-        for x in row["starts"]:
-            found.update(c.members(c.above.get(x, 0)))
-        return ((x,) for x in found)
+    def step(known: DataFrame, exact: DataFrame) -> DataFrame:
+        return known.join(exact, ["trajectory_uid", "ref"]).select("trajectory_uid", F.col("ancestor").alias("ref"))
 
-    return _mapped(given.join(_gathered(edges), "trajectory_uid", "left"), schema, rows_of)
+    return _grown(edges, given, ["trajectory_uid", "ref"], step)

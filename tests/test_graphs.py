@@ -57,3 +57,13 @@ def test_empty_graphs(spark):
     none = spark.createDataFrame([], EDGES)
     assert graphs.ancestors(none).collect() == []
     assert graphs.reachable(none, none.select("trajectory_uid", "ref")).collect() == []
+
+
+def test_a_chain_of_thousands_without_python_workers(spark):
+    edges = spark.range(1, 5_001).selectExpr("'long' AS trajectory_uid", "id AS ref", "id - 1 AS input")
+    closed = graphs.ancestors(edges)
+    r = closed.selectExpr("count(*) AS n", "sum(ref - ancestor) AS far", "count_if(ancestor >= ref) AS wrong").first()
+    assert (r.n, r.wrong) == (5_000 * 5_001 // 2, 0) and r.far == sum(d * (5_001 - d) for d in range(1, 5_001))
+    starts = spark.createDataFrame([("long", 4_000)], "trajectory_uid string, ref bigint")
+    assert graphs.reachable(edges, starts).count() == 4_001
+    assert "Python" not in closed._jdf.queryExecution().toString() and "MapIn" not in closed._jdf.queryExecution().toString()

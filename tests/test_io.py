@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -83,3 +85,48 @@ def test_corpus_ids_must_be_contiguous(spark, tmp_path):
     writers.write_corpus(spark.createDataFrame([(0, "t", "a"), (2, "t", "b")], "pid bigint, title string, text string"), f"file://{tmp_path}/c.jsonl")
     with pytest.raises(checks.CheckFailed):
         readers.corpus(spark, f"file://{tmp_path}/c.jsonl")
+
+
+def read_bytes(spark, action):
+    """Bytes that the stages of an action read from files."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {s.stageId(): s.inputBytes() for s in (lambda x: [x.apply(i) for i in range(x.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))}
+    had = set(stages())
+    action()
+    time.sleep(1)
+    return sum(n for i, n in stages().items() if i not in had)
+
+
+def test_an_append_reads_what_it_touches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "BUCKET", 50)
+    sink = records.RecordSink(spark, f"file://{tmp_path}/out", schemas.SEARCH_RECORD)
+    some = lambda a, b: rows(spark, *((i, f"k{i}") for i in range(a, b)))
+    sink.append(some(0, 100))
+    small = read_bytes(spark, lambda: sink.append(some(95, 105)))
+    sink.append(some(105, 6_000))
+    big = read_bytes(spark, lambda: sink.append(some(5_995, 6_005)))
+    assert sink.contiguous() == 6_005
+    assert 0 < big < 1.5 * small
+
+
+def test_a_failed_batch_adds_nothing_until_it_runs_again(spark, tmp_path):
+    sink = records.RecordSink(spark, f"file://{tmp_path}/out", schemas.SEARCH_RECORD)
+    assert sink.append(rows(spark, (0, "a"), (1, "b")), 0) == 2
+
+    class Broken(records.RecordSink):
+        def _mark(self, what, name):
+            if what == "done":
+                raise RuntimeError("lost")
+            super()._mark(what, name)
+
+    again = Broken(spark, f"file://{tmp_path}/out", schemas.SEARCH_RECORD, resume=True)
+    with pytest.raises(RuntimeError):
+        again.append(rows(spark, (1, "b"), (2, "c"), (3, "d")), 1)
+    assert sink.contiguous() == 2
+    assert sink.append(rows(spark, (1, "b"), (2, "c"), (3, "d")), 1) == 2
+    assert sink.append(rows(spark, (1, "b"), (2, "c"), (3, "d")), 1) == 0
+    assert sink.contiguous() == 4
+    with pytest.raises(checks.CheckFailed, match="no_index"):
+        sink.append(rows(spark, (None, "x")))
+    with pytest.raises(checks.CheckFailed, match="two_keys"):
+        sink.append(rows(spark, (9, "x"), (9, "y")))
