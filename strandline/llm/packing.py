@@ -88,7 +88,8 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACI
     null or empty text is the end id alone; each repeated row is packed for
     itself; a null id is kept; an empty table gives an empty result; extra
     columns are not read. A partition packs alone: there is no shuffle, and a
-    lost task gives the same sequences when it runs again.
+    lost task gives the same sequences when it runs again on rows in the same
+    order, as files give them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,8 +57,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        # their strings in a text are ordinary text
-        self._tok.encode_special_tokens = True
+        self._special = [t.content.encode() for t in self._tok.get_added_tokens_decoder().values()]
         self._reset()
 
     def _reset(self) -> None:
@@ -103,8 +102,38 @@ class Encoder:
         self._keys, self._rows = keys_all[order], rows_all[order]
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets): document i has ids[offsets[i]:offsets[i + 1]]; a null or empty text has none."""
+        """(ids, offsets): document i has ids[offsets[i]:offsets[i + 1]]; a null or empty text has none.
+
+        A text that holds the string of a special token is encoded whole, as the
+        library takes that string out before it cuts the rest.
+        """
         data, offs = kernels.text_buffer(col)
+        whole = self._special_texts(data.tobytes(), offs)
+        if not len(whole):
+            return self._encode_plain(data, offs)
+        raw = data.tobytes()
+        alone = self._encode_texts([raw[offs[i] : offs[i + 1]].decode() for i in whole.tolist()])
+        size = np.diff(offs)
+        keep = np.ones(len(size), bool)
+        keep[whole] = False
+        size[whole] = 0
+        flat, others = self._encode_plain(data[np.repeat(keep, np.diff(offs))], np.concatenate(([0], np.cumsum(size))))
+        parts = np.split(flat, others[1:-1])
+        for i, ids in zip(whole.tolist(), alone, strict=True):
+            parts[i] = np.array(ids, np.uint32)
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+
+    def _special_texts(self, raw: bytes, offs: np.ndarray) -> np.ndarray:
+        """The texts in which the string of a special token may be."""
+        found = []
+        for token in self._special:
+            at = raw.find(token)
+            while at >= 0:
+                found.append(at)
+                at = raw.find(token, at + 1)
+        return np.unique(np.searchsorted(offs, np.array(found, np.int64), "right") - 1)
+
+    def _encode_plain(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = cut_points(data, offs)
         if not len(first):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)

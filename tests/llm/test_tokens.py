@@ -11,7 +11,16 @@ from strandline.llm import packing, tokenfile, tokenoutput, tokens
 from tests.llm.conftest import ODD
 
 pytest.importorskip("public_tokenizers")
-HARD = ["a  b  c\n\n d\te  ", "", None, " x", "it's we'll 12 34 é　z é", "<|endoftext|> a <|endoftext|>", "x" * 500 + " y", "ΑΣ ÀB ć ́d", "a\x1c b\x85 c   d", "ab\r\n cd\r\n\r\n  e", "a×! ÷? é. naïve,"]
+
+
+def library(name):
+    """The library's own tokenizer, as its file gives it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.vocabulary(name))
+
+
+HARD = ["a<|endoftext|>b", "<|startoftext|>A<|endoftext|> <|ENDOFTEXT|>", "<|endoftext|>", "x <|endoftext|", "|> y", "a  b  c\n\n d\te  ", "", None, " x", "it's we'll 12 34 é　z é", "<|endoftext|> a <|endoftext|>", "x" * 500 + " y", "ΑΣ ÀB ć ́d", "a\x1c b\x85 c   d", "ab\r\n cd\r\n\r\n  e", "a×! ÷? é. naïve,"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -22,13 +31,13 @@ def test_pieces_give_the_ids_of_whole_texts(name, monkeypatch):
     e = tokens.Encoder(tokens.vocabulary(name))
     for _ in range(2):
         flat, offs = e.encode(pa.array(texts))
-        want = [x.ids for x in e._tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        want = [x.ids for x in library(name).encode_batch([t or "" for t in texts], add_special_tokens=False)]
         assert [flat[offs[i] : offs[i + 1]].tolist() for i in range(len(texts))] == want
 
 
 def reference(name, rows, end):
-    e = tokens.Encoder(tokens.vocabulary(name))
-    return [(i, np.array([*e._tok.encode(t or "", add_special_tokens=False).ids, end], "<u4")) for i, t in rows]
+    e = library(name)
+    return [(i, np.array([*e.encode(t or "", add_special_tokens=False).ids, end], "<u4")) for i, t in rows]
 
 
 def test_packing_keeps_every_id_once(documents):
