@@ -1,6 +1,6 @@
 """Verifiers as table functions of SQL.
 
-    SELECT * FROM verify_steps(TABLE(steps) PARTITION BY trajectory_uid ORDER BY step_index, verifier => 'first_queries')
+    SELECT * FROM verify_steps(TABLE(steps) PARTITION BY (trajectory_uid) ORDER BY (step_index), verifier => 'first_queries')
 
 A verifier sees the steps of one trajectory in order and gives credits to some
 of them. The contract is kept for every verifier: a credit names a step that was
@@ -106,7 +106,7 @@ class VerifySteps:
     @staticmethod
     def analyze(table: AnalyzeArgument, verifier: AnalyzeArgument) -> AnalyzeResult:
         if not table.isTable:
-            raise ValueError("verify_steps takes TABLE(...) PARTITION BY trajectory_uid ORDER BY step_index")
+            raise ValueError("verify_steps takes TABLE(...) PARTITION BY (trajectory_uid) ORDER BY (step_index)")
         if not verifier.isConstantExpression or not isinstance(verifier.value, str):
             raise ValueError("the verifier is a constant name")
         need = ("trajectory_uid", "step_index", *STEP_VERIFIERS.get(verifier.value).columns)

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import runtime, schemas
-from strandline.functions import answers, arithmetic, certificates, equations, hashing, toolcalls
+from strandline.functions import answers, arithmetic, certificates, equations, hashing, toolcalls, variants
 from strandline.functions import text as tx
 from strandline.functions.once import once_per_value
 from strandline.operators import credit, prep, reports, verification
-from strandline.plans import registry
+from strandline.plans import registry, sql_functions, table_functions
 from strandline.plans import views as v
 from strandline.plans.queries import query, r
-from strandline.sources import readers, writers
+from strandline.sources import images, pointread, preflight, readers, writers
 from strandline.streaming import records, trajectories
 
 
@@ -325,3 +327,120 @@ def functional_outputs(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("doc_id")
     want = F.when(i % 3 == 0, _s('{"a": [', i, ", 2]}")).when(i % 3 == 1, _s('[{"a":[', i, ",2]}]")).otherwise(_s('{"a": [', i, "]}"))
     return v.table(spark, sf, "documents").select("doc_id", tx.functional_equal(_s('{"a":[', i, ",2]}"), want).alias("same"))
+
+
+# --- indexed reads, table functions, variants, images, preflight
+
+
+_DOCUMENT = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def _indexed(spark: SparkSession, sf: str) -> tuple[str, str]:
+    base = scratch(spark, "indexed")
+    writers.append_jsonl(v.table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"), f"{base}/in")
+    pointread.build_index(spark, f"{base}/in", "doc_id", f"{base}/index")
+    return f"{base}/in", f"{base}/index"
+
+
+@query("SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents")
+def indexed_point_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document by its byte range, from an index of JSON lines."""
+    path, index = _indexed(spark, sf)
+    ids = v.table(spark, sf, "documents").select("doc_id")
+    return pointread.read_ids(spark, ids, path, index, "doc_id", _DOCUMENT).select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
+
+
+@query("SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars, max(doc_id) AS last FROM documents GROUP BY 1")
+def indexed_source_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files read whole through the data source."""
+    path, index = _indexed(spark, sf)
+    pointread.register(spark)
+    docs = spark.read.format("indexed_jsonl").schema(_DOCUMENT).options(path=path, index=index, key="doc_id").load()
+    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.max("doc_id").alias("last"))
+
+
+@query(f"""WITH {v.STEPS}, x AS (SELECT trajectory_uid, step_index, anchor_obs AS q, row_id % 3 > 0 AS ok, count(*) OVER (PARTITION BY trajectory_uid) AS n FROM steps),
+f AS (SELECT *, ok AND row_number() OVER (PARTITION BY trajectory_uid, q, ok ORDER BY step_index) = 1 AS fresh FROM x)
+SELECT trajectory_uid, step_index, {r('1.0::DOUBLE / n', 'score')}, {r('sum(1.0::DOUBLE / n) OVER (PARTITION BY trajectory_uid)', 'process_reward')}, '[{{"query":"' || q || '"}}]' AS audit FROM f WHERE fresh""")
+def verify_table_function(spark: SparkSession, sf: str) -> DataFrame:
+    table_functions.register(spark)
+    # a column of the table has the name of one of the result's
+    steps = v.steps(spark, sf).select("trajectory_uid", "step_index", F.upper("anchor_obs").alias("query"), (F.col("row_id") % 3 > 0).alias("success"), F.lit("clash").alias("audit"))
+    return spark.sql("SELECT * FROM verify_steps(TABLE({steps}) PARTITION BY (trajectory_uid) ORDER BY (step_index), 'first_queries')", steps=steps)
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN 'solve' END AS fn_name, md5(CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN lang || chr(10) || source ELSE '[' || n_chars || ',"' || lang || '",{"a":null,"b":[true,0.5]}]' END) AS stdin_md5,
+CASE doc_id % 3 WHEN 2 THEN n_chars::VARCHAR ELSE lang END AS expected_stdout, sha256('{"a":' || n_chars || ',"b":"' || lang || '"}') AS digest FROM documents""")
+def variant_test_cases(spark: SparkSession, sf: str) -> DataFrame:
+    d, kind = v.table(spark, sf, "documents"), F.col("doc_id") % 3
+    texts = F.to_json(F.struct(F.array("text").alias("inputs"), F.array("lang").alias("outputs")))
+    lines = F.to_json(F.struct(F.array(F.array("lang", "source")).alias("inputs"), F.array(F.array("lang")).alias("outputs")))
+    calls = _s('{"fn_name": "solve", "inputs": [[', F.col("n_chars"), ', "', F.col("lang"), '", {"b": [true, 0.50], "a": null}]], "outputs": [', F.col("n_chars"), "]}")
+    made = variants.test_cases(F.when(kind == 0, texts).when(kind == 1, lines).otherwise(calls))
+    digest = variants.canonical_sha256(_s('{"b" : "', F.col("lang"), '", "a":', F.col("n_chars"), "}"))
+    return d.select("doc_id", made.alias("m"), digest.alias("digest")).select("doc_id", "m.fn_name", F.md5(F.col("m.cases")[0]["stdin"]).alias("stdin_md5"), F.col("m.cases")[0]["expected_stdout"].alias("expected_stdout"), "digest")
+
+
+@query(f"""WITH {v.TOKENS}, x AS (SELECT uid, advantage AS a, log_prob, exp(greatest(least(log_prob - old_log_prob, 20), -20)) AS q, new_value, value, returns FROM tokens),
+l AS (SELECT *, greatest(-a * q, -a * greatest(least(q, 1.2), 0.8)) AS c FROM x)
+SELECT uid, {r('avg(CASE WHEN a < 0 THEN least(c, -a * 3) ELSE c END)', 'clipped')}, {r('avg(-a * log_prob)', 'reinforce')}, {r('avg(-a * q)', 'bypass')}, {r('avg(0.5 * greatest(pow(new_value - returns, 2), pow(greatest(least(new_value, value + 0.5), value - 0.5) - returns, 2)))', 'value')} FROM l GROUP BY 1""")
+def named_losses_in_sql(spark: SparkSession, sf: str) -> DataFrame:
+    sql_functions.register(spark)
+    return spark.sql(
+        "SELECT uid, avg(policy_loss('clipped', log_prob, old_log_prob, advantage)) AS clipped, avg(policy_loss('reinforce', log_prob, old_log_prob, advantage)) AS reinforce, avg(policy_loss('bypass', log_prob, old_log_prob, advantage)) AS bypass, avg(value_loss(new_value, value, returns)) AS value FROM {tokens} GROUP BY uid",
+        tokens=v.tokens(spark, sf),
+    )
+
+
+@query(f"""WITH {v.STEPS}, s AS (SELECT trajectory_uid, min(uid) AS uid, sum(reward) AS score FROM steps GROUP BY 1)
+SELECT trajectory_uid, {r('(score - avg(score) OVER g) / (stddev_samp(score) OVER g + 1e-6)', 'grpo')}, {r('(score - avg(score) OVER g) * count(*) OVER g / (count(*) OVER g - 1)', 'rloo')} FROM s WINDOW g AS (PARTITION BY uid)""")
+def named_estimators_in_sql(spark: SparkSession, sf: str) -> DataFrame:
+    sql_functions.register(spark)
+    scores = v.steps(spark, sf).groupBy("trajectory_uid").agg(F.min("uid").alias("uid"), F.sum("reward").alias("score"))
+    return spark.sql(
+        "WITH m AS (SELECT uid, avg(score) AS mean, stddev_samp(score) AS sd, count(*) AS n FROM {scores} GROUP BY uid) SELECT trajectory_uid, group_advantage('grpo', score, mean, sd, n) AS grpo, group_advantage('rloo', score, mean, sd, n) AS rloo FROM {scores} JOIN m USING (uid)",
+        scores=scores,
+    )
+
+
+def _png(width: int, height: int, grey: bytes) -> bytes:
+    """A PNG file of grey samples."""
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    rows = b"".join(b"\0" + grey[y * width : (y + 1) * width] for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+@query("""SELECT vec_id, len(embedding)::INT AS width, 1::INT AS height, sha256(unhex(hex('RGB') || '00' || hex(len(embedding)::VARCHAR) || '00' || hex('1') || '00' || array_to_string(list_transform(embedding, lambda x: repeat(printf('%02X', floor(abs(x::DOUBLE) * 100)::INT % 256), 3)), ''))) AS sha256 FROM embeddings""")
+def image_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector drawn as a grey image, one file each, and read again by the JVM's decoder."""
+    folder = scratch(spark, "images")
+    store, place = runtime.hadoop(spark, folder)
+    store.mkdirs(place)
+
+    def draw(rows) -> None:
+        target, place = pointread.store_of(folder)
+        for row in rows:
+            grey = bytes(int(abs(x) * 100) % 256 for x in row.embedding)
+            with target.open_output_stream(f"{place}/{row.vec_id}.png") as f:
+                f.write(_png(len(grey), 1, grey))
+
+    v.table(spark, sf, "embeddings").select("vec_id", "embedding").foreachPartition(draw)
+    found = images.read_images(spark, folder)
+    return found.select(F.regexp_extract("path", r"([0-9]+)\.png$", 1).cast("bigint").alias("vec_id"), "width", "height", "sha256")
+
+
+@query("SELECT lang, false AS first, true AS second, lang = (SELECT min(lang) FROM documents) AS changed FROM documents GROUP BY 1")
+def preflight_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of documents, one a language, are digested in the first run, in the second not, and in the third only the one that was written anew."""
+    base = scratch(spark, "preflight")
+    docs = v.table(spark, sf, "documents").withColumn("language", F.col("lang"))
+    docs.repartition("lang").write.partitionBy("lang").json(f"{base}/in")
+    runs = [preflight.preflight(spark, f"{base}/in", f"{base}/manifests") for _ in range(2)]
+    least = docs.agg(F.min("lang")).first()[0]
+    docs.filter(F.col("lang") == least).drop("lang", "n_chars").coalesce(1).write.mode("overwrite").json(f"{base}/in/lang={least}")
+    runs.append(preflight.preflight(spark, f"{base}/in", f"{base}/manifests"))
+    of = [x.select(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang"), F.col("reused").alias(k)) for x, k in zip(runs, ("first", "second", "third"), strict=True)]
+    return of[0].join(of[1], "lang").join(of[2], "lang").select("lang", "first", "second", (~F.col("third")).alias("changed"))

@@ -40,13 +40,13 @@ LINES = 2_000
 _READ = 1_000_000
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
 
 
 def data_files(path: str) -> list[tuple[str, int]]:
     """(path, bytes) of a file, or of a folder's files without those whose names begin with a dot or an underscore; none is an error."""
-    store, place = _store(path)
+    store, place = store_of(path)
     root = store.get_file_info(place)
     if root.type == fs.FileType.File:
         return [(place, root.size)]
@@ -96,7 +96,7 @@ def build_index(spark: SparkSession, path: str, key: str, index: str) -> DataFra
     local = path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = _store(local)
+        store, _ = store_of(local)
         for b in batches:
             for file, start, stop in zip(*(b.column(c).to_pylist() for c in ("file", "start", "stop")), strict=True):
                 rows = [(json.loads(line)[key], file, at, len(line)) for at, line in lines_of(store, file, start, stop)]
@@ -164,7 +164,7 @@ class Reader(DataSourceReader):
             return [Lines(f, start=a, stop=b) for f, a, b in ranges(self.path)]
         if not self.wanted:
             return [Lines("")]
-        store, place = _store(self.index)
+        store, place = store_of(self.index)
         table = ds.dataset(place, filesystem=store, format="parquet").to_table(filter=ds.field("key").isin(pa.array(sorted(self.wanted), pa.string())))
         by: dict[str, list[tuple[int, int, str]]] = {}
         for r in table.to_pylist():
@@ -172,7 +172,7 @@ class Reader(DataSourceReader):
         return [Lines(f, tuple(sorted(x)[i : i + LINES])) for f, x in sorted(by.items()) for i in range(0, len(x), LINES)] or [Lines("")]
 
     def read(self, partition: Lines) -> Iterator[pa.RecordBatch]:
-        store, _ = _store(self.path)
+        store, _ = store_of(self.path)
         if partition.spans:
             rows = read_spans(store, partition.file, partition.spans, self.key)
         else:
@@ -220,7 +220,7 @@ def read_ids(spark: SparkSession, ids: DataFrame, path: str, index: str, key: st
     arrow = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = _store(path)
+        store, _ = store_of(path)
         for b in batches:
             by: dict[str, list[tuple[int, int, str]]] = {}
             for r in b.to_pylist():

@@ -64,7 +64,7 @@ def test_only_the_lines_asked_for_are_read(spark, files, monkeypatch):
     reader = pointread.Reader(df.schema, {"path": str(folder), "index": index, "key": "doc_id"})
     list(reader.pushFilters([pointread.In(("doc_id",), tuple(wanted))]))
     store = Counting(taken)
-    monkeypatch.setattr(pointread, "_store", lambda path, real=pointread._store: (store, path) if path == str(folder) else real(path))
+    monkeypatch.setattr(pointread, "store_of", lambda path, real=pointread.store_of: (store, path) if path == str(folder) else real(path))
     assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 3
     assert sum(taken) == sum(made[i].length for i in wanted)
 
