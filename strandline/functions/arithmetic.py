@@ -441,6 +441,118 @@ def evaluate(text: str) -> tuple[Number | None, str]:
         return None, "invalid_domain"
 
 
+class Interval:
+    """The values from ``low`` to ``high``, in exact arithmetic."""
+
+    def __init__(self, low: Fraction, high: Fraction):
+        self.low, self.high = low, high
+
+    @property
+    def width(self) -> Fraction:
+        return self.high - self.low
+
+    def meets(self, other: Interval) -> bool:
+        """Whether both have more than an end in common."""
+        return self.low < other.high and other.low < self.high
+
+    def __add__(self, o: Interval) -> Interval:
+        return Interval(self.low + o.low, self.high + o.high)
+
+    def __neg__(self) -> Interval:
+        return Interval(-self.high, -self.low)
+
+    def __sub__(self, o: Interval) -> Interval:
+        return self + -o
+
+    def _corners(self, o: Interval, op) -> Interval:
+        found = [op(x, y) for x in (self.low, self.high) for y in (o.low, o.high)]
+        return Interval(min(found), max(found))
+
+    def __mul__(self, o: Interval) -> Interval:
+        return self._corners(o, lambda x, y: x * y)
+
+    def __truediv__(self, o: Interval) -> Interval:
+        if o.low <= 0 <= o.high:
+            raise Domain("division by what may be zero")
+        return self._corners(o, lambda x, y: x / y)
+
+
+#: Signs of the sums of intervals: numbers, the four operations, percent, whole powers and brackets.
+_INTERVAL = re.compile(r"\s*(?:(?P<number>\d+(?:\.\d+)?|\.\d+)|(?P<op>\\times|\\cdot|\\div|\\?%|\*\*|[-+*/^×÷()]))")
+
+
+def evaluate_interval(text: str, spread: dict[int, Fraction]) -> Interval | None:
+    """A side's values, where the number at each place of ``spread`` stands for all that lie so near it; None for other arithmetic than plain sums."""
+    tokens, at = [], 0
+    text = text.rstrip()
+    while at < len(text):
+        m = _INTERVAL.match(text, at)
+        if m is None:
+            return None
+        start = m.start(m.lastgroup)
+        near = spread.get(start, Fraction(0))
+        tokens.append(Interval(Fraction(m["number"]) - near, Fraction(m["number"]) + near) if m["number"] else {"\\times": "*", "\\cdot": "*", "×": "*", "\\div": "/", "÷": "/", "\\%": "%", "**": "^"}.get(m["op"], m["op"]))
+        at = m.end()
+    # operators wait on a stack until one that binds less comes
+    values: list[Interval] = []
+    waiting: list[str] = []
+    binds = {"+": 1, "-": 1, "*": 2, "/": 2, "~": 3, "^": 4}
+    apply = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / b}
+
+    def settle(least: int) -> None:
+        while waiting and waiting[-1] != "(" and binds[waiting[-1]] >= least:
+            op = waiting.pop()
+            b = values.pop()
+            if op == "~":
+                values.append(-b)
+                continue
+            a = values.pop()
+            if op == "^":
+                if b.width or b.low.denominator != 1 or abs(b.low) > 64:
+                    raise Unsupported("a power of intervals")
+                out = Interval(Fraction(1), Fraction(1))
+                for _ in range(abs(int(b.low))):
+                    out = out * a
+                values.append(out if b.low >= 0 else Interval(Fraction(1), Fraction(1)) / out)
+            else:
+                values.append(apply[op](a, b))
+
+    value_due = True
+    try:
+        for t in tokens:
+            if isinstance(t, Interval):
+                if not value_due:
+                    return None
+                values.append(t)
+                value_due = False
+            elif t == "(":
+                if not value_due:
+                    return None
+                waiting.append(t)
+            elif value_due:
+                if t not in "+-":
+                    return None
+                if t == "-":
+                    waiting.append("~")
+            elif t == ")":
+                settle(0)
+                if not waiting:
+                    return None
+                waiting.pop()
+            elif t == "%":
+                values[-1] = values[-1] / Interval(Fraction(100), Fraction(100))
+            else:
+                settle(binds[t] + (t == "^"))
+                waiting.append(t)
+                value_due = True
+        if value_due or "(" in waiting:
+            return None
+        settle(0)
+    except (Domain, Unsupported):
+        return None
+    return values[0]
+
+
 def equal_numbers(a: Number | None, b: Number | None) -> bool:
     """Exact between rationals; within a relative 1e-9 or an absolute 1e-10 where a double takes part."""
     if a is None or b is None:
