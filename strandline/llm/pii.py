@@ -103,6 +103,10 @@ _NEXT_LABEL = re.compile(r"(?:[ \t](?:dot|DOT|Dot)[ \t]|\.)([A-Za-z0-9-]++)")
 _LABEL = re.compile(r"[A-Za-z0-9-]++")
 #: What may end a spoken address, words that a spoken local part is not, and words that announce an address: fixed values.
 _ENDINGS = frozenset("com org net edu gov mil int info biz name io co ai app dev me tv xyz online site shop uk us ca au nz ie in de fr es it nl be ch at se no dk fi pl cz pt br mx jp cn kr ru eu".split())
+#: Endings that are words of prose, too.
+_WORD_ENDINGS = frozenset("it in me us at be no".split())
+#: Figures, versions and scores, which come before "at" in prose.
+_FIGURE = re.compile(r"[A-Za-z]?[0-9][0-9.,%+-]*[A-Za-z]{0,2}")
 _PROSE = frozenset("a an the this that my our your his her their its it is are was were be been look looked looks looking meet met meets meeting arrive arrived arrives stay stayed stop stopped start started starts open opens closed work works worked working live lives lived living here there home not now only best worst aim aimed good more news available find found visit shop buy read see seen join joined held and or up down us me him them all sold based".split())
 _CUE = re.compile(r"(?i)(?:e-?mail|mailto|mail|contact|write|reach|address|ping|forward|send|cc|message)[a-z]*[ \t:]+(?:(?:to|me|us|him|her|them|is|at|on|via|now|of)[ \t:]+){0,3}$")
 _DIGIT_WORD = "(?:" + "|".join(_WORDS) + ")"
@@ -166,8 +170,10 @@ def _spoken(text: str) -> Iterator[list[Edit]]:
     work is linear. The last label must be a known ending if it is behind a
     spoken dot. More is asked where prose looks alike: after a spoken "at" the
     host has no article and the local part is no common word; where every dot is
-    plain (``more at example.com``) the local part has a digit or an inner sign,
-    or a word such as "mail" comes before.
+    plain (``more at example.com``) the local part has a letter, and a digit or
+    an inner sign, and is no figure such as a version or a price; or a word such
+    as "mail" comes before. One spoken dot before an ending that is an English
+    word (``sat at table dot it``) asks for the like.
     """
     least = 0
     for m in _SAID_AT.finditer(text):
@@ -177,14 +183,14 @@ def _spoken(text: str) -> Iterator[list[Edit]]:
         least = m.end()
         if not first or start == m.start():
             continue
-        end, said, upto = first.end(), 0, 0
+        end, said, upto, ending = first.end(), 0, 0, ""
         dots: list[Edit] = []
         while n := _NEXT_LABEL.match(text, end):
             if spoken := n.start(1) - n.start() > 1:
                 dots.append((n.start(), n.start(1), "."))
             end = n.end()
             if not spoken or n.group(1).lower() in _ENDINGS:
-                said, upto = len(dots), end
+                said, upto, ending = len(dots), end, n.group(1).lower()
         dots = dots[:said]
         local = text[start : m.start()]
         if not upto or (plain_at and not dots):
@@ -194,7 +200,10 @@ def _spoken(text: str) -> Iterator[list[Edit]]:
             if first.group().lower() in ("the", "a", "an", "this", "that", "my", "our") or (len(words) == 1 and local.lower() in _PROSE):
                 continue
             telling = len(words) > 1 or any(not c.isalpha() for c in local.strip("."))
-            if not dots and not telling and not _CUE.search(text, max(0, start - 40), start):
+            cued = bool(_CUE.search(text, max(0, start - 40), start))
+            if not dots and (not any(c.isalpha() for c in local) or not (cued or (telling and not _FIGURE.fullmatch(local)))):
+                continue
+            if len(dots) == 1 and ending in _WORD_ENDINGS and not telling and not cued:
                 continue
         edits = [(k.start(), k.end(), ".") for k in _SAID_DOT.finditer(text, start, m.start())]
         yield [*edits, *([] if plain_at else [(m.start(), m.end(), "@")]), *dots]

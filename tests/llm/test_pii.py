@@ -107,7 +107,7 @@ def test_half_disguised_and_long_spoken_addresses(text, value):
     assert base == [] and [(k, text[s:e]) for s, e, k in spans] == [("email", value)]
 
 
-@pytest.mark.parametrize("text", ["look at page dot com", "meet at noon dot now", "read more at example.com", "see us at example.com", "jane at the dot com", "the price at 5 dot 3", "open at 9.30 today", "it is sold at shop.example.com"])
+@pytest.mark.parametrize("text", ["it costs $19.99 at amazon.com", "version 3.2 at github.com", "open 24/7 at walmart.com", "ranked 5 at espn.com", "won 3-2 at nfl.com", "sat at table dot it was fun", "sits at desk dot in the corner", "release v3.2 at github.com", "in Q3 at example.com", "look at page dot com", "meet at noon dot now", "read more at example.com", "see us at example.com", "jane at the dot com", "the price at 5 dot 3", "open at 9.30 today", "it is sold at shop.example.com"])
 def test_prose_around_at_and_dot(text):
     assert pii.all_spans(text) == ([], [])
 
@@ -124,3 +124,9 @@ def test_a_wider_disguised_span_is_added_to_the_plain_one():
 def test_long_spoken_runs_are_linear():
     for text in ("a at " * 60_000, "a dot " * 60_000 + "at b dot com", "a at b dot " * 40_000, "x@y dot " * 40_000, ".a" * 100_000 + " at b dot com", "b at " + "c." * 100_000):
         pii.all_spans(text)
+
+
+@pytest.mark.parametrize(("text", "want"), [("mail kim at table dot it please", "kim at table dot it"), ("so kim.lee at table dot it is me", "kim.lee at table dot it"), ("so kim at mail dot co dot in", "kim at mail dot co dot in"), ("so 4711 at mail dot com", "4711 at mail dot com"), ("see k2 at mail.example.org", None), ("write k2 at mail.example.org", "k2 at mail.example.org"), ("e-mail 47 at mail.example.org", None)])
+def test_addresses_that_look_like_prose(text, want):
+    found = [text[s:e] for s, e, k in pii.all_spans(text)[1] if k == "email"]
+    assert found == ([want] if want else [])
