@@ -17,20 +17,25 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm import kernels
+from strandline.llm import kernels, shared
 
 #: Bounds of the labelled documents that the classifiers are fitted and calibrated on: their number, and their text in bytes.
 MOST_LABELLED, MOST_LABELLED_BYTES = 6_000, 60_000_000
-#: Text, in bytes, that a lesson may have for each of its documents on average; a longer document waits for a later round.
-LESSON_BYTES = 10_000
+#: Distinct words, those of the least hashes, that a document is fitted by; all of its words are scored.
+MOST_DOC_WORDS = 5_000
+#: Languages, and sources, that the metadata view knows by name, the most frequent ones of what it is fitted on; the rest are one.
+MOST_NAMES = 256
 #: Parts of the labelled documents, each of which is scored by views fitted on the others to calibrate them.
 FOLDS = 4
 ROUNDS = 3
 #: Pseudo-labels that a view gives per class and round for a table of POOL documents, and the least confidence it needs.
 PER_ROUND, POOL, SURE = 200, 4_000, 0.95
+#: The most pseudo-labels of a class, a view and a round: the views are fitted on the driver, on a bounded number of documents.
+MOST_TAUGHT = 50_000
 #: Words of the fitted vocabulary, by how well they tell the classes apart.
 MOST_WORDS = 20_000
 LEAST_DOCS = 3
@@ -49,7 +54,7 @@ _CLASSES[10] = 5
 _CLASSES[[ord(c) for c in ".,;:?'"]] = 6
 _CLASSES[[ord(c) for c in "!#$%&*|@^~_=+<>{}[]/\\"]] = 7
 _CLASSES[128:] = 8
-_N_CONTENT, _N_LENGTH, _N_HASHED = 14, 2, 64
+_N_CONTENT, _N_LENGTH = 14, 2
 
 
 def _mean_square(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,12 +76,9 @@ class Views:
     hashed: np.ndarray
 
 
-def _slot(value: object, salt: int) -> int:
-    """A cell for a category; null is a category of its own."""
-    h = 1469598103934665603 ^ salt
-    for b in repr(value).encode():
-        h = (h ^ b) * 1099511628211 % (1 << 64)
-    return h % (_N_HASHED // 2) + salt * (_N_HASHED // 2)
+def _name(value: object) -> int:
+    """A number for a category; null is a category of its own."""
+    return xxhash.xxh64_intdigest(repr(value).encode()) >> 1
 
 
 def views(text: pa.Array, lang: list, source: list, n_chars: np.ndarray) -> Views:
@@ -114,7 +116,7 @@ def views(text: pa.Array, lang: list, source: list, n_chars: np.ndarray) -> View
     content = np.column_stack(dense).astype(np.float64) if n else np.zeros((0, _N_CONTENT))
     unknown = np.isnan(n_chars)
     length = np.column_stack([np.log1p(np.where(unknown, 0, np.maximum(n_chars, 0))) / 10, unknown]).astype(np.float64) if n else np.zeros((0, _N_LENGTH))
-    hashed = np.array([[_slot(x, 0), _slot(y, 1)] for x, y in zip(lang, source, strict=True)], np.int64).reshape(n, 2)
+    hashed = np.array([[_name(x), _name(y)] for x, y in zip(lang, source, strict=True)], np.int64).reshape(n, 2)
     return Views(h, np.concatenate(([0], np.cumsum(distinct))), content, length, hashed)
 
 
@@ -207,16 +209,24 @@ class MetadataView:
     """Logistic regression over language, source and recorded length."""
 
     edges: np.ndarray = field(default_factory=lambda: np.zeros((0, _N_LENGTH)))
+    names: list[np.ndarray] = field(default_factory=list)  # known languages and sources, in order
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def _matrix(self, v: Views) -> np.ndarray:
-        hot = np.zeros((len(v.length), _N_HASHED))
-        for j in range(2):
-            hot[np.arange(len(hot)), v.hashed[:, j]] = 1
-        return np.column_stack([_binned(v.length, self.edges), hot])
+        cells = [_binned(v.length, self.edges)]
+        for known, own in zip(self.names, v.hashed.T, strict=True):
+            at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+            hot = np.zeros((len(own), len(known) + 1))  # the last cell is for all others
+            hot[np.arange(len(own)), np.where(known[at] == own, at, len(known)) if len(known) else 0] = 1
+            cells.append(hot)
+        return np.column_stack(cells)
 
     def fit(self, v: Views, y: np.ndarray, weight: np.ndarray) -> MetadataView:
         self.edges = np.quantile(v.length, np.linspace(0.05, 0.95, 10), axis=0) if len(y) else np.zeros((10, _N_LENGTH))
+        self.names = []
+        for own in v.hashed.T:
+            found, count = np.unique(own, return_counts=True)
+            self.names.append(np.sort(found[np.lexsort((found, -count))[:MOST_NAMES]]))
         self.weights = _fit_dense(self._matrix(v), y, weight, 1.0)
         return self
 
@@ -324,7 +334,7 @@ def _features(rows: DataFrame) -> tuple[Views, np.ndarray, np.ndarray]:
         for b in batches:
             for s in kernels.slices(b, "text"):
                 v = _batch_views(s)
-                words = [v.words[v.offs[i] : v.offs[i + 1]].tobytes() for i in range(s.num_rows)]
+                words = [v.words[v.offs[i] : min(v.offs[i + 1], v.offs[i] + MOST_DOC_WORDS)].tobytes() for i in range(s.num_rows)]
                 yield pa.RecordBatch.from_arrays([s.column("key"), s.column("label"), s.column("fold"), pa.array(words, pa.binary()), *[pa.array(list(x), pa.list_(t)) for x, t in ((v.content, pa.float64()), (v.length, pa.float64()), (v.hashed, pa.int64()))]], names=["key", "label", "fold", "words", "content", "length", "hashed"])
 
     got = one.mapInArrow(run, _FEATURES).toArrow().sort_by("key")
@@ -334,21 +344,67 @@ def _features(rows: DataFrame) -> tuple[Views, np.ndarray, np.ndarray]:
     return v, np.asarray(got["label"]), np.asarray(got["fold"])
 
 
-Surest = tuple[np.ndarray, np.ndarray, np.ndarray]  # keys, how sure, bytes of text
+def _to_driver(df: DataFrame) -> pa.Table:
+    return df.toArrow()
 
 
-def _most_sure(keys: np.ndarray, sure: np.ndarray, size: np.ndarray, most: int) -> Surest:
-    """The surest distinct keys, ties by key; of what would pass LESSON_BYTES a document in all, only what still fits is taken."""
-    order = np.lexsort((keys, -sure))
-    order = order[np.sort(np.unique(keys[order], return_index=True)[1])]
-    left, take = most * LESSON_BYTES, []
-    for i in order.tolist():
-        if len(take) == most:
+#: The order of what is sure, coarse first: steps of confidence, its exact value, then leading bits of the key. A step has at most some thousand values within one of the step before.
+_STEPS = 8_192
+
+
+def _digits(sure: Column, key: Column) -> list[Column]:
+    lost = F.round((1 - sure) * 1e9).cast("bigint")
+    return [F.floor(lost / (1e9 * (1 - SURE) / _STEPS)).cast("bigint"), lost, F.shiftright(key, 50), F.shiftright(key, 36)]
+
+
+def surest(rows: DataFrame, most: int, lessons: int) -> list[list[int]]:
+    """The keys of the ``most`` surest rows (lesson, key, sure) of each lesson, ties by key.
+
+    Counts by steps of confidence say up to where all are taken, and in which
+    step the rest lie; that is cut finer until it holds no more than ``most``.
+    So the driver gets counts, and at most twice as many rows as it takes.
+    """
+    rows = rows.select("lesson", "key", "sure", *[d.alias(f"d{i}") for i, d in enumerate(_digits(F.col("sure"), F.col("key")))])
+    cuts: dict[int, list[int]] = {i: [] for i in range(lessons)}  # the digits so far of the last one that is taken
+    whole: dict[int, Column] = {}
+    need = dict.fromkeys(cuts, most)
+    for depth in range(4):
+        inside = F.lit(False)
+        for i in need:
+            match = F.col("lesson") == i
+            for d, x in enumerate(cuts[i]):
+                match &= F.col(f"d{d}") == x
+            inside |= match
+        if not need:
             break
-        if size[i] <= left:
-            left -= int(size[i])
-            take.append(i)
-    return keys[take], sure[take], size[take]
+        got = _to_driver(rows.filter(inside).groupBy("lesson", F.col(f"d{depth}").alias("d")).agg(F.count(F.lit(1)).alias("n"))).to_pylist()
+        for i in list(need):
+            counts = sorted((r["d"], r["n"]) for r in got if r["lesson"] == i)
+            above, last, n = 0, None, 0
+            for x, n in counts:
+                last = x
+                if above + n >= need[i]:
+                    break
+                above += n
+            taken = F.col("lesson") == i
+            for d, x in enumerate(cuts[i]):
+                taken &= F.col(f"d{d}") == x
+            under = taken & (F.col(f"d{depth}") < last) if last is not None else F.lit(False)
+            if last is None or n <= most or depth == 3:
+                # the step itself is small enough to be sent whole
+                whole[i] = whole.get(i, F.lit(False)) | (taken & (F.col(f"d{depth}") <= last) if last is not None else F.lit(False))
+                del need[i]
+            else:
+                whole[i] = whole.get(i, F.lit(False)) | under
+                need[i] -= above
+                cuts[i].append(last)
+    taken = F.lit(False)
+    for c in whole.values():
+        taken |= c
+    out: list[list[tuple]] = [[] for _ in range(lessons)]
+    for r in _to_driver(rows.filter(taken).select("lesson", "key", "sure")).to_pylist():
+        out[r["lesson"]].append((-r["sure"], r["key"]))
+    return [[k for _, k in sorted(x)[:most]] for x in out]
 
 
 #: Who is taught by which view, and what.
@@ -358,54 +414,48 @@ _LESSONS = (("metadata", "content", 1.0), ("metadata", "content", 0.0), ("conten
 class Pool:
     """All unlabelled documents of a table; equal documents are one, known by a hash of what the views read.
 
-    Each round scores the whole table where it is. Only the keys that a task is
-    surest of and the features of those chosen reach the driver. Their number
-    per lesson grows with the root of the table's rows, and their text, which
-    bounds the features, by LESSON_BYTES for each.
+    Each round scores the whole table where it is and writes down the confident
+    ones, by hash and score. Counts by confidence find those that are taught, and
+    only these and their features reach the driver. Their number per lesson grows
+    with the root of the table's rows, up to MOST_TAUGHT.
     """
 
     def __init__(self, docs: DataFrame, known: DataFrame):
-        key = F.xxhash64(*_columns(docs)[:3])
+        key = F.xxhash64(*_columns(docs))
         self._rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("key"), *_columns(docs))
         self._known = known.select("doc_id")
-        self.per_round = int(np.ceil(PER_ROUND * max(1.0, (docs.count() / POOL) ** 0.5)))
+        self.per_round = min(MOST_TAUGHT, int(np.ceil(PER_ROUND * max(1.0, (docs.count() / POOL) ** 0.5))))
         self._at: dict[int, int] = {}  # key to row of the views
 
     def teach(self, content: ContentView, metadata: MetadataView, v: Views, given: dict[str, dict[int, float]]) -> Views:
         """Add to ``given`` what each view is surest of among all documents that its pupil does not have yet; returns ``v`` with their rows."""
+        spark = self._rows.sparkSession
         row_key = {r: k for k, r in self._at.items()}
-        had = {pupil: np.array(sorted(row_key[r] for r in rows), np.int64) for pupil, rows in given.items()}
-        most = self.per_round
+        had = [(i, row_key[r]) for i, (pupil, _, _) in enumerate(_LESSONS) for r in given[pupil]]
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for s in kernels.slices(b, "text"):
                     x = _batch_views(s)
                     p, q = (np.round(_sigmoid(view.score(x)), 9) for view in (content, metadata))
-                    size = np.diff(kernels.text_buffer(s.column("text"))[1])
-                    out = pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("key"), pa.array(size), pa.array(p), pa.array(q)], names=["doc_id", "key", "size", "content", "metadata"])
+                    out = pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("key"), pa.array(p), pa.array(q)], names=["doc_id", "key", "content", "metadata"])
                     yield out.filter(pa.array(np.maximum(np.abs(p - 0.5), np.abs(q - 0.5)) >= SURE - 0.5))
             kernels.give_back()
 
-        def surest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)) for _ in _LESSONS]
-            for b in batches:
-                keys, size = np.asarray(b.column("key")), np.asarray(b.column("size"))
-                for i, (pupil, teacher, y) in enumerate(_LESSONS):
-                    p = np.asarray(b.column(teacher))
-                    side = p if y else 1 - p
-                    new = (side >= SURE) & ~np.isin(keys, had[pupil])
-                    held[i] = _most_sure(*(np.concatenate((x, z[new])) for x, z in zip(held[i], (keys, side, size), strict=True)), most)
-            for i, (keys, sure, size) in enumerate(held):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys), pa.array(sure), pa.array(size)], names=["lesson", "key", "sure", "size"])
-
-        slim = self._rows.mapInArrow(scored, "doc_id bigint, key bigint, size bigint, content double, metadata double").join(self._known, "doc_id", "left_anti")
-        got = slim.select("key", "size", "content", "metadata").mapInArrow(surest, "lesson int, key bigint, sure double, size bigint").toArrow()
-        lesson, *rest = (np.asarray(got[c]) for c in ("lesson", "key", "sure", "size"))
-        picked = [_most_sure(*(x[lesson == i] for x in rest), most)[0].tolist() for i in range(len(_LESSONS))]
+        slim = self._rows.mapInArrow(scored, "doc_id bigint, key bigint, content double, metadata double").join(self._known, "doc_id", "left_anti")
+        # rows of one key have one score; copies meet as one row of each task
+        one = slim.groupBy("key").agg(F.min("content").alias("content"), F.min("metadata").alias("metadata"))
+        sides = [F.struct(F.lit(i).alias("lesson"), (F.col(teacher) if y else 1 - F.col(teacher)).alias("sure")) for i, (_, teacher, y) in enumerate(_LESSONS)]
+        rows = one.select("key", F.explode(F.array(*sides)).alias("x")).select("key", "x.*").filter(F.col("sure") >= SURE)
+        if had:
+            taught = spark.createDataFrame(pa.table({"lesson": pa.array([i for i, _ in had], pa.int32()), "key": pa.array([k for _, k in had], pa.int64())}))
+            rows = rows.join(F.broadcast(taught), ["lesson", "key"], "left_anti")
+        rows = shared.materialise(rows, "sure")
+        picked = surest(rows, self.per_round, len(_LESSONS))
+        shared.drop(spark, rows)
         fresh = sorted({k for keys in picked for k in keys} - self._at.keys())
         if fresh:
-            ids = self._rows.sparkSession.createDataFrame(pa.table({"key": pa.array(fresh, pa.int64())}))
+            ids = spark.createDataFrame(pa.table({"key": pa.array(fresh, pa.int64())}))
             none = F.lit(-1).cast("int")
             more, _, _ = _features(self._rows.drop("doc_id").join(F.broadcast(ids), "key").withColumns({"label": none, "fold": none}))
             self._at.update({k: len(v.offs) - 1 + i for i, k in enumerate(fresh)})

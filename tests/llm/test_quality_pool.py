@@ -57,7 +57,6 @@ def fitted(rows, label):
 
 
 def test_one_exchange_equals_a_search_of_all_documents(spark, monkeypatch):
-    monkeypatch.setattr(quality, "LESSON_BYTES", 60)
     docs, labels = corpus(spark)
     docs = docs.filter("doc_id < 700").withColumn("text", F.when(F.col("doc_id") % 50 == 7, F.concat("text", F.repeat(F.lit(" rivers pills"), 20))).otherwise(F.col("text")))
     docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("source"))).unionByName(docs.filter("doc_id > 650"))
@@ -69,17 +68,16 @@ def test_one_exchange_equals_a_search_of_all_documents(spark, monkeypatch):
     after = pool.teach(content, metadata, v, given)
     # every unlabelled document, each distinct one once, by what the other view says
     left = list(dict.fromkeys(r[1:] for r in rows if r[0] >= 80))
-    key = {tuple(r[:3]): r.key for r in docs.select("text", "lang", "source", F.xxhash64("text", "lang", "source").alias("key")).collect()}
+    key = {tuple(r[:3]): r.key for r in docs.select("text", "lang", "source", F.xxhash64("text", "lang", "source", F.col("n_chars").cast("double")).alias("key")).collect()}
     x = views_of([(0, *r) for r in left])
     want = {}
     for pupil, teacher in (("metadata", content), ("content", metadata)):
         p = np.round(quality._sigmoid(teacher.score(x)), 9)
         for y, side in ((1.0, p), (0.0, 1 - p)):
-            room, n = 40 * 60, 0
+            n = 0
             for i in sorted(range(len(left)), key=lambda i: (-side[i], key[left[i][:3]])):
-                size = len(left[i][0].encode())
-                if side[i] >= quality.SURE and n < 40 and size <= room:
-                    room, n = room - size, n + 1
+                if side[i] >= quality.SURE and n < 40:
+                    n += 1
                     want.setdefault(pupil, {})[key[left[i][:3]]] = y
     row_key = {r: k for k, r in pool._at.items()}
     assert {pupil: {row_key[r]: y for r, y in rows.items()} for pupil, rows in given.items()} == {"content": {}, "metadata": {}} | want
@@ -117,3 +115,40 @@ def test_scores_combine_what_unseen_rows_calibrate():
     a, b = content.score(v), metadata.score(v)
     want = [1 / (1 + np.exp(-(model.combine @ (p, q, 1)))) for p, q in zip(a, b, strict=True)]
     assert np.allclose(model.scores(v)[:, 0], want)
+
+
+def test_the_surest_are_found_by_counts(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    n = 20_000
+    # a third of all are equally sure, some keys are near each other, and one lesson has few
+    sure = np.where(rng.random(n) < 0.3, 1.0, np.round(1 - rng.random(n) ** 3 * 0.05, 9))
+    lesson = rng.choice(4, n, p=[0.6, 0.2, 0.199, 0.001])
+    key = np.where(rng.random(n) < 0.5, np.arange(n), rng.integers(-(2**62), 2**62, n))
+    rows = spark.createDataFrame(pa.table({"lesson": pa.array(lesson, pa.int32()), "key": pa.array(key), "sure": pa.array(sure)})).repartition(200)
+    for most in (40, 1_000, 9_000):
+        sent = []
+        monkeypatch.setattr(quality, "_to_driver", lambda df, sent=sent: (lambda t: (sent.append(t.num_rows), t)[1])(df.toArrow()))
+        got = quality.surest(rows, most, 4)
+        for i in range(4):
+            own = np.flatnonzero(lesson == i)
+            assert got[i] == key[own[np.lexsort((key[own], -sure[own]))]][:most].tolist()
+        # counts, and twice what is taken; not what each of 200 tasks is surest of
+        assert sent[-1] <= 4 * 2 * most and max(sent[:-1]) <= 4 * (quality._STEPS + 1)
+
+
+def test_sources_are_known_by_name():
+    rows = [(i, "text", "en", f"site{i % 300}", 5) for i in range(3_000)]
+    label = [int(i % 300 < 150) for i in range(3_000)]
+    _, metadata, v = fitted(rows, label)
+    p = quality._sigmoid(metadata.score(views_of([(0, "text", "en", f"site{k}", 5) for k in range(quality.MOST_NAMES - 60)])))
+    known = np.isin(views_of([(0, "t", "en", f"site{k}", 5) for k in range(len(p))]).hashed[:, 1], metadata.names[1])
+    assert known.sum() > 100 and ((p > 0.5) == (np.arange(len(p)) < 150))[known].all()
+    assert (views_of([(0, "t", "en", None, 5)]).hashed != views_of([(0, "t", "en", "None", 5)]).hashed).any()
+
+
+def test_long_documents_teach_by_some_of_their_words(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MOST_DOC_WORDS", 7)
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}a" for i in "abcdefghijklmnop"), "en", "s", 4)], "doc_id bigint, text string, lang string, source string, n_chars int")
+    rows = docs.select(F.lit(1).cast("bigint").alias("key"), F.lit(1).alias("label"), F.lit(1).alias("fold"), *quality._columns(docs))
+    v, _, _ = quality._features(rows)
+    assert len(v.words) == 7
