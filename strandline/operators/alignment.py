@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline import checks
+from strandline import checks, runtime
 from strandline.functions import hashing
 from strandline.functions import text as tx
 
@@ -17,9 +17,20 @@ def corpus_map(corpus: DataFrame) -> DataFrame:
 
 
 def join_by_digest(rows: DataFrame, corpus: DataFrame, must_match: bool = True) -> DataFrame:
-    """Rows (title, text, ...) with the pid of their paragraph; without one, an error or, if allowed, a null pid."""
-    out = rows.withColumn("digest", hashing.paragraph_digest(F.col("title"), F.col("text"))).join(corpus_map(corpus), "digest", "left").drop("digest")
-    return checks.require(out, "paragraphs", not_in_corpus=F.col("pid").isNull()) if must_match else out
+    """Rows (title, text, ...) with the pid of their paragraph; without one, an error or, if allowed, a null pid.
+
+    Each side is digested once, and what the join gives is written down; one
+    aggregate over it and over the corpus' digests makes both checks.
+    """
+    digests = corpus.select(hashing.paragraph_digest(F.col("title"), F.col("text")).alias("__digest"), "pid").groupBy("__digest").agg(F.min("pid").alias("pid"), F.count(F.lit(1)).alias("__n"))
+    # a full join also has the digests that no row has, so that repeats among them are seen
+    marked = rows.withColumns({"__digest": hashing.paragraph_digest(F.col("title"), F.col("text")), "__real": F.lit(True)}).join(digests, "__digest", "full")
+    out = runtime.materialise(marked, "digested")
+    bad = {"repeated_in_corpus": F.col("__n") > 1}
+    if must_match:
+        bad["not_in_corpus"] = F.col("__real") & F.col("__n").isNull()
+    checks.require(out.select(F.coalesce("__real", F.lit(False)).alias("__real"), "__n"), "paragraphs", **{k: F.coalesce(c, F.lit(False)) for k, c in bad.items()})
+    return out.filter("__real").select(*rows.columns, "pid")
 
 
 def align_by_position(official: DataFrame, prepared: DataFrame, index: str, same: list[str]) -> DataFrame:

@@ -248,9 +248,9 @@ def frequent_failures(spark: SparkSession, sf: str) -> DataFrame:
     return reports.frequent_failures(_equations(spark, sf))
 
 
-@query("SELECT substr(text, 1, 12) AS q, count(*) AS rows, count(DISTINCT lang) AS labels, min(lang) AS least_label, count(DISTINCT lang) > 1 AS conflicting FROM documents GROUP BY 1")
+@query("SELECT md5(text) AS q, count(*) AS rows, count(DISTINCT lang) AS labels, min(lang) AS least_label, count(DISTINCT lang) > 1 AS conflicting FROM documents GROUP BY 1")
 def conflicting_labels(spark: SparkSession, sf: str) -> DataFrame:
-    d = v.table(spark, sf, "documents").select(F.substring("text", 1, 12).alias("q"), "lang")
+    d = v.table(spark, sf, "documents").select(F.md5("text").alias("q"), "lang")
     return prep.label_conflicts(d, "q", "lang")
 
 
@@ -450,10 +450,10 @@ def supervised_loss(spark: SparkSession, sf: str) -> DataFrame:
 # --- preparation
 
 
-@query("""SELECT source AS data_source, 'user' AS role, substr(text, 1, 40) || ' Answer briefly.' AS content, 'rule' AS style, lang AS ground_truth, doc_id AS idx, CASE WHEN doc_id < 100 THEN 'validation' ELSE 'train' END AS split, CASE WHEN doc_id < 100 THEN 'validation_' ELSE 'train_' END || doc_id AS question_id FROM documents""")
+@query("""SELECT source AS data_source, 'user' AS role, text || ' Answer briefly.' AS content, 'rule' AS style, lang AS ground_truth, doc_id AS idx, CASE WHEN doc_id < 100 THEN 'validation' ELSE 'train' END AS split, CASE WHEN doc_id < 100 THEN 'validation_' ELSE 'train_' END || doc_id AS question_id FROM documents""")
 def dataset_rows(spark: SparkSession, sf: str) -> DataFrame:
     d = prep.split_by_index(v.table(spark, sf, "documents"), "doc_id", 100)
-    rows = d.select(prep.dataset_row(F.col("source"), F.substring("text", 1, 40), F.col("lang"), F.col("split"), F.col("doc_id"), suffix=" Answer briefly."))
+    rows = d.select(prep.dataset_row(F.col("source"), F.col("text"), F.col("lang"), F.col("split"), F.col("doc_id"), suffix=" Answer briefly."))
     p = F.col("prompt")[0]
     return rows.select("data_source", p["role"].alias("role"), p["content"].alias("content"), "reward_model.style", "reward_model.ground_truth", F.col("extra_info.index").alias("idx"), "extra_info.split", "extra_info.question_id")
 
@@ -514,11 +514,11 @@ def canonical_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.md5(F.array_join(prep.canonical_sentences(F.split("text", "\n")), "|")).alias("text"), "doc_id")
 
 
-@query("SELECT conv_id, string_agg(role || ':' || substr(text, 1, 10), '|' ORDER BY turn) AS prompt, max_by(CASE WHEN role = 'user' THEN text END, CASE WHEN role = 'user' THEN turn END) AS question, coalesce(string_agg(CASE WHEN role = 'user' THEN text END, chr(10) ORDER BY turn), '') AS user_text FROM conversations GROUP BY 1")
+@query("SELECT conv_id, string_agg(role || ':' || text, '|' ORDER BY turn) AS prompt, max_by(CASE WHEN role = 'user' THEN text END, CASE WHEN role = 'user' THEN turn END) AS question, coalesce(string_agg(CASE WHEN role = 'user' THEN text END, chr(10) ORDER BY turn), '') AS user_text FROM conversations GROUP BY 1")
 def prompt_from_turns(spark: SparkSession, sf: str) -> DataFrame:
     c = v.table(spark, sf, "conversations")
     p = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("prompt"))
-    shown = F.array_join(F.transform("prompt", lambda m: F.concat_ws(":", m["role"], F.substring(m["content"], 1, 10))), "|")
+    shown = F.array_join(F.transform("prompt", lambda m: F.concat_ws(":", m["role"], m["content"])), "|")
     return p.select("conv_id", shown.alias("prompt"), tx.last_user_message(F.col("prompt")).alias("question"), tx.user_text(F.col("prompt")).alias("user_text"))
 
 
@@ -580,10 +580,10 @@ def sentence_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.sentence_records(d).select("evidence_id", back["pid"].alias("pid"), back["sentence"].alias("sentence"), F.md5("text").alias("text"))
 
 
-@query("""WITH src AS (SELECT doc_id AS i, substr(text, 1, 12) AS q, lang AS label FROM documents WHERE doc_id % 2 = 0), rows AS (SELECT doc_id AS row_id, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS i, substr(text, 1, 12) AS q, lang AS label FROM documents)
+@query("""WITH src AS (SELECT doc_id AS i, md5(text) AS q, lang AS label FROM documents WHERE doc_id % 2 = 0), rows AS (SELECT doc_id AS row_id, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS i, md5(text) AS q, lang AS label FROM documents)
 SELECT row_id, coalesce(s.i, t.i) AS source_index FROM rows r LEFT JOIN src s ON r.i = s.i LEFT JOIN (SELECT q, label, min(i) AS i FROM src GROUP BY 1, 2) t ON r.q = t.q AND r.label = t.label""")
 def fallback_key_join(spark: SparkSession, sf: str) -> DataFrame:
-    d = v.table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 12).alias("q"), F.col("lang").alias("label"))
+    d = v.table(spark, sf, "documents").select("doc_id", F.md5("text").alias("q"), F.col("lang").alias("label"))
     src = d.filter("doc_id % 2 = 0").withColumnRenamed("doc_id", "i")
     rows = d.withColumnRenamed("doc_id", "row_id").withColumn("i", F.when(F.col("row_id") % 3 == 0, F.col("row_id")))
     return alignment.with_fallback_key(rows, src, "i", "q", "label").select("row_id", "source_index")
@@ -648,11 +648,11 @@ def premise_grounding(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.grounding(p, d.select(i.alias("artifact_id"), "text"))
 
 
-@query("SELECT trajectory_uid, answer, step_index FROM (SELECT conv_id::VARCHAR AS trajectory_uid, substr(text, 1, 9) AS answer, turn::INT AS step_index, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations c WHERE role = 'assistant' AND turn > (SELECT min(turn) FROM conversations d WHERE d.conv_id = c.conv_id AND d.role = 'user')) WHERE rn = 1")
+@query("SELECT trajectory_uid, answer, step_index FROM (SELECT conv_id::VARCHAR AS trajectory_uid, text AS answer, turn::INT AS step_index, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations c WHERE role = 'assistant' AND turn > (SELECT min(turn) FROM conversations d WHERE d.conv_id = c.conv_id AND d.role = 'user')) WHERE rn = 1")
 def selected_submission(spark: SparkSession, sf: str) -> DataFrame:
     c = v.table(spark, sf, "conversations")
     action = F.when(F.col("role") == "assistant", "finish").when(F.col("role") == "user", "search").otherwise("other")
-    return alignment.submission(c.select(F.col("conv_id").cast("string").alias("trajectory_uid"), F.col("turn").cast("int").alias("step_index"), action.alias("action"), F.substring("text", 1, 9).alias("answer")))
+    return alignment.submission(c.select(F.col("conv_id").cast("string").alias("trajectory_uid"), F.col("turn").cast("int").alias("step_index"), action.alias("action"), F.col("text").alias("answer")))
 
 
 @query("SELECT DISTINCT md5(a.text) AS text FROM documents a JOIN documents b ON a.text = b.text WHERE a.doc_id % 5 > 0 AND b.doc_id % 5 = 0")

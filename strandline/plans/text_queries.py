@@ -315,7 +315,7 @@ def novelty_credit(spark: SparkSession, sf: str) -> DataFrame:
 def inference_check(spark: SparkSession, sf: str) -> DataFrame:
     m = F.col("doc_id") % 6
     op = F.when(m < 2, "select_exact_span").when(m == 2, "extract_bridge_entity").when(m == 3, "normalize_answer").when(m == 4, "compare_equal").otherwise("guess")
-    head = F.substring("text", 1, 9)
+    head = F.col("text")
     conclusion = F.when(m == 1, _s("☃", head)).when(m == 2, F.col("lang")).when(m == 3, "eiffel tower").when(m == 4, "yes").otherwise(head)
     spans = F.when((m == 3) | (m == 4), F.array().cast("array<string>")).when(m == 2, F.array(_s("in ", F.col("lang"), " now"))).otherwise(F.array("text"))
     inputs = F.when(m == 3, F.array(F.lit("The Eiffel Tower!"))).when(m == 4, F.array("lang", "source")).otherwise(F.array().cast("array<string>"))

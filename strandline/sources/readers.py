@@ -110,6 +110,12 @@ def embeddings(spark: SparkSession, path: str, paragraphs: DataFrame | None = No
     return df
 
 
+def search_corpus(spark: SparkSession, corpus_path: str, vectors_path: str) -> tuple[DataFrame, DataFrame]:
+    """(paragraphs, vectors) of a search; a corpus and an index that do not agree row by row are refused."""
+    paragraphs = corpus(spark, corpus_path)
+    return paragraphs, embeddings(spark, vectors_path, paragraphs)
+
+
 def checkpoint_rows(spark: SparkSession, path: str, schema: str, global_step: int) -> DataFrame:
     """Recorded rows of one checkpoint; partition pruning reads only its files where they are partitioned by it."""
     return read_jsonl(spark, path, schema).filter(F.col("global_step") == global_step)
