@@ -30,7 +30,7 @@ CELLS, AT_ONCE = 8_000_000, 16_384
 def _letter_table() -> np.ndarray:
     """Symbol of each code point: 0 none, 1-26 a-z, 27-63 any other letter by a hash of its code point."""
     t = np.zeros(0x110000, np.uint8)
-    others = np.fromiter((cp for cp in range(128, 0x32000) if chr(cp).isalpha()), np.int64)
+    others = np.fromiter((cp for cp in range(128, len(t)) if chr(cp).isalpha()), np.int64)
     t[others] = 27 + (others * 2654435761 % (1 << 32) >> 7) % (SYMBOLS - 27)
     for i in range(26):
         t[97 + i] = t[65 + i] = i + 1

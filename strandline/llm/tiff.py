@@ -365,18 +365,40 @@ def padded(raw: bytes) -> bytes:
     return raw + b"\xff" * (max(1, -(-len(raw) // BLOCK)) * BLOCK - len(raw))
 
 
+class Look:
+    """Features of pages that are added one by one: what is held is a page's size, a histogram and the first page's cells."""
+
+    def __init__(self) -> None:
+        self.pages, self.steps, self.places = 0, 0, 0
+        self.counts = np.zeros(256, np.int64)
+
+    def add(self, page: np.ndarray) -> None:
+        self.counts += np.bincount(page.ravel(), minlength=256)
+        row = page[:, :, 0]
+        right, left = row[:, 1:], row[:, :-1]
+        # bytes have no sign, so the smaller is taken from the greater
+        self.steps += int((np.maximum(right, left) - np.minimum(right, left)).sum(dtype=np.int64))
+        self.places += right.size
+        if not self.pages:
+            h, w = row.shape
+            cells = row[: h // 6 * 6].reshape(6, h // 6, 8, w // 8).sum(axis=(1, 3), dtype=np.int64).ravel()
+            self.hash = "".join("01"[int(c * 48 > cells.sum())] for c in cells)
+        self.pages += 1
+
+    def text(self) -> str:
+        """Pages, mean, standard deviation, mean horizontal step, and an average hash of 6 by 8 cells of the first page."""
+        levels = np.arange(256, dtype=np.int64)
+        n, total, square = (int(x) for x in (self.counts.sum(), (self.counts * levels).sum(), (self.counts * levels * levels).sum()))
+        var = max(0, n * square - total * total) / (n * n)
+        return f"pages={self.pages};mean={total / n:.4f};std={var**0.5:.4f};step={self.steps / self.places:.4f};hash={int(self.hash, 2):012x}"
+
+
 def features(images: list[np.ndarray]) -> str:
-    """Pages, mean, standard deviation, mean horizontal step, and an average hash of 6 by 8 cells of the first page."""
-    flat = np.concatenate([p.ravel() for p in images])
-    steps = np.concatenate([np.abs(np.diff(p[:, :, 0].astype(np.int16), axis=1)).ravel() for p in images])
-    n, total = len(flat), int(flat.sum(dtype=np.int64))
-    square = int((flat.astype(np.int64) ** 2).sum())
-    first = images[0][:, :, 0]
-    h, w = first.shape
-    cells = first[: h // 6 * 6].reshape(6, h // 6, 8, w // 8).sum(axis=(1, 3), dtype=np.int64).ravel()
-    bits = "".join("01"[int(c * 48 > cells.sum())] for c in cells)
-    var = max(0, n * square - total * total) / (n * n)
-    return f"pages={len(images)};mean={total / n:.4f};std={var**0.5:.4f};step={steps.mean():.4f};hash={int(bits, 2):012x}"
+    """The features of pages, as :class:`Look` gives them."""
+    look = Look()
+    for p in images:
+        look.add(p)
+    return look.text()
 
 
 _DIGEST = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
@@ -384,9 +406,13 @@ _DIGEST = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 s
 
 def _round_trip(raw: bytes) -> tuple:
     media = write_payload(padded(raw))
-    back = [p.pixels for p in pages(media)]
-    payload = b"".join(p.tobytes() for p in back)
-    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(back)
+    look, digest, size, tail = Look(), hashlib.sha256(), 0, b""
+    for p in pages(media):
+        part = p.pixels.tobytes()
+        look.add(p.pixels)
+        digest.update(part)
+        size, tail = size + len(part), (tail + part[-32:])[-32:]
+    return len(raw), size, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), look.text()
 
 
 def text_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -115,3 +115,23 @@ def test_sizes_that_ask_for_all_memory_are_errors(spark):
     files = [(i, make("<", t, b"abcd")) for i, t in enumerate((tile, page, strip))] + [(9, b"II+\0" + bytes(20))]
     got = tiff.read_pages(spark.createDataFrame(files, "i bigint, media binary"), "i", "media").collect()
     assert sorted(r.id for r in got) == [0, 1, 2, 9] and all(r.error for r in got)
+
+
+def test_features_of_pages_one_by_one():
+    rng = np.random.default_rng(4)
+    images = [rng.integers(0, 256, (h, 48, 1), dtype=np.uint8) for h in (12, 6, 7)] + [np.full((6, 8, 1), 255, np.uint8)]
+    flat = np.concatenate([p.ravel() for p in images]).astype(float)
+    steps = np.concatenate([np.abs(np.diff(p[:, :, 0].astype(int), axis=1)).ravel() for p in images])
+    got = dict(x.split("=") for x in tiff.features(images).split(";"))
+    assert got["pages"] == "4" and got["mean"] == f"{flat.mean():.4f}" and got["std"] == f"{flat.std():.4f}" and got["step"] == f"{steps.mean():.4f}"
+
+
+def test_a_long_text_is_read_back_page_by_page(documents):
+    import tracemalloc
+
+    raw = b"some long text 123 " * 400_000
+    tracemalloc.start()
+    row = tiff._round_trip(raw)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert row[0] == len(raw) and row[1] == len(tiff.padded(raw)) and peak < 8 * len(raw)
