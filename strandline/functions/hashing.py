@@ -74,9 +74,3 @@ def canonical_json_sha256(texts: pd.Series) -> pd.Series:
 def cache_key(*parts: Column) -> Column:
     """A request's key: equal requests have equal keys, and a null differs from an empty text."""
     return F.sha2(F.to_json(F.array(*[F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("-")) for p in parts])), 256)
-
-
-@F.pandas_udf(T.StringType())
-def image_sha256(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-    """sha256 of RGB samples after a header with the dimensions."""
-    return pd.Series([hashlib.sha256(f"RGB:{w}x{h}:".encode() + bytes(p)).hexdigest() if p is not None else None for p, w, h in zip(pixels, width, height, strict=True)])
