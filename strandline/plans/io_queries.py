@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import schemas
+from strandline.operators import records
 from strandline.plans import views as v
 from strandline.plans.queries import query, r
 from strandline.plans.text_queries import scratch
@@ -104,3 +105,22 @@ def run_with_gates(spark: SparkSession, sf: str) -> DataFrame:
     tree = [readers.tree_digest(readers.file_stats(spark, folder)).first().sha256 for _ in range(2)]
     same = made["inputs"] == again["inputs"] and len(made["inputs"]) > 0 and tree[0] == tree[1]
     return back.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumns({"gate": F.lit(made["rows"]["documents"]).cast("bigint"), "same_digest": F.lit(same)})
+
+
+@query("""WITH u AS (SELECT conv_id, max_by(text, turn) FILTER (role = 'user') AS asked FROM conversations GROUP BY 1)
+SELECT conv_id AS sample_index, CASE WHEN conv_id % 3 = 0 THEN 'k' || conv_id ELSE 'validation:' || conv_id END AS sample_key, CASE WHEN conv_id % 2 = 0 THEN 'd' || conv_id ELSE 'q' || conv_id END AS dataset_question_id, CASE WHEN conv_id % 7 = 0 THEN 'o' || conv_id WHEN conv_id % 2 = 0 THEN 'd' || conv_id ELSE 'q' || conv_id END AS official_qid,
+CASE WHEN conv_id % 5 = 0 THEN 'who is ' || conv_id ELSE trim(coalesce(asked, '')) END AS question, CASE conv_id % 4 WHEN 0 THEN ['ran'] WHEN 1 THEN ['step ' || conv_id] ELSE ['call ' || conv_id, 'again'] END AS search_queries, 'answer ' || conv_id AS answer, 'g' AS ground_truth, (conv_id % 2)::DOUBLE AS score FROM u""")
+def compact_validation_records(spark: SparkSession, sf: str) -> DataFrame:
+    """A conversation as an evaluated trajectory, with each of the ways in which its columns may be given."""
+    i = F.col("conv_id")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    c = v.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("turns"))
+    prompt = F.transform(F.when(i % 5 == 0, F.array().cast("array<struct<turn:int,role:string,content:string>>")).otherwise(F.col("turns")), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    steps = F.array(F.struct(F.lit("policy").alias("source"), F.lit("not this").alias("query")), F.struct(F.lit("model").alias("source"), text("step ", i).alias("query")), F.struct(F.lit("model").alias("source"), F.lit("").alias("query")))
+    rows = c.select(
+        i.alias("sample_index"), F.when(i % 3 == 0, text("k", i)).otherwise("").alias("sample_key"), F.when(i % 2 == 0, text("d", i)).alias("dataset_question_id"), F.when(i % 7 == 0, text("o", i)).alias("official_qid"),
+        F.struct(F.lit(None).cast("string").alias("split"), i.alias("index"), text("q", i).alias("question_id")).alias("extra_info"), prompt.alias("prompt"), text("### System\nbe brief\n\n### User Query\n who is ", i, " \n\n### Assistant\nyes").alias("decoded_input"),
+        F.when(i % 4 == 0, F.array(F.lit("ran"))).alias("executed_queries"), F.when(i % 4 == 1, steps).alias("search_steps"),
+        text("<think>no <answer>wrong</answer></think><function=search><parameter=query> call ", i, "\n</parameter></function><function=search></function><FUNCTION=search><parameter=query>again</parameter></function> <answer> answer ", i, " </answer>").alias("output_text"), F.lit("g").alias("ground_truth"), (i % 2).alias("score"),
+    )
+    return records.validation_records(rows)
