@@ -24,10 +24,25 @@ def normalize_answer(x: Column) -> Column:
     return F.array_join(answer_tokens(x), " ")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _numbered(xs: Column) -> Column:
+    """The tokens, each with the number of its occurrence: equal multisets become equal sets. Work grows as sorting does."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        of_run = lambda at, i, k: F.transform(F.sequence(F.lit(1), F.coalesce(F.get(at, k + 1), F.size(s)) - i), lambda n: F.concat(F.get(s, i), F.lit("\0"), n.cast("string")))
+        return F.when(F.size(s) == 0, s).otherwise(_let(starts, lambda at: F.flatten(F.transform(at, lambda i, k: of_run(at, i, k)))))
+
+    return _let(F.array_sort(xs), runs)
+
+
 def _multiset_overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two arrays."""
-    count = lambda xs, v: F.size(F.filter(xs, lambda y: y == v))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, v: n + F.least(count(a, v), count(b, v)))
+    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
 
 
 def token_f1(pred: Column, gold: Column) -> Column:

@@ -68,19 +68,18 @@ SLOTS = STEPS + """, slots AS (
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers from conversations: the first words of each turn against the first words of the turn before."""
+    """Answers from conversations: each turn's text against the text of the turn before."""
     c = table(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     prev = F.lag("text").over(w)
-    head = lambda x, n: F.array_join(F.slice(F.split(x, " "), 1, n), " ")
     yes = F.pmod("conv_id", F.lit(7)) == 0
-    gold = F.when(yes, "Yes").when(F.pmod("conv_id", F.lit(3)) == 0, F.concat(F.lit("The "), head(F.col("text"), 3), F.lit("!"))).otherwise(head(F.coalesce(prev, F.col("text")), 4))
-    return c.select("conv_id", "turn", "role", head(F.col("text"), 5).alias("answer"), gold.alias("ground_truth"), (F.pmod("turn", F.lit(4)) == 3).cast("int").alias("score"))
+    gold = F.when(yes, "Yes").when(F.pmod("conv_id", F.lit(3)) == 0, F.concat(F.lit("The "), F.col("text"), F.lit("!"))).otherwise(F.coalesce(prev, F.col("text")))
+    return c.select("conv_id", "turn", "role", F.col("text").alias("answer"), gold.alias("ground_truth"), (F.pmod("turn", F.lit(4)) == 3).cast("int").alias("score"))
 
 
 ANSWERS = """answers AS (
-  SELECT conv_id, turn, role, array_to_string(string_split(text, ' ')[1:5], ' ') AS answer,
-    CASE WHEN conv_id % 7 = 0 THEN 'Yes' WHEN conv_id % 3 = 0 THEN 'The ' || array_to_string(string_split(text, ' ')[1:3], ' ') || '!' ELSE array_to_string(string_split(coalesce(prev, text), ' ')[1:4], ' ') END AS ground_truth,
+  SELECT conv_id, turn, role, text AS answer,
+    CASE WHEN conv_id % 7 = 0 THEN 'Yes' WHEN conv_id % 3 = 0 THEN 'The ' || text || '!' ELSE coalesce(prev, text) END AS ground_truth,
     CASE WHEN turn % 4 = 3 THEN 1 ELSE 0 END AS score
   FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)
 )"""
