@@ -25,8 +25,8 @@ from strandline.llm import kernels, shared
 
 #: Bounds of the labelled documents that the classifiers are fitted and calibrated on: their number, and their text in bytes.
 MOST_LABELLED, MOST_LABELLED_BYTES = 6_000, 60_000_000
-#: Distinct words, those of the least hashes, that a document is fitted by; all of its words are scored.
-MOST_DOC_WORDS = 5_000
+#: Distinct words, those of the least hashes, that an unlabelled document teaches by; all of its words are scored.
+MOST_DOC_WORDS = 1_000
 #: Languages, and sources, that the metadata view knows by name, the most frequent ones of what it is fitted on; the rest are one.
 MOST_NAMES = 256
 #: Parts of the labelled documents, each of which is scored by views fitted on the others to calibrate them.
@@ -334,7 +334,8 @@ def _features(rows: DataFrame) -> tuple[Views, np.ndarray, np.ndarray]:
         for b in batches:
             for s in kernels.slices(b, "text"):
                 v = _batch_views(s)
-                words = [v.words[v.offs[i] : min(v.offs[i + 1], v.offs[i] + MOST_DOC_WORDS)].tobytes() for i in range(s.num_rows)]
+                most = np.where(np.asarray(s.column("label")) < 0, MOST_DOC_WORDS, len(v.words))
+                words = [v.words[a : min(e, a + m)].tobytes() for a, e, m in zip(v.offs[:-1], v.offs[1:], most, strict=True)]
                 yield pa.RecordBatch.from_arrays([s.column("key"), s.column("label"), s.column("fold"), pa.array(words, pa.binary()), *[pa.array(list(x), pa.list_(t)) for x, t in ((v.content, pa.float64()), (v.length, pa.float64()), (v.hashed, pa.int64()))]], names=["key", "label", "fold", "words", "content", "length", "hashed"])
 
     got = one.mapInArrow(run, _FEATURES).toArrow().sort_by("key")

@@ -149,6 +149,7 @@ def test_sources_are_known_by_name():
 def test_long_documents_teach_by_some_of_their_words(spark, monkeypatch):
     monkeypatch.setattr(quality, "MOST_DOC_WORDS", 7)
     docs = spark.createDataFrame([(1, " ".join(f"w{i}a" for i in "abcdefghijklmnop"), "en", "s", 4)], "doc_id bigint, text string, lang string, source string, n_chars int")
-    rows = docs.select(F.lit(1).cast("bigint").alias("key"), F.lit(1).alias("label"), F.lit(1).alias("fold"), *quality._columns(docs))
-    v, _, _ = quality._features(rows)
-    assert len(v.words) == 7
+    for label, words in ((-1, 7), (1, 16)):
+        rows = docs.select(F.lit(1).cast("bigint").alias("key"), F.lit(label).alias("label"), F.lit(1).alias("fold"), *quality._columns(docs))
+        v, _, _ = quality._features(rows)
+        assert len(v.words) == words
