@@ -11,6 +11,17 @@ from pyspark.sql import types as T
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # fixed value: ASCII punctuation
 EVIDENCE_PREFIX = "hotpotqa-official-sentence-v1"  # fixed value: the id format of stored evidence
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"  # fixed value: Unicode's space separators
+
+
+def trimmed(x: Column) -> Column:
+    """A text without the spaces of any kind at its ends, as SQL's trim."""
+    return F.trim(x, F.lit(SPACES))
+
+
+def all_trimmed(xs: Column) -> Column:
+    """Each text of a list trimmed. ``F.transform(xs, F.trim)`` would give each text's index as the characters to take off."""
+    return F.transform(xs, lambda s: trimmed(s))
 
 
 def answer_tokens(x: Column) -> Column:
@@ -86,7 +97,7 @@ def best_over_references(pred: Column, references: Column, score) -> Column:
 def candidate_references(truth: Column, aliases: Column) -> Column:
     """The truth and its aliases without blanks or repeats, in order of first mention."""
     every = F.concat(F.array(truth), F.coalesce(aliases, F.array().cast("array<string>")))
-    return F.array_distinct(F.filter(F.transform(every, F.trim), lambda x: x.isNotNull() & (x != "")))
+    return F.array_distinct(F.filter(all_trimmed(every), lambda x: x.isNotNull() & (x != "")))
 
 
 def tagged_answer(text: Column) -> Column:
@@ -133,7 +144,7 @@ def user_text(prompt: Column) -> Column:
 def search_queries(text: Column) -> Column:
     """Queries of <search> elements, trimmed, without blanks."""
     found = F.regexp_extract_all(text, F.lit(r"(?is)<search>(.*?)</search>"), F.lit(1))
-    return F.filter(F.transform(found, F.trim), lambda q: q != "")
+    return F.filter(all_trimmed(found), lambda q: q != "")
 
 
 def prompt_group_key(source: Column, split: Column, **identity: Column) -> Column:

@@ -22,7 +22,7 @@ def needed(value: Column, what: str) -> Column:
 def clean_answers(answers: Column) -> Column:
     """Trimmed answers without blanks; null gives an empty array."""
     some = F.coalesce(answers, F.array().cast("array<string>"))
-    return F.filter(F.transform(some, F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(tx.all_trimmed(some), lambda x: x.isNotNull() & (x != ""))
 
 
 def user_prompt(content: Column) -> Column:
@@ -43,7 +43,7 @@ def dataset_row(source: Column, question: Column, truth: Column, split: Column,
 def paragraphs(df: DataFrame, key: str, titles: str = "titles", sentences: str = "sentences") -> DataFrame:
     """(key, pos, title, text) from parallel arrays of titles and sentence lists; blank texts go."""
     flat = df.select(key, F.posexplode(F.arrays_zip(F.col(titles).alias("t"), F.col(sentences).alias("s"))).alias("pos", "x"))
-    text = F.trim(F.array_join(F.transform(F.filter("x.s", lambda s: F.trim(s) != ""), F.trim), " "))
+    text = F.array_join(F.filter(tx.all_trimmed(F.col("x.s")), lambda s: s != ""), " ")
     return flat.select(key, "pos", F.trim("x.t").alias("title"), text.alias("text")).filter("text <> ''")
 
 

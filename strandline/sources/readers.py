@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline import checks, schemas
+from strandline.functions import text as tx
 
 
 def read_rows(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool | None = None) -> DataFrame:
@@ -93,7 +94,7 @@ def corpus_texts(paragraphs: DataFrame) -> DataFrame:
 
 def joined_paragraphs(rows: DataFrame, title: str = "title", sentences: str = "sentences") -> DataFrame:
     """(title, text) of paragraphs given as sentence lists; blank ones go."""
-    kept = F.filter(F.transform(F.col(sentences), F.trim), lambda s: s != "")
+    kept = F.filter(tx.all_trimmed(F.col(sentences)), lambda s: s != "")
     return rows.select(F.trim(title).alias("title"), F.array_join(kept, " ").alias("text")).filter("text <> ''")
 
 

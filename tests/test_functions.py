@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import answers, arithmetic, certificates, equations, toolcalls
 from strandline.functions import text as tx
+from strandline.operators import prep
 from strandline.sources import readers
 
 
@@ -36,6 +37,15 @@ def test_final_answer(text, answer):
     assert (got and got["answer"]) == answer
 
 
+def test_texts_of_a_list_lose_their_spaces_and_nothing_else(spark):
+    texts = ["0 a", " 1 b1 ", "\u00a02\u3000", "  ", "4"]
+    rows = spark.createDataFrame([("k", ["t"], [texts], texts, "<search> 0x </search><search>1y1</search>")], "key string, titles array<string>, sentences array<array<string>>, flat array<string>, said string")
+    assert [r.text for r in prep.paragraphs(rows, "key").collect()] == ["0 a 1 b1 2 4"]
+    got = readers.joined_paragraphs(rows.withColumn("title", F.lit("t")).drop("sentences"), sentences="flat").first()
+    lists = rows.select(prep.clean_answers(F.col("flat")).alias("a"), tx.candidate_references(F.lit("0"), F.col("flat")).alias("r"), tx.search_queries(F.col("said")).alias("q")).first()
+    assert got.text == "0 a 1 b1 2 4" and lists.a == ["0 a", "1 b1", "2", "4"] and lists.r == ["0", "0 a", "1 b1", "2", "4"] and lists.q == ["0x", "1y1"]
+
+
 def test_integer_answers():
     assert [answers.whole_below_thousand(x) for x in ("12.0", r"\text{7}", "1000", "-1", "1.5", None)] == [12, 7, None, None, None, None]
     with pytest.raises(ValueError):
