@@ -25,6 +25,13 @@ def test_quality_reasons(spark):
     assert got == {i: why for i, (_, _, why) in enumerate(rows)}
 
 
+def test_paragraphs_that_differ_in_a_first_digit_both_stay(spark):
+    rows = [(1, ["t"], [["0 a", "b"]]), (2, ["t"], [["00 a", "b"]]), (3, ["t"], [[" 0 a", "b "]]), (4, ["t"], [["a", "b"]])]
+    p = prep.paragraphs(spark.createDataFrame(rows, "pid int, titles array<string>, sentences array<array<string>>"), "pid")
+    kept = prep.first_of(p, ["title", "text"], ["pid"]).collect()
+    assert {(r.pid, r.text) for r in kept} == {(1, "0 a b"), (2, "00 a b"), (4, "a b")}
+
+
 def test_label_conflicts(spark):
     df = spark.createDataFrame([("a", "1/2"), ("a", "0.5"), ("b", "1"), ("b", "2"), ("b", None), (None, "x"), (None, "y"), ("c", None)], "q string, t string")
     got = {r.q: (r.rows, r.labels, r.least_label, r.conflicting) for r in prep.label_conflicts(df, "q", "t").collect()}
