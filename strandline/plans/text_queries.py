@@ -403,6 +403,10 @@ def named_estimators_in_sql(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Rows of one file of the preflight's documents.
+FILE_ROWS = 20_000
+
+
 def _png(width: int, height: int, grey: bytes) -> bytes:
     """A PNG file of grey samples."""
 
@@ -434,13 +438,17 @@ def image_pixels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT lang, false AS first, true AS second, lang = (SELECT min(lang) FROM documents) AS changed FROM documents GROUP BY 1")
 def preflight_cache(spark: SparkSession, sf: str) -> DataFrame:
-    """Files of documents, one a language, are digested in the first run, in the second not, and in the third only the one that was written anew."""
+    """Files of documents by language are digested in the first run, in the second not, and in the third only those of the language that was written anew."""
     base = scratch(spark, "preflight")
     docs = v.table(spark, sf, "documents").withColumn("language", F.col("lang"))
-    docs.repartition("lang").write.partitionBy("lang").json(f"{base}/in")
+    # a language is one file as long as it is small; a file has FILE_ROWS rows at most, and no task has all of a language
+    lots = max(1, -(-docs.count() // FILE_ROWS))
+    docs.repartition("lang", F.pmod(F.xxhash64("doc_id"), F.lit(lots))).write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("lang").json(f"{base}/in")
     runs = [preflight.preflight(spark, f"{base}/in", f"{base}/manifests") for _ in range(2)]
     least = docs.agg(F.min("lang")).first()[0]
-    docs.filter(F.col("lang") == least).drop("lang", "n_chars").coalesce(1).write.mode("overwrite").json(f"{base}/in/lang={least}")
+    docs.filter(F.col("lang") == least).drop("lang", "n_chars").write.option("maxRecordsPerFile", FILE_ROWS).mode("overwrite").json(f"{base}/in/lang={least}")
     runs.append(preflight.preflight(spark, f"{base}/in", f"{base}/manifests"))
-    of = [x.select(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang"), F.col("reused").alias(k)) for x, k in zip(runs, ("first", "second", "third"), strict=True)]
+    # null where a language's files disagree
+    same = F.when(F.min("reused") == F.max("reused"), F.min("reused"))
+    of = [x.groupBy(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")).agg(same.alias(k)) for x, k in zip(runs, ("first", "second", "third"), strict=True)]
     return of[0].join(of[1], "lang").join(of[2], "lang").select("lang", "first", "second", (~F.col("third")).alias("changed"))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from strandline import checks, schemas
 from strandline.functions import text as tx
+from strandline.sources import preflight
 
 
 def read_rows(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool | None = None) -> DataFrame:
@@ -164,8 +165,8 @@ def png_side(content: str, at: int) -> Column:
 
 def file_stats(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of files: what a manifest pins."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    files = preflight.digests(spark.read.format("binaryFile").load(path))
+    return files.select(F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B"))).alias("name"), "length", "sha256")
 
 
 def tree_digest(stats: DataFrame) -> DataFrame:

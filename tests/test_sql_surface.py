@@ -11,7 +11,7 @@ from strandline import runtime
 from strandline.functions import variants
 from strandline.plans import sql_functions, table_functions
 from strandline.plans.text_queries import _png
-from strandline.sources import images, preflight
+from strandline.sources import images, preflight, readers
 
 
 def verified(spark, rows, verifier="given_scores", schema="trajectory_uid string, step_index int, score double, audit string, process_reward int"):
@@ -102,6 +102,27 @@ def test_pixels_of_images(spark, tmp_path):
         assert got[name].width is None and got[name].pixels is None and got[name].sha256 is None
 
 
+def test_long_files_are_digested_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(preflight, "WHOLE", 50_000)
+    monkeypatch.setattr(preflight, "PIECE", 7_000)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    want = {}
+    for name, n in (("a", 1), ("b", 50_000), ("c", 50_001), ("d+e", 140_000)):
+        (folder / name).write_bytes(bytes(i % 251 for i in range(n)))
+        want[name] = (n, hashlib.sha256((folder / name).read_bytes()).hexdigest())
+    # the scan refuses to hold what is longer
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(limit, 60_000)
+    try:
+        made = preflight.preflight(spark, f"file://{folder}", f"file://{tmp_path}/manifests").collect()
+        stats = readers.file_stats(spark, f"file://{folder}").collect()
+    finally:
+        spark.conf.unset(limit)
+    assert sorted((r.size, r.sha256) for r in made) == sorted(want.values())
+    assert {r.name: (r.length, r.sha256) for r in stats} == want
+
+
 def test_only_what_changed_is_digested(spark, tmp_path):
     from tests.test_io import read_bytes
 
