@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import text as tx
 from strandline.functions.certificates import OUTPUT_FIELDS
+from strandline.operators import ordered
 from strandline.operators.credit import weighted_slots
 
 
@@ -93,12 +96,11 @@ def novelty_credits(steps: DataFrame, horizon: int) -> DataFrame:
     steps were credited, so a trajectory's steps are read one after another.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        asked: set[str] = set()
-        concluded: set[str] = set()
-        used: set[str] = set()
-        rows = []
-        for k, s in enumerate(pdf.sort_values("step_index").itertuples(), 1):
+    def read(pdf: pd.DataFrame, starts: set[int]) -> Iterator[tuple]:
+        for i, s in enumerate(pdf.itertuples()):
+            if i in starts:
+                k, asked, concluded, used = 0, set(), set(), set()
+            k += 1
             query, conclusion, sources = s.query_key or "", s.conclusion_key or "", set(s.sources if s.sources is not None else ())
             search = s.action == "search"
             why = [w for bad, w in ((query and query in asked, "query_repeated"), (conclusion and conclusion in concluded, "conclusion_repeated"), (sources & used, "source_repeated")) if search and bad]
@@ -108,11 +110,14 @@ def novelty_credits(steps: DataFrame, horizon: int) -> DataFrame:
             if search and credit > 0:
                 concluded |= {conclusion} - {""}
                 used |= sources
-            rows.append((s.trajectory_uid, s.step_index, not why, float(credit), why + (["reward_horizon_exceeded"] if k > horizon else [])))
-        return pd.DataFrame(rows, columns=["trajectory_uid", "step_index", "novel", "credit", "reasons"])
+            yield s.trajectory_uid, s.step_index, not why, float(credit), why + (["reward_horizon_exceeded"] if k > horizon else [])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, at in ordered.whole_groups(batches, "trajectory_uid"):
+            yield pd.DataFrame(read(pdf, set(at)), columns=["trajectory_uid", "step_index", "novel", "credit", "reasons"])
 
     keyed = steps.withColumns({"query_key": tx.normalize_answer(F.col("query")), "conclusion_key": tx.normalize_answer(F.col("conclusion"))}).drop("query", "conclusion")
-    return keyed.groupBy("trajectory_uid").applyInPandas(run, _NOVEL)
+    return ordered.in_order(keyed, "trajectory_uid", "step_index").mapInPandas(run, _NOVEL)
 
 
 def certificate_summary(audits: DataFrame) -> DataFrame:

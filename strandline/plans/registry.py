@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 from typing import Generic, TypeVar
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import answers, arithmetic, equations, toolcalls
-from strandline.operators import advantage, losses
+from strandline.operators import advantage, losses, ordered
 
 P = TypeVar("P")
 
@@ -103,13 +105,16 @@ def verify(steps: DataFrame, name: str) -> DataFrame:
     """
     part = VERIFIERS.get(name)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = part(pdf.sort_values("step_index"))
-        if not out["score"].between(0, 1).all() or out["score"].sum() > 1 + 1e-8 or (out["step_index"] < 0).any():
-            raise ValueError(f"{name} gave credits out of bounds")
-        return pd.DataFrame({"trajectory_uid": pdf["trajectory_uid"].iloc[0], "step_index": out["step_index"], "score": out["score"]})
-
-    return steps.groupBy("trajectory_uid").applyInPandas(run, "trajectory_uid string, step_index int, score double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, at in ordered.whole_groups(batches, "trajectory_uid"):
+            made = [part(pdf.iloc[a:b]) for a, b in pairwise(at)]
+            out = pd.concat(made, ignore_index=True)
+            of = np.repeat(np.arange(len(made)), [len(m) for m in made])
+            if not out["score"].between(0, 1).all() or (np.bincount(of, out["score"].astype("float64")) > 1 + 1e-8).any() or (out["step_index"] < 0).any():
+                raise ValueError(f"{name} gave credits out of bounds")
+            yield pd.DataFrame({"trajectory_uid": pdf["trajectory_uid"].to_numpy()[np.array(at)[of]], "step_index": out["step_index"], "score": out["score"]})
+
+    return ordered.in_order(steps, "trajectory_uid", "step_index").mapInPandas(run, "trajectory_uid string, step_index int, score double")
 
 
 @VERIFIERS.register("novel_queries")
