@@ -9,6 +9,7 @@ where it stopped, and a step that arrives twice counts once.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -45,6 +46,10 @@ class Follower(StatefulProcessor):
     a search, or is the last one allowed. Steps after that are ``closed``.
     Steps of a trajectory that stays silent for ``idle_ms`` and that wait for
     one that never came are given out as ``lost``.
+
+    A key's state is one value, read once and written once a micro-batch: each
+    question to the state goes over a socket, which costs more than a step. The
+    ledger and the actions have at most the steps that a trajectory may have.
     """
 
     def __init__(self, limits: Limits, idle_ms: int | None = None):
@@ -52,29 +57,33 @@ class Follower(StatefulProcessor):
 
     def init(self, handle) -> None:
         self._handle = handle
-        # waiting: how many steps are kept in the map, which is read only if there are any
-        self._progress = handle.getValueState("progress", "next int, used bigint, searches int, known int, covered int, waiting int, stop string")
-        self._waiting = handle.getMapState("waiting", "step_index int", "prompt_len int, response_len int, kind string, artifact string, is_gold boolean, cites string")
-        self._ledger = handle.getMapState("ledger", "artifact string", "step_index int, gold boolean")
-        self._actions = handle.getListState("actions", "step_index int, kind string, artifact string")
+        # waiting, ledger, actions: lists as JSON, of steps, of (artifact, step_index, gold) and of (step_index, kind, artifact)
+        self._progress = handle.getValueState("progress", "next int, used bigint, searches int, covered int, stop string, waiting string, ledger string, actions string")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def _held(self) -> tuple:
         held = self._progress.get()
-        at, used, searches, known, covered, waiting, stop = held if held else (0, 0, 0, 0, 0, 0, None)
+        if not held:
+            return 0, 0, 0, 0, None, [], [], []
+        return *held[:5], *(json.loads(x) for x in held[5:])
+
+    def _keep(self, *state) -> None:
+        self._progress.update((*state[:5], *(json.dumps(x) for x in state[5:])))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        at, used, searches, covered, stop, waiting, found, actions = self._held()
+        before = at, len(waiting)
+        ledger = {artifact: (i, gold) for artifact, i, gold in found}
+        known = len(ledger)
         # what is here, by place; of a step that is repeated the first row counts
         here: dict[int, tuple] = {}
         for r in rows:
             if r.step_index >= at:
                 here.setdefault(r.step_index, (r.prompt_len, r.response_len, r.kind, r.artifact, r.is_gold, r.cites))
-        if waiting:
-            for (i,), step in list(self._waiting.iterator()):
-                here[i] = tuple(step)
-        before, done, actions, out = set(), [], [], []
-        if waiting:
-            before = {i for (i,) in self._waiting.keys()}
+        for i, *step in waiting:
+            here[i] = tuple(step)
+        out = []
         while at in here:
             prompt, response, kind, artifact, gold, cites = here.pop(at)
-            done.append(at)
             if stop:
                 out.append(_Followed(*key, at, used, 0, "closed", known, False, False, covered))
                 at += 1
@@ -83,7 +92,7 @@ class Follower(StatefulProcessor):
             left, room = lim.total - used, lim.context - prompt
             halt = "token_budget" if left <= 0 else "prompt_limit" if prompt > lim.prompt else "context_limit" if room <= 0 else None
             cap = 0 if left <= 0 or room <= 0 else min(left, room, lim.per_step)
-            cite = cites is not None and self._ledger.containsKey((cites,))
+            cite = cites is not None and cites in ledger
             seen, new = known, False
             spent = used
             if halt is None:
@@ -93,8 +102,8 @@ class Follower(StatefulProcessor):
                     halt = "finish"
                 elif kind == "search":
                     searches += 1
-                    if artifact is not None and not self._ledger.containsKey((artifact,)):
-                        self._ledger.updateValue((artifact,), (at, bool(gold)))
+                    if artifact is not None and artifact not in ledger:
+                        ledger[artifact] = at, bool(gold)
                         known += 1
                         new = bool(gold)
                         covered += new
@@ -103,18 +112,10 @@ class Follower(StatefulProcessor):
             out.append(_Followed(*key, at, used, cap, halt, seen, cite, new, covered))
             used, stop = spent, halt
             at += 1
-        if actions:
-            self._actions.appendList(actions)
-        for i in done:
-            if i in before:
-                self._waiting.removeKey((i,))
-        for i, step in here.items():
-            if i not in before:
-                self._waiting.updateValue((i,), step)
-        if stop and not here:  # nothing is asked of them any more
-            self._ledger.clear()
-            self._actions.clear()
-        self._progress.update((at, used, searches, known, covered, len(here), stop))
+        if stop:  # only how many were known is asked any more
+            actions = []
+        if (at, len(here)) != before:  # else all that came was there already
+            self._keep(at, used, searches, covered, stop, [(i, *step) for i, step in here.items()], [(a, *x) for a, x in ledger.items()], actions)
         if self._idle is not None:
             for t in list(self._handle.listTimers()):
                 self._handle.deleteTimer(t)
@@ -123,13 +124,11 @@ class Follower(StatefulProcessor):
         return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held = self._progress.get()
-        at, used, searches, known, covered, _, stop = held if held else (0, 0, 0, 0, 0, 0, None)
-        steps = sorted(i for (i,) in self._waiting.keys())
-        self._waiting.clear()
+        at, used, searches, covered, stop, waiting, ledger, actions = self._held()
+        steps = sorted(i for i, *_ in waiting)
         after = steps[-1] + 1 if steps else at
-        self._progress.update((after, used, searches, known, covered, 0, stop or "lost"))
-        return iter([_Followed(*key, i, used, 0, "closed" if stop else "lost", known, False, False, covered) for i in steps])
+        self._keep(after, used, searches, covered, stop or "lost", [], ledger, actions)
+        return iter([_Followed(*key, i, used, 0, "closed" if stop else "lost", len(ledger), False, False, covered) for i in steps])
 
 
 @contextmanager

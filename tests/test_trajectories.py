@@ -64,6 +64,39 @@ def test_any_order_and_restarts_give_the_recursion(spark, folder):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("HDFSBackedStateStoreProvider") or "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
 
 
+class Counted:
+    """A handle of one key whose state counts how often it is asked and told."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def test_the_state_is_read_and_written_once_a_batch():
+    rng, handle, follower = random.Random(7), Counted(), t.Follower(LIMITS)
+    follower.init(handle)
+    steps = [dict(trajectory_uid="x", step_index=i, prompt_len=1, response_len=1, kind="search", artifact=rng.choice("abc"), is_gold=True, cites="a") for i in range(7)]
+    rows = lambda some: iter([t.Row(**s) for s in some])
+    got, asked = [], []
+    for some in (steps[3:], steps[3:5], steps[:2] + steps[:1], steps[:1], steps[2:3], steps):
+        handle.calls = 0
+        got += [tuple(r)[1:] for r in follower.handleInputRows(("x",), rows(some), None)]
+        asked.append(handle.calls)
+    assert got == plainly(steps)
+    # what was there already changes nothing
+    assert asked == [2, 1, 2, 1, 2, 1]
+
+
 def test_rows_without_a_place_are_left_out_and_nulls_count_as_nothing(spark):
     rows = [(None, 0, 1, 1, "search", "a", True, None), ("x", None, 1, 1, "search", "a", True, None), ("x", -1, 1, 1, None, None, None, None), ("x", 0, None, -5, None, None, None, None)]
     got = t.known_steps(spark.createDataFrame(rows, t.STEP)).collect()
