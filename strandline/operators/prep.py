@@ -40,11 +40,11 @@ def dataset_row(source: Column, question: Column, truth: Column, split: Column,
     ]
 
 
-def paragraphs(df: DataFrame, key: str, titles: str = "titles", sentences: str = "sentences") -> DataFrame:
-    """(key, pos, title, text) from parallel arrays of titles and sentence lists; blank texts go."""
+def paragraphs(df: DataFrame, key: str, titles: str = "titles", sentences: str = "sentences", trim_titles: bool = True) -> DataFrame:
+    """(key, pos, title, text) from parallel arrays of titles and sentence lists; blank texts go, and titles lose their outer spaces unless they are to stay as given."""
     flat = df.select(key, F.posexplode(F.arrays_zip(F.col(titles).alias("t"), F.col(sentences).alias("s"))).alias("pos", "x"))
     text = F.array_join(F.filter(tx.all_trimmed(F.col("x.s")), lambda s: s != ""), " ")
-    return flat.select(key, "pos", F.trim("x.t").alias("title"), text.alias("text")).filter("text <> ''")
+    return flat.select(key, "pos", (F.trim("x.t") if trim_titles else F.col("x.t")).alias("title"), text.alias("text")).filter("text <> ''")
 
 
 def canonical_sentences(sentences: Column) -> Column:
@@ -54,8 +54,8 @@ def canonical_sentences(sentences: Column) -> Column:
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in a total order: which row stays does not depend on how the table is dealt."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    """The first row of each key in a total order, nulls last: which row stays does not depend on how the table is dealt."""
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
     return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 

@@ -48,5 +48,18 @@ def test_query(spark, duck, name):
     assert table(df.columns, rows) == table(want.columns, want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["context_paragraphs", "corpus_exact_dedup", "digest_join"])
+def test_paragraphs_of_odd_rows(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(1, "a\nb", " s"), (2, "a\nb", "s"), (3, " a \n\u3000b\u00a0", "s "), (4, "a\nb", "s"), (5, "a\nb", None), (6, "a\nb", None), (None, "a\nb", "s"), (None, "z", "s"), (7, "x", ""), (8, "x", " "), (9, "x", None)]
+    rows += [(10, "", "s"), (11, None, "s"), (12, " \n ", "s"), (13, "0 a\r\nb", "s"), (14, "00 a\nb", "s"), (15, "\ta\nb\u0085", "s"), (2, "other", "s")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = entry.queries()[name](spark, str(tmp_path))
+    with duckdb.connect() as c:
+        c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = c.sql(entry.oracle_sql()[name])
+        assert table(df.columns, [tuple(r) for r in df.collect()]) == table(want.columns, want.fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["trajectory_uid", "step_index", "advantage"]
