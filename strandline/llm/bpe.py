@@ -154,7 +154,7 @@ def _spans(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[str, Codec] = kernels.kept()
 
 
 def codec(path: str) -> Codec:

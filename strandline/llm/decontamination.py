@@ -12,7 +12,6 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,7 +118,7 @@ def _block(items: DataFrame, k: int, n: int) -> list[tuple[str, str]]:
     return sorted((r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect())
 
 
-_TABLES: dict[tuple[str, int], list[Matcher]] = {}
+_TABLES: dict[tuple[str, int], list[Matcher]] = kernels.kept()
 
 
 def _tables(name: str, block: list[tuple[str, str]], window: int) -> list[Matcher]:
@@ -221,14 +220,17 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, most: float = 0.0, text
 def _share_udf(block: list[tuple[str, str]], window: int):
     name = _named(block)
 
-    @F.pandas_udf("double")
-    def share(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def share(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tables = _tables(name, block, window)
-        out = []
-        for t in texts:
-            n, ranges, _ = scan(t, tables)
-            out.append(sum(e - s for s, e in ranges) / n if n else 0.0)
-        return pd.Series(out, dtype="float64")
+        for texts in batches:
+            out = []
+            for at in range(0, len(texts), 500):
+                for t in texts.slice(at, 500).to_pylist():
+                    n, ranges, _ = scan(t, tables)
+                    out.append(sum(e - s for s, e in ranges) / n if n else 0.0)
+            yield pa.array(out, pa.float64())
+        kernels.give_back()
 
     return share
 

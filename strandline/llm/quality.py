@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -43,6 +42,8 @@ LEAST_DOCS = 3
 LEAST_WORTH = 2.5
 #: Documents with a lower score are rejected.
 ACCEPT = 0.5
+#: Text bytes that are made into views at once; their columns take many times as much.
+VIEW_BYTES = 1_000_000
 
 _WORD = kernels.member_table(lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
 _CLASSES = np.zeros(256, np.int64)
@@ -322,6 +323,14 @@ def _batch_views(s: pa.RecordBatch) -> Views:
     return views(s.column("text"), s.column("lang").to_pylist(), s.column("source").to_pylist(), np.asarray(s.column("__chars")))
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows in slices of at most VIEW_BYTES of text; at its end its worker returns what memory is free."""
+    kernels.let_go()
+    for b in batches:
+        yield from kernels.slices(b, "text", VIEW_BYTES)
+    kernels.give_back()
+
+
 def _features(rows: DataFrame) -> tuple[Views, np.ndarray, np.ndarray]:
     """Both views, labels and folds of rows (key, label, fold, text, lang, source, length), in the keys' order.
 
@@ -331,12 +340,11 @@ def _features(rows: DataFrame) -> tuple[Views, np.ndarray, np.ndarray]:
     one = rows.groupBy("key", "label", "fold").agg(F.min(F.struct(*names)).alias("r")).select("key", "label", "fold", "r.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in kernels.slices(b, "text"):
-                v = _batch_views(s)
-                most = np.where(np.asarray(s.column("label")) < 0, MOST_DOC_WORDS, len(v.words))
-                words = [v.words[a : min(e, a + m)].tobytes() for a, e, m in zip(v.offs[:-1], v.offs[1:], most, strict=True)]
-                yield pa.RecordBatch.from_arrays([s.column("key"), s.column("label"), s.column("fold"), pa.array(words, pa.binary()), *[pa.array(list(x), pa.list_(t)) for x, t in ((v.content, pa.float64()), (v.length, pa.float64()), (v.hashed, pa.int64()))]], names=["key", "label", "fold", "words", "content", "length", "hashed"])
+        for s in _small(batches):
+            v = _batch_views(s)
+            most = np.where(np.asarray(s.column("label")) < 0, MOST_DOC_WORDS, len(v.words))
+            words = [v.words[a : min(e, a + m)].tobytes() for a, e, m in zip(v.offs[:-1], v.offs[1:], most, strict=True)]
+            yield pa.RecordBatch.from_arrays([s.column("key"), s.column("label"), s.column("fold"), pa.array(words, pa.binary()), *[pa.array(list(x), pa.list_(t)) for x, t in ((v.content, pa.float64()), (v.length, pa.float64()), (v.hashed, pa.int64()))]], names=["key", "label", "fold", "words", "content", "length", "hashed"])
 
     got = one.mapInArrow(run, _FEATURES).toArrow().sort_by("key")
     words = [np.frombuffer(x, np.uint64) for x in got["words"].to_pylist()]
@@ -435,13 +443,11 @@ class Pool:
         had = [(i, row_key[r]) for i, (pupil, _, _) in enumerate(_LESSONS) for r in given[pupil]]
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for s in kernels.slices(b, "text"):
-                    x = _batch_views(s)
-                    p, q = (np.round(_sigmoid(view.score(x)), 9) for view in (content, metadata))
-                    out = pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("key"), pa.array(p), pa.array(q)], names=["doc_id", "key", "content", "metadata"])
-                    yield out.filter(pa.array(np.maximum(np.abs(p - 0.5), np.abs(q - 0.5)) >= SURE - 0.5))
-            kernels.give_back()
+            for s in _small(batches):
+                x = _batch_views(s)
+                p, q = (np.round(_sigmoid(view.score(x)), 9) for view in (content, metadata))
+                out = pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("key"), pa.array(p), pa.array(q)], names=["doc_id", "key", "content", "metadata"])
+                yield out.filter(pa.array(np.maximum(np.abs(p - 0.5), np.abs(q - 0.5)) >= SURE - 0.5))
 
         slim = self._rows.mapInArrow(scored, "doc_id bigint, key bigint, content double, metadata double").join(self._known, "doc_id", "left_anti")
         # rows of one key have one score; copies meet as one row of each task
@@ -500,11 +506,9 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), one.alias("score"), one.alias("content_score"), one.alias("metadata_score"), F.lit(True).alias("keep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in kernels.slices(b, "text"):
-                p = model.scores(_batch_views(s))
-                yield pa.RecordBatch.from_arrays([s.column("doc_id"), *(pa.array(c, pa.float64()) for c in p.T), pa.array(p[:, 0] >= ACCEPT, pa.bool_())], names=["doc_id", "score", "content_score", "metadata_score", "keep"])
-        kernels.give_back()
+        for s in _small(batches):
+            p = model.scores(_batch_views(s))
+            yield pa.RecordBatch.from_arrays([s.column("doc_id"), *(pa.array(c, pa.float64()) for c in p.T), pa.array(p[:, 0] >= ACCEPT, pa.bool_())], names=["doc_id", "score", "content_score", "metadata_score", "keep"])
 
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *_columns(docs))
     return src.mapInArrow(run, "doc_id bigint, score double, content_score double, metadata_score double, keep boolean")
@@ -515,9 +519,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
     model = model or fit(docs, labels)
     if model is None:
         return docs
-    @F.pandas_udf("boolean")
-    def accepted(text: pd.Series, lang: pd.Series, source: pd.Series, chars: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True), pa.array(lang, pa.string(), from_pandas=True), pa.array(source, pa.string(), from_pandas=True), pa.array(chars, pa.float64())], names=["text", "lang", "source", "__chars"])
-        return pd.Series(np.concatenate([model.scores(_batch_views(s))[:, 0] >= ACCEPT for s in kernels.slices(batch, "text")] or [np.zeros(0, bool)]))
+
+    @F.arrow_udf("boolean")
+    def accepted(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kernels.let_go()
+        for columns in parts:
+            batch = pa.RecordBatch.from_arrays(list(columns), names=["text", "lang", "source", "__chars"])
+            good = [model.scores(_batch_views(s))[:, 0] >= ACCEPT for s in kernels.slices(batch, "text", VIEW_BYTES)]
+            yield pa.array(np.concatenate([np.zeros(0, bool), *good]), pa.bool_())
+        kernels.give_back()
 
     return docs.filter(accepted(*_columns(docs)))

@@ -172,7 +172,7 @@ class Encoder:
         return flat, np.concatenate((total[lo], total[hi[-1:]]))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = kernels.kept()
 
 
 def encoder(path: str) -> Encoder:

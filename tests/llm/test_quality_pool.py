@@ -1,8 +1,13 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from strandline.llm import quality
+from strandline.llm import quality, tokens
+from tests.llm.conftest import ODD
 
 LABELS = "doc_id bigint, quality int, toxic int"
 
@@ -153,3 +158,26 @@ def test_long_documents_teach_by_some_of_their_words(spark, monkeypatch):
         rows = docs.select(F.lit(1).cast("bigint").alias("key"), F.lit(label).alias("label"), F.lit(1).alias("fold"), *quality._columns(docs))
         v, _, _ = quality._features(rows)
         assert len(v.words) == words
+
+
+def test_rows_are_judged_as_they_are_scored(spark, documents):
+    docs = documents(ODD * 2)
+    train, labels = corpus(spark)
+    model = quality.fit(train, labels)
+    want = sorted((r.doc_id or -1) for r in quality.score(docs, model).filter("keep").collect())
+    got = quality.keep_good(docs, labels, model)
+    assert got.columns == docs.columns and sorted((r.doc_id or -1) for r in got.collect()) == want
+    assert quality.keep_good(docs.limit(0), labels, model).count() == 0
+
+
+def test_a_task_frees_what_others_left_in_its_worker():
+    tokens.encoder(tokens.vocabulary("byte_bpe_50k.json"))
+    assert len(tokens._ENCODERS) == 1
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 400_000] * 7)], names=["text"])
+    sizes = [s.num_rows for s in quality._small(iter([batch]))]
+    assert not tokens._ENCODERS and sizes == [2, 2, 2, 1]
+
+
+def test_workers_of_the_pipeline_need_no_pandas():
+    code = "import sys, corpus_pipeline; assert 'pandas' not in sys.modules, 'pandas'"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(quality.__file__).parents[2])
